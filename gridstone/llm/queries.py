@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality
+from . import chat, jaccard, mixing, pii, quality
 from .common import read
 
 
@@ -19,6 +19,7 @@ def queries():
     return {
         "op1_pii": lambda spark, d: pii.pii_report(read(spark, d, "documents")),
         "op5_chat_formatting": lambda spark, d: chat.chat_report(_conversations(spark, d)),
+        "op7_ngram_jaccard_join": lambda spark, d: jaccard.jaccard_report(read(spark, d, "documents")),
         "op8_quality_rules": lambda spark, d: quality.quality_report(read(spark, d, "documents")),
         "op10_mixing": lambda spark, d: mixing.mix_report(read(spark, d, "documents")),
     }
