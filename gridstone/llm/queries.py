@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import corpus_pipeline
 
-from . import chat, jaccard, mixing, pii, quality
+from . import chat, html, jaccard, language, mixing, pieces, pii, quality, topk, warc
 from .common import read
 
 
@@ -18,12 +18,18 @@ def _conversations(spark, sf_dir):
 def queries():
     return {
         "op1_pii": lambda spark, d: pii.pii_report(read(spark, d, "documents")),
+        "op2_exact_topk": lambda spark, d: topk.topk_report(read(spark, d, "embeddings")),
+        "op3_html_extraction": lambda spark, d: html.html_report(read(spark, d, "pages")),
+        "op4_warc": lambda spark, d: warc.warc_report(read(spark, d, "pages")),
         "op5_chat_formatting": lambda spark, d: chat.chat_report(_conversations(spark, d)),
+        "op6_language_id": lambda spark, d: language.language_report(read(spark, d, "documents")),
         "op7_ngram_jaccard_join": lambda spark, d: jaccard.jaccard_report(read(spark, d, "documents")),
         "op8_quality_rules": lambda spark, d: quality.quality_report(read(spark, d, "documents")),
+        "op9_sentencepiece": lambda spark, d: pieces.pieces_report(read(spark, d, "documents")),
+        "pipeline": corpus_pipeline.run,
         "op10_mixing": lambda spark, d: mixing.mix_report(read(spark, d, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op2_exact_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE}
