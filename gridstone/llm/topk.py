@@ -1,7 +1,7 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
-Vectors get one more component, sqrt(M - |v|^2) with M the largest squared norm, so
-that a query's highest inner products are its nearest neighbours. A vector's key is
+Vectors get one more component, sqrt(M - |v|^2) with M the largest squared norm, and
+queries get 0 there, so that a query's highest inner products are its nearest neighbours. A vector's key is
 its nearest pivot and its distance to it. Sorted by key, vectors are packed into
 blocks: annuli of one pivot's cell. For a query at distance d of the pivot, all of an
 annulus [lo, hi] lies at least max(lo - d, d - hi) away, by the triangle inequality.
@@ -31,7 +31,8 @@ from .common import fixed, written
 PIVOTS, SAMPLE = 64, 2048
 BLOCK, QUERY_BLOCK = 1024, 128
 DIRECTORY = 200_000
-SLACK = 1e-9
+#: Of the largest norm: beyond what rounding does to a distance, whose square has a relative error near 1e-16.
+SLACK = 1e-6
 
 
 def scaled(x: Column) -> Column:
@@ -54,7 +55,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray, most: float, extra: np.ndarray) -> np.ndarray:
+def _distances(x: np.ndarray, pivots: np.ndarray, extra: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots(width + 1 components), extra being the rows' last component."""
     sq = (x**2).sum(1) + extra**2
     d = sq[:, None] + (pivots**2).sum(1) - 2 * (x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1])
@@ -95,7 +96,7 @@ def build(vectors: DataFrame) -> dict:
     def keyed(batches):
         for batch in batches:
             x = _matrix(batch.column(1), width)
-            d = _distances(x, pivots.value, most, np.sqrt(np.maximum(most - (x**2).sum(1), 0)))
+            d = _distances(x, pivots.value, np.sqrt(np.maximum(most - (x**2).sum(1), 0)))
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell]), pa.array([_pack(r) for r in x], pa.binary())], ["id", "cell", "dist", "x"])
 
@@ -151,7 +152,7 @@ def search(index: dict, queries: Column, k: int) -> DataFrame:
 
     def bounds(x, directory):
         """Distance to each pivot, and the least distance to each block, of each row."""
-        d = _distances(x, pivots.value, most, np.sqrt(np.maximum(most - (x**2).sum(1), 0)))[:, directory["cell"]]
+        d = _distances(x, pivots.value, np.zeros(len(x)))[:, directory["cell"]]  # a query's last component is 0
         return np.maximum(np.maximum(directory["lo"] - d, d - directory["hi"]), 0)
 
     def slices():
@@ -208,7 +209,7 @@ def search(index: dict, queries: Column, k: int) -> DataFrame:
                     take = first(b, d["n"])
                     if later:
                         r = np.asarray(batch.column("radius")[row].values)
-                        take = (b <= r[:, None] * (1 + SLACK) + SLACK * (1 + most) ** 0.5) & ~take
+                        take = (b <= r[:, None] + SLACK * (1 + most) ** 0.5) & ~take
                     hit = np.flatnonzero(take.any(0))
                     use = [np.flatnonzero(take[:, j]).astype(np.int16).tobytes() for j in hit]
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("qb")[row].as_py()] * len(hit), pa.int64()), pa.array(d["block"][hit]), pa.array(use, pa.binary())], ["qb", "block", "use"])
