@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cohort, design, inference, interaction, metrics, models
-from ..sources.facts import cells, fact_sql, facts, response, sales, table
+from ..operators import cohort, decompose, design, inference, interaction, metrics, models, signal
+from ..sources.facts import fact_sql, facts, measures, sales, table
 from ..streaming.events import windowed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,6 +658,165 @@ def _(spark, d):
     return c.select("c_mktsegment", "c_nationkey", inference.fisher_greater("a", "b", "c", "d").alias("p"))
 
 
+# --- reliable energies, nulls, gates --------------------------------------------------------------
+
+DONOR = "WITH c AS (SELECT r_name AS donor, l_returnflag AS state, p_type AS intervention, avg(l_discount * 100) AS discount, avg(l_extendedprice / 1000) AS price, avg(l_quantity) AS quantity, avg(l_tax * 100) AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey WHERE r_name <> 'ASIA' GROUP BY ALL), df AS (SELECT donor, state, intervention, unnest(['discount', 'price', 'quantity', 'tax']) AS feature, unnest([discount, price, quantity, tax]) AS value FROM c)"
+DISJOINT = DONOR + """, pt(partition, a, b) AS (VALUES (0, 'AFRICA', 'AMERICA'), (1, 'AFRICA', 'EUROPE'), (2, 'AFRICA', 'MIDDLE EAST')),
+hf AS (SELECT partition, CASE WHEN donor IN (a, b) THEN 0 ELSE 1 END AS half, intervention, state, feature, avg(value) AS v FROM df, pt GROUP BY ALL),
+di AS (SELECT x.partition, x.half, x.intervention, x.feature, x.state AS state_a, y.state AS state_b, x.v - y.v AS d FROM hf x JOIN hf y ON x.partition = y.partition AND x.half = y.half AND x.intervention = y.intervention AND x.feature = y.feature AND x.state < y.state),
+ce AS (SELECT *, d - avg(d) OVER (PARTITION BY partition, half, feature, state_a, state_b) AS z FROM di),
+ds AS (SELECT l.partition, l.intervention, l.state_a, l.state_b, avg(l.z * r.z) AS distance FROM ce l JOIN ce r ON l.partition = r.partition AND l.intervention = r.intervention AND l.feature = r.feature AND l.state_a = r.state_a AND l.state_b = r.state_b AND l.half = 0 AND r.half = 1 GROUP BY ALL)"""
+
+
+def donors(spark, d):
+    s = sales(spark, d).filter("r_name <> 'ASIA'")
+    return response_of(s.groupBy(F.col("r_name").alias("donor"), F.col("l_returnflag").alias("state"), F.col("p_type").alias("intervention")).agg(*(F.avg(c).alias(n) for n, c in measures().items())), ["donor", "state", "intervention"])
+
+
+def response_of(df, keys):
+    return df.unpivot(keys, sorted(measures()), "feature", "value")
+
+
+def disjoint(spark, d):
+    return signal.disjoint_distances(donors(spark, d), signal.half_partitions(spark, ["AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"]))
+
+
+@query("donor_disjoint_distances", DISJOINT + " SELECT partition, intervention, state_a, state_b, round(distance, 7) AS distance FROM ds")
+def _(spark, d):
+    return rounded(disjoint(spark, d), digits=7)
+
+
+@query("distance_summary", DISJOINT + " SELECT state_a, state_b, round(avg(distance), 7) AS mean, round(median(distance), 7) AS mid, round(avg((distance > 0)::INT), 6) AS positive, any_value(pp) AS positive_partitions FROM ds JOIN (SELECT state_a, state_b, count(*) FILTER (m > 0) AS pp FROM (SELECT state_a, state_b, partition, avg(distance) AS m FROM ds GROUP BY ALL) GROUP BY ALL) USING (state_a, state_b) GROUP BY ALL")
+def _(spark, d):
+    return rounded(signal.distance_summary(disjoint(spark, d)), digits=7).withColumn("positive", r("positive"))
+
+
+@query("reliable_shares", with_facts(GAMMA + ", h AS (SELECT a.gamma AS g0, b.gamma AS g1, a.value - a.gamma AS m0, b.value - b.gamma AS m1 FROM gam a JOIN gam b USING (context, intervention, feature) WHERE a.replicate = 0 AND b.replicate = 1), e AS (SELECT greatest(sum(g0 * g1), 0) AS interaction, greatest(sum(m0 * m1), 0) AS main FROM h), l AS (SELECT unnest(['interaction', 'main']) AS component, unnest([interaction, main]) AS energy FROM e) SELECT component, round(energy, 4) AS energy, round(energy / sum(energy) OVER (), 6) AS share FROM l"))
+def _(spark, d):
+    g = gamma(spark, d).withColumns({"interaction": F.col("gamma"), "main": F.col("value") - F.col("gamma")})
+    s = signal.reliable_shares(interaction.cross_replicate(g, "interaction", "main"), ["interaction", "main"])
+    return s.select("component", r("energy", 4).alias("energy"), r("share").alias("share"))
+
+
+@query("context_distance", with_facts(GAMMA + " SELECT ctx_a, ctx_b, round(avg(d), 6) AS distance FROM (SELECT a.context AS ctx_a, b.context AS ctx_b, a.replicate, a.intervention, sqrt(avg((a.gamma - b.gamma) ** 2)) AS d FROM gam a JOIN gam b ON a.replicate = b.replicate AND a.intervention = b.intervention AND a.feature = b.feature AND a.context < b.context GROUP BY ALL) GROUP BY ALL", "r_name"))
+def _(spark, d):
+    return rounded(signal.context_distance(gamma(spark, d, "r_name"), "gamma"))
+
+
+@query("weighted_error", with_facts(GAMMA + GRAM + ", w AS (SELECT a.c AS context, b.c AS s, CASE WHEN a.c = b.c THEN -1.0 ELSE 1.0 / (n - 1) END AS w FROM (SELECT DISTINCT ctx_a AS c FROM cg) a, (SELECT DISTINCT ctx_a AS c FROM cg) b, (SELECT count(DISTINCT ctx_a) AS n FROM cg)) SELECT x.context, round(sum(x.w * y.w * dot), 4) AS error FROM w x JOIN w y ON x.context = y.context JOIN cg ON ctx_a = x.s AND ctx_b = y.s GROUP BY 1"))
+def _(spark, d):
+    g = interaction.context_gram(gram(spark, d))
+    names = g.select(F.col("ctx_a").alias("context")).distinct()
+    w = names.join(names.withColumnRenamed("context", "source"), F.col("context") != F.col("source")).withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("context")))
+    return rounded(signal.weighted_error(g, w), digits=4)
+
+
+@query("stratified_permutation", "WITH b AS (SELECT c_nationkey, c_custkey, c_mktsegment, draw FROM customer, range(3) t(draw)), a AS (SELECT *, row_number() OVER (PARTITION BY draw, c_nationkey ORDER BY c_custkey) AS i, row_number() OVER (PARTITION BY draw, c_nationkey ORDER BY sha256('sp|' || draw || '|' || c_custkey), c_custkey) AS j FROM b) SELECT a.draw::INT AS draw, a.c_nationkey, a.c_custkey, a.c_mktsegment, o.c_mktsegment AS shuffled FROM a JOIN a o ON a.draw = o.draw AND a.c_nationkey = o.c_nationkey AND a.i = o.j")
+def _(spark, d):
+    return signal.permuted(table(spark, d, "customer"), "c_custkey", "c_mktsegment", ["c_nationkey"], 3, "sp")
+
+
+@query("influence", with_facts(GAMMA + ENERGY + ", b AS (SELECT context, sum(s) AS s, sum(e) AS e FROM en GROUP BY 1) SELECT context, CASE WHEN sum(s) OVER () - s > 0 THEN round(1 - (sum(e) OVER () - e) / (sum(s) OVER () - s), 5) END AS g_without FROM b"))
+def _(spark, d):
+    return rounded(signal.influence(energy(spark, d), "context"), digits=5)
+
+
+@query("guide_halves", "SELECT p_partkey, p_brand, CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS half FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('gh|' || p_partkey), p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE n >= 2")
+def _(spark, d):
+    return signal.guide_halves(table(spark, d, "part"), "p_partkey", "p_brand", "gh")
+
+
+@query("integrity_checks", "SELECT 'orders have customers' AS name, count(*) = 0 AS passed, count(*) || ' violations' AS detail FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'keys are unique', count(*) = 0, count(*) || ' violations' FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'discounts stay small', count(*) = 0, count(*) || ' violations' FROM lineitem WHERE l_discount > 0.08")
+def _(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    lost = o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return signal.checks(("orders have customers", lost), ("keys are unique", o.groupBy("o_orderkey").count().filter("count > 1")), ("discounts stay small", l.filter("l_discount > 0.08")))
+
+
+@query("baseline_predictors", with_facts(PRED + ", m AS (SELECT replicate, intervention, feature, context, value, pred AS m0, avg(value) OVER (PARTITION BY replicate, feature) AS m1, 0.5 * pred + 0.5 * avg(value) OVER (PARTITION BY replicate, feature, context) AS m2 FROM p) SELECT feature, round(avg((value - m0) ** 2), 6) AS mse_m0, round(avg((value - m1) ** 2), 6) AS mse_m1, round(avg((value - m2) ** 2), 6) AS mse_m2 FROM m GROUP BY 1"))
+def _(spark, d):
+    p = predicted(spark, d).withColumn("m1", F.avg("value").over(Window.partitionBy("replicate", "feature"))).withColumn("m2", F.col("loo") / 2 + F.avg("value").over(Window.partitionBy("replicate", "feature", "context")) / 2)
+    mse = lambda c: F.avg((F.col("value") - F.col(c)) * (F.col("value") - F.col(c)))
+    return rounded(p.groupBy("feature").agg(mse("loo").alias("mse_m0"), mse("m1").alias("mse_m1"), mse("m2").alias("mse_m2")))
+
+
+@query("weight_diagnostics", "SELECT label, round(max(abs(w)), 6) AS largest, round(avg((w < 0)::INT), 6) AS negative, round(1 / sum(w * w / (t * t)), 4) AS effective FROM (SELECT label, embedding[1]::DOUBLE AS w, sum(abs(embedding[1]::DOUBLE)) OVER (PARTITION BY label) AS t FROM embeddings) GROUP BY 1")
+def _(spark, d):
+    w = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("w"))
+    w = w.withColumn("t", F.sum(F.abs("w")).over(Window.partitionBy("label")))
+    g = w.groupBy("label").agg(F.max(F.abs("w")).alias("largest"), F.avg((F.col("w") < 0).cast("double")).alias("negative"), (1 / F.sum(F.col("w") * F.col("w") / (F.col("t") * F.col("t")))).alias("effective"))
+    return rounded(g, "effective").withColumn("effective", r("effective", 4))
+
+
+@query("adjacent_gains", with_facts(", c AS (SELECT context, feature, sum(value * value) AS q FROM fact GROUP BY ALL), k AS (SELECT context, row_number() OVER (PARTITION BY context ORDER BY feature)::INT AS k, sum(q) OVER (PARTITION BY context ORDER BY feature) / sum(q) OVER (PARTITION BY context) AS ret FROM c) SELECT context, k, round(lead(ret) OVER (PARTITION BY context ORDER BY k) - ret, 6) AS gain, round(1 - ret, 6) AS to_full FROM k"))
+def _(spark, d):
+    q = facts(spark, d).groupBy("context", "feature").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
+    w = Window.partitionBy("context")
+    k = q.select("context", F.row_number().over(w.orderBy("feature")).alias("k"), (F.sum("q").over(w.orderBy("feature")) / F.sum("q").over(w)).alias("ret"))
+    return k.select("context", "k", r(F.lead("ret").over(w.orderBy("k")) - F.col("ret")).alias("gain"), r(1 - F.col("ret")).alias("to_full"))
+
+
+@query("verdict", with_facts(GAMMA + ENERGY + ", b AS (SELECT context, 1 - sum(e) / sum(s) AS g, sum(s) AS s FROM en GROUP BY 1) SELECT context, CASE WHEN s <= 0 THEN 'no stable signal' WHEN g > 0.5 THEN 'recovered' WHEN g > 0 THEN 'partly recovered' ELSE 'not recovered' END AS verdict FROM b"))
+def _(spark, d):
+    b = energy(spark, d).groupBy("context").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("g", 1 - F.col("e") / F.col("s"))
+    return b.select("context", F.when(F.col("s") <= 0, "no stable signal").when(F.col("g") > 0.5, "recovered").when(F.col("g") > 0, "partly recovered").otherwise("not recovered").alias("verdict"))
+
+
+@query("recoded_classes", "SELECT p_partkey, CASE WHEN p_type LIKE 'S%' THEN 'S' WHEN p_type LIKE 'P%' THEN 'P' ELSE 'other' END AS family, p_size BETWEEN 16 AND 32 AS middle, upper(p_brand) LIKE 'BRAND#1%' AS excluded, abs(p_size - 25) >= 2 * abs(p_size - 10) AS twofold FROM part")
+def _(spark, d):
+    t = F.col("p_type")
+    s = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.when(t.startswith("S"), "S").when(t.startswith("P"), "P").otherwise("other").alias("family"), s.between(16, 32).alias("middle"), F.upper("p_brand").startswith("BRAND#1").alias("excluded"), (F.abs(s - 25) >= 2 * F.abs(s - 10)).alias("twofold"))
+
+
+# --- decompositions: tested against NumPy -----------------------------------------------------------
+
+
+@query("pca_programs")
+def _(spark, d):
+    return decompose.pca(gamma(spark, d), "feature", "context", "intervention", "gamma", 5)
+
+
+@query("nmf_programs")
+def _(spark, d):
+    return decompose.nmf(facts(spark, d), "feature", "context", "intervention", "value", 3)
+
+
+@query("low_rank_completion")
+def _(spark, d):
+    f = facts(spark, d).filter("replicate = 0")
+    return decompose.complete_low_rank(f.select("feature", "context", "intervention", "value"), design.latin_masks(f), 2, 1.0)
+
+
+@query("linkage_clusters")
+def _(spark, d):
+    g = interaction.gram_distances(interaction.context_gram(gram(spark, d)), 4)
+    return decompose.linkage(g.select(F.lit("all").alias("group"), F.col("ctx_a").alias("a"), F.col("ctx_b").alias("b"), F.col("distance").alias("d")), "group", 3.0)
+
+
+@query("random_bases")
+def _(spark, d):
+    return decompose.random_bases(spark, sorted(measures()), 2, 10)
+
+
+@query("ridge_leave_one_out")
+def _(spark, d):
+    p = interaction.packed(facts(spark, d)).groupBy(F.col("context").alias("unit")).agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "intervention", "xs"))), lambda s: s["xs"]).alias("xs"))  # one row a context of the design
+    flat = F.flatten("xs")
+    return decompose.ridge_leave_one_out(p.select("unit", F.slice(flat, 1, 80).alias("x"), F.slice(flat, 101, 20).alias("y")), [0.1, 1.0, 10.0])
+
+
+@query("logistic_program")
+def _(spark, d):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
+    folds = e.withColumn("fold", X.hash_fold(F.col("vec_id").cast("string"), 5))
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(folds.filter("fold <> 0"))
+    return model.transform(folds.filter("fold = 0")).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -665,5 +824,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
-
-__all__ = ["cells", "oracle_sql", "queries", "response"]
