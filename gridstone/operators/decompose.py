@@ -58,6 +58,7 @@ def complete_low_rank(df: DataFrame, folds: DataFrame, rank: int, ridge: float,
     both = df.join(folds, ["context", "intervention"]).join(F.broadcast(every))
 
     def run(key, pdf):
+        pdf = pdf.sort_values(["context", "intervention"])  # sums in one order, whatever the partitioning
         cs, ps = sorted(pdf.context.unique()), sorted(pdf.intervention.unique())
         i, j = pdf.context.map({c: k for k, c in enumerate(cs)}).to_numpy(), pdf.intervention.map({p: k for k, p in enumerate(ps)}).to_numpy()
         y, seen = pdf.value.to_numpy(float), (pdf.fold != key[1]).to_numpy()

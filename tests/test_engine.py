@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstone.functions import expr as X
-from gridstone.operators import cohort, design, inference, interaction, metrics, models
+from gridstone.operators import cohort, decompose, design, inference, interaction, metrics, models
 from gridstone.sources import files
 from gridstone.sources.facts import facts, table
 from gridstone.streaming.events import run_to_end, windowed
@@ -153,3 +153,45 @@ def test_stream_equals_batch(spark):
 def test_filters_reach_the_scan(spark):
     plan = table(spark, SF, "lineitem").filter("l_quantity > 49").select("l_orderkey")._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_decompositions(spark):
+    rnd = np.random.default_rng(1)
+    u, v = rnd.random((6, 2)), rnd.random((2, 5))
+    x = u @ v
+    df = spark.createDataFrame([("g", f"r{i}", f"c{j}", float(x[i, j])) for i in range(6) for j in range(5)], "g string, r string, c string, v double")
+    got = decompose.pca(df, "g", "r", "c", "v", 2).toPandas()
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    assert np.allclose(np.sqrt((got.score**2).groupby(got.component).sum()), s[:2])
+    assert decompose.nmf(df, "g", "r", "c", "v", 2).first().error < 0.02
+    b = decompose.random_bases(spark, list("abcd"), 2, 3).toPandas()
+    for _, one in b.groupby("draw"):
+        m = one.pivot(index="feature", columns="axis", values="weight").to_numpy()
+        assert np.allclose(m.T @ m, np.eye(2))
+    d = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "a", "c", 9.0), ("g", "b", "c", 9.0)], "g string, a string, b string, d double")
+    assert {r.item: r.cluster for r in decompose.linkage(d, "g", 5.0).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_completion_never_reads_hidden_entries(spark):
+    rnd = np.random.default_rng(2)
+    a, b = rnd.normal(size=8), rnd.normal(size=9)
+    rows = [("f", f"c{i}", f"p{j}", float(i + 2 * j + a[i] * b[j])) for i in range(8) for j in range(9)]
+    df = spark.createDataFrame(rows, "feature string, context string, intervention string, value double")
+    folds = design.latin_masks(df)
+    got = decompose.complete_low_rank(df, folds, 1, 1e-3).toPandas()
+    assert len(got) == 72 and ((got.value - got.prediction) ** 2).sum() < 0.2 * ((got.value - got.additive) ** 2).sum()
+    loud = df.join(folds, ["context", "intervention"]).withColumn("value", F.when(F.col("fold") == 0, F.col("value") * 1e12).otherwise(F.col("value"))).drop("fold")
+    again = decompose.complete_low_rank(loud.select(*df.columns), folds, 1, 1e-3).toPandas()
+    one = lambda t: t[t.fold == 0].sort_values(["context", "intervention"]).prediction.to_numpy()
+    assert (one(got) == one(again)).all()
+
+
+def test_ridge_leave_one_out_against_numpy(spark):
+    rnd = np.random.default_rng(3)
+    x, y = rnd.normal(size=(12, 20)), rnd.normal(size=(12, 2))
+    df = spark.createDataFrame([(f"u{i:02}", x[i].tolist(), y[i].tolist()) for i in range(12)], "unit string, x array<double>, y array<double>")
+    for r in decompose.ridge_leave_one_out(df, [2.0]).collect():
+        t = np.arange(12) != int(r.held[1:])
+        z = (x - x[t].mean(0)) / x[t].std(0)
+        w = np.linalg.solve(z[t].T @ z[t] + 2 * np.eye(20), z[t].T @ (y[t] - y[t].mean(0)))
+        assert abs(r.prediction - (y[t].mean(0) + z[~t] @ w)[0, r.output]) < 1e-8
