@@ -93,3 +93,32 @@ def barcode_collisions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that two libraries share and the collision probability, sum of p_a * p_b."""
     p = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")
     return p(a, "pa").join(p(b, "pb"), key).agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("pa") * F.col("pb")).alias("collision"))
+
+
+def feature_flags(df: DataFrame, feature: str, value: str, targets: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """feature, mean, variance and flags: a target, of an excluded prefix, without variance; eligible if none."""
+    m = df.groupBy(feature).agg(F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+    t = targets.select(F.col(feature)).distinct().withColumn("is_target", F.lit(True))
+    prefixed = F.lit(False)
+    for p in prefixes:
+        prefixed = prefixed | F.upper(feature).startswith(p.upper())
+    m = m.join(t, feature, "left").withColumn("is_target", F.coalesce("is_target", F.lit(False))).withColumn("is_technical", prefixed).withColumn("is_flat", F.col("variance") <= 1e-12)
+    return m.withColumn("eligible", ~(F.col("is_target") | F.col("is_technical") | F.col("is_flat")))
+
+
+def pairing(df: DataFrame, unit: str, kind: str, first: str, second: str) -> DataFrame:
+    """unit, n_first, n_second, pairing: whether both kinds are there, once or more often."""
+    n = df.groupBy(unit).agg(F.count_if(F.col(kind) == first).alias("n_first"), F.count_if(F.col(kind) == second).alias("n_second"))
+    a, b = F.col("n_first"), F.col("n_second")
+    return n.withColumn("pairing", F.when((a == 1) & (b == 1), "paired").when((a > 0) & (b > 0), "replicated").when(a > 0, "first_only").when(b > 0, "second_only").otherwise("neither"))
+
+
+def one_of_each(df: DataFrame, group: list[str], key: str, seed: str) -> DataFrame:
+    """One row of each group, that with the least hash."""
+    return df.groupBy(*group).agg(F.min_by(key, F.struct(F.sha2(F.concat_ws("|", F.lit(seed), *(F.col(g).cast("string") for g in group), F.col(key).cast("string")), 256), F.col(key))).alias(key))
+
+
+def missingness(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """group, column, present, missing, share: coverage of wide columns in long form."""
+    long = df.select(group, *(F.col(c).isNotNull().cast("int").alias(c) for c in columns)).unpivot([group], columns, "column", "there")
+    return long.groupBy(group, "column").agg(F.sum("there").alias("present"), (F.count(F.lit(1)) - F.sum("there")).alias("missing"), F.avg("there").alias("share"))

@@ -97,3 +97,34 @@ def topk_overlap(df: DataFrame, unit: str, item: str, truth: str, prediction: st
     top = lambda c, name: df.withColumn("__r", F.row_number().over(Window.partitionBy(unit).orderBy(F.col(c).desc(), item))).filter(F.col("__r") <= k).select(unit, item, F.lit(1).alias(name))
     both = top(truth, "t").join(top(prediction, "p"), [unit, item], "full_outer")
     return both.groupBy(unit).agg((F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()) / k).alias("overlap"), F.bool_and(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("exact"))
+
+
+def partial_spearman(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
+    """Rank correlation of x and y with the ranks of a control taken out of both, from three correlations in one aggregate."""
+    ranked = df.select(*(average_rank(F.col(c)).alias(f"r_{c}") for c in (x, y, control)))
+    c = ranked.agg(F.corr(f"r_{x}", f"r_{y}").alias("xy"), F.corr(f"r_{x}", f"r_{control}").alias("xc"), F.corr(f"r_{y}", f"r_{control}").alias("yc"))
+    return c.select(safe_ratio(F.col("xy") - F.col("xc") * F.col("yc"), F.sqrt((1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc")))).alias("rho"))
+
+
+def geometry_reliability(distances: DataFrame, k: int) -> DataFrame:
+    """Of pairs a < b with distances da and db from two measurements: rank and linear correlation, mean overlap of k nearest neighbours, share of equal nearest ones."""
+    ranked = distances.select("da", "db", average_rank(F.col("da")).alias("ra"), average_rank(F.col("db")).alias("rb"))
+    rho = ranked.agg(F.corr("ra", "rb").alias("spearman"), F.corr("da", "db").alias("pearson"))
+    both = distances.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "da", "db"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "da", "db"))))
+    near = lambda c: F.row_number().over(Window.partitionBy("u").orderBy(c, "v"))
+    n = both.withColumn("ka", near("da")).withColumn("kb", near("db")).groupBy("u").agg((F.count_if((F.col("ka") <= k) & (F.col("kb") <= k)) / k).alias("o"), F.max(((F.col("ka") == 1) & (F.col("kb") == 1)).cast("double")).alias("one"))
+    return rho.join(F.broadcast(n.agg(F.avg("o").alias("knn_overlap"), F.avg("one").alias("nearest_agreement"))))
+
+
+def support_table(weights: DataFrame, group: str) -> DataFrame:
+    """Non-zero, positive and negative counts and norms of weights(group, feature, weight)."""
+    w = F.col("weight")
+    return weights.groupBy(group).agg(F.count_if(w != 0).alias("support"), F.count_if(w > 0).alias("up"), F.count_if(w < 0).alias("down"), F.sum(F.abs(w)).alias("l1"), F.sqrt(F.sum(w * w)).alias("l2"))
+
+
+def dominated(df: DataFrame, key: str, x: str, y: str, tolerance: float) -> DataFrame:
+    """Keys that some other row matches in both within the tolerance and beats in one by more than it. For tables of summary rows."""
+    a, b = df.select(F.col(key).alias("k"), F.col(x).alias("ax"), F.col(y).alias("ay")), df.select(F.col(x).alias("bx"), F.col(y).alias("by"))
+    ge = (F.col("bx") >= F.col("ax") - tolerance) & (F.col("by") >= F.col("ay") - tolerance)
+    gt = (F.col("bx") > F.col("ax") + tolerance) | (F.col("by") > F.col("ay") + tolerance)
+    return a.join(b, ge & gt, "left_semi").select(F.col("k").alias(key))

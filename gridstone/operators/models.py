@@ -91,3 +91,46 @@ def kernel_ridge(vectors: DataFrame, folds: DataFrame, alpha: float, dims: int)
     return both.groupBy("held").applyInPandas(run, "id long, fold int, y double, prediction double")
 
 
+
+
+def power_fit(points: DataFrame, curve: str, x: str, y: str, rates: list[float]) -> DataFrame:
+    """y = a + b x^-rate and the constant, by AICc: least squares for each rate of a grid, three parameters against one."""
+    p = points.withColumn("rate", F.explode(F.array(*map(F.lit, rates)))).withColumn("z", F.pow(F.col(x), -F.col("rate")))
+    fit = p.groupBy(curve, "rate").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, "z").alias("b"), F.regr_intercept(y, "z").alias("a"), F.regr_syy(y, "z").alias("syy"), F.regr_sxy(y, "z").alias("sxy"))
+    fit = fit.withColumn("sse", F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(1e-12)))
+    best = fit.groupBy(curve).agg(F.min_by(F.struct("rate", "a", "b", "sse", "syy", "n"), F.struct("sse", "rate")).alias("f")).select(curve, "f.*")
+    n = F.col("n").cast("double")
+    aicc = lambda sse, k: n * F.log(sse / n) + 2 * k + F.lit(2.0 * k * (k + 1)) / (n - k - 1)
+    best = best.withColumn("aicc_power", aicc(F.col("sse"), 4)).withColumn("aicc_constant", aicc(F.greatest(F.col("syy"), F.lit(1e-12)), 2))
+    return best.select(curve, "rate", "a", "b", "aicc_power", "aicc_constant", F.when(F.col("aicc_power") < F.col("aicc_constant"), "power").otherwise("constant").alias("model"))
+
+
+def contexts_for_target(fits: DataFrame, curve: str, target: float) -> DataFrame:
+    """The x at which a + b x^-rate reaches the target; null where it never does."""
+    ratio = (F.lit(target) - F.col("a")) / F.col("b")
+    return fits.select(curve, F.when(ratio > 0, F.pow(ratio, -1 / F.col("rate"))).alias("needed"))
+
+
+def select_penalty(df: DataFrame, gram: DataFrame, ridges: list[float]) -> DataFrame:
+    """ridge, error and whether it is picked: affine weights of every penalty scored by the Gram's own squared error, ties to the larger penalty."""
+    from .signal import weighted_error
+
+    out = None
+    for ridge in ridges:
+        e = weighted_error(gram, fit_affine(gram, ridge)).agg(F.sum("error").alias("error")).select(F.lit(ridge).alias("ridge"), "error")
+        out = e if out is None else out.unionByName(e)
+    best = F.max_by("ridge", F.struct((-F.round("error", 9)).alias("e"), "ridge")).over(Window.partitionBy())
+    return out.withColumn("picked", F.col("ridge") == best)
+
+
+def prediction_sets(test: DataFrame, cuts: DataFrame, probs: str) -> DataFrame:
+    """Each row's set of labels whose 1 - p is at most the cut of the label; an empty set becomes the full one."""
+    by = cuts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("label"), F.col("cut")))).alias("cuts"))
+    df = test.join(F.broadcast(by))
+    held = F.filter(F.transform(probs, lambda p, i: F.when(1 - p <= F.element_at("cuts", i) + 1e-12, i)), lambda x: x.isNotNull())
+    df = df.withColumn("__set", held).withColumn("replaced", F.size("__set") == 0)
+    return df.withColumn("labels", F.when(F.col("replaced"), F.sequence(F.lit(0), F.size(probs) - 1)).otherwise(F.col("__set"))).drop("__set", "cuts")
+
+
+def set_quality(sets: DataFrame, label: str) -> DataFrame:
+    return sets.agg(F.avg(F.size("labels").cast("double")).alias("size"), F.avg(F.array_contains("labels", F.col(label).cast("int")).cast("double")).alias("covered"), F.avg((F.size("labels") == 1).cast("double")).alias("singleton"))

@@ -95,3 +95,34 @@ def checks(*named) -> DataFrame:
         row = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), (F.col("n") == 0).alias("passed"), F.concat(F.col("n").cast("string"), F.lit(" violations")).alias("detail"))
         out = row if out is None else out.unionByName(row)
     return out if out is not None else spark.createDataFrame([], "name string, passed boolean, detail string")
+
+
+def fold_gram(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold, ctx_a, ctx_b -> product, sum_a, sum_b, n: pieces that add up over folds of interventions."""
+    d = df.join(folds, "intervention")
+    a, b = (d.select("fold", "intervention", "feature", "replicate", F.col("context").alias(f"ctx_{k}"), F.col("value").alias(f"v{k}")) for k in "ab")
+    return a.join(b, ["fold", "intervention", "feature", "replicate"]).groupBy("fold", "ctx_a", "ctx_b").agg(F.sum(F.col("va") * F.col("vb")).alias("product"), F.sum("va").alias("sum_a"), F.sum("vb").alias("sum_b"), F.count(F.lit(1)).alias("n"))
+
+
+def gram_without(pieces: DataFrame) -> DataFrame:
+    """hidden, ctx_a, ctx_b -> centred product over all other folds: total less the fold's own pieces, no second pass."""
+    w = Window.partitionBy("ctx_a", "ctx_b")
+    rest = lambda c: F.sum(c).over(w) - F.col(c)
+    return pieces.select(F.col("fold").alias("hidden"), "ctx_a", "ctx_b", (rest("product") - rest("sum_a") * rest("sum_b") / rest("n")).alias("dot"))
+
+
+def shared_and_specific(df: DataFrame) -> DataFrame:
+    """context -> beta, shared, specific: the part of its deltas along the mean of the other contexts, and the energy that is orthogonal to it."""
+    from .interaction import leave_one_out_mean
+
+    p = leave_one_out_mean(df, "replicate", "intervention", "feature")
+    s = p.groupBy("context").agg(F.sum(F.col("value") * F.col("loo")).alias("vl"), F.sum(F.col("loo") * F.col("loo")).alias("ll"), F.sum(F.col("value") * F.col("value")).alias("vv"))
+    beta = safe_ratio(F.col("vl"), F.col("ll"))
+    return s.select("context", beta.alias("beta"), (beta * F.col("vl")).alias("shared"), (F.col("vv") - beta * F.col("vl")).alias("specific"))
+
+
+def matched(df: DataFrame, pool: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """key, partner, rank: the n nearest of the pool by absolute difference, then by id. Both are small tables of summary rows."""
+    p = pool.select(F.col(key).alias("partner"), F.col(value).alias("__v"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs(F.col(value) - F.col("__v")), "partner"))
+    return df.join(p, F.col(key) != F.col("partner")).withColumn("rank", rank).filter(F.col("rank") <= n).select(key, "partner", "rank")

@@ -817,6 +817,120 @@ def _(spark, d):
     return model.transform(folds.filter("fold = 0")).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
+# --- more metrics, selections, cohorts ---------------------------------------------------------------
+
+
+@query("partial_spearman", SALES_SQL + """, b AS (SELECT o_custkey, sum(l_quantity) AS x, sum(l_extendedprice) AS y, count(*) AS z FROM sale GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY round(y, 2)) + (count(*) OVER (PARTITION BY round(y, 2)) - 1) / 2.0 AS y, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0 AS z FROM b), c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM k) SELECT round((xy - xz * yz) / sqrt((1 - xz ** 2) * (1 - yz ** 2)), 6) AS rho FROM c""")
+def _(spark, d):
+    b = sales(spark, d).groupBy("o_custkey").agg(F.sum("l_quantity").alias("x"), r(F.sum("l_extendedprice"), 2).alias("y"), F.count(F.lit(1)).alias("z"))
+    return rounded(metrics.partial_spearman(b, "x", "y", "z"))
+
+
+PAIR_DISTANCES = GAMMA + ", dd AS (SELECT a.context AS a, b.context AS b, round(sum((a.gamma - b.gamma) ** 2) FILTER (a.replicate = 0), 6) AS da, round(sum((a.gamma - b.gamma) ** 2) FILTER (a.replicate = 1), 6) AS db FROM gam a JOIN gam b ON a.replicate = b.replicate AND a.intervention = b.intervention AND a.feature = b.feature AND a.context < b.context GROUP BY ALL)"
+
+
+@query("geometry_reliability", with_facts(PAIR_DISTANCES + """, k AS (SELECT *, rank() OVER (ORDER BY da) AS ra, rank() OVER (ORDER BY db) AS rb FROM dd), s AS (SELECT a AS u, b AS v, da, db FROM dd UNION ALL SELECT b, a, da, db FROM dd), n AS (SELECT u, row_number() OVER (PARTITION BY u ORDER BY da, v) AS ka, row_number() OVER (PARTITION BY u ORDER BY db, v) AS kb FROM s), o AS (SELECT u, count(*) FILTER (ka <= 3 AND kb <= 3) / 3 AS o, max((ka = 1 AND kb = 1)::INT) AS one FROM n GROUP BY 1)
+SELECT (SELECT round(corr(ra, rb), 6) FROM k) AS spearman, (SELECT round(corr(da, db), 6) FROM k) AS pearson, round(avg(o), 6) AS knn_overlap, round(avg(one), 6) AS nearest_agreement FROM o"""))
+def _(spark, d):
+    g = gamma(spark, d)
+    a, b = (g.select("replicate", "intervention", "feature", F.col("context").alias(k), F.col("gamma").alias(f"g{k}")) for k in "ab")
+    sq = (F.col("ga") - F.col("gb")) * (F.col("ga") - F.col("gb"))
+    p = a.join(b, ["replicate", "intervention", "feature"]).filter("a < b").groupBy("a", "b").agg(r(F.sum(F.when(F.col("replicate") == 0, sq))).alias("da"), r(F.sum(F.when(F.col("replicate") == 1, sq))).alias("db"))
+    return rounded(metrics.geometry_reliability(p, 3))
+
+
+@query("support_table", "SELECT label, count(*) FILTER (w <> 0) AS support, count(*) FILTER (w > 0) AS up, count(*) FILTER (w < 0) AS down, round(sum(abs(w)), 4) AS l1, round(sqrt(sum(w * w)), 4) AS l2 FROM (SELECT label, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY 1")
+def _(spark, d):
+    w = table(spark, d, "embeddings").select("label", F.explode(F.transform("embedding", lambda x: x.cast("double"))).alias("weight"))
+    return rounded(metrics.support_table(w, "label"), digits=4)
+
+
+@query("dominated_rows", "WITH s AS (SELECT p_brand AS brand, count(*)::DOUBLE AS x, round(avg(p_retailprice), 6) AS y FROM part GROUP BY 1) SELECT brand FROM s a WHERE EXISTS (SELECT 1 FROM s b WHERE b.x >= a.x - 0.5 AND b.y >= a.y - 0.5 AND (b.x > a.x + 0.5 OR b.y > a.y + 0.5))")
+def _(spark, d):
+    s = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).cast("double").alias("x"), r(F.avg("p_retailprice")).alias("y"))
+    return metrics.dominated(s, "brand", "x", "y", 0.5)
+
+
+CURVES = "WITH p AS (SELECT c_mktsegment AS curve, k::DOUBLE AS x, round(avg(c_acctbal) FILTER (c_custkey % 10 < k), 4) AS y FROM customer, range(2, 10) t(k) GROUP BY ALL)"
+
+
+def curves(spark, d):
+    c = table(spark, d, "customer").withColumn("x", F.explode(F.sequence(F.lit(2), F.lit(9)))).filter(F.col("c_custkey") % 10 < F.col("x"))
+    return c.groupBy(F.col("c_mktsegment").alias("curve"), F.col("x").cast("double").alias("x")).agg(r(F.avg("c_acctbal"), 4).alias("y"))
+
+
+POWER = CURVES + """, z AS (SELECT curve, rate, y, x ** -rate AS z FROM p, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) v(rate)), f AS (SELECT curve, rate, count(*) AS n, regr_intercept(y, z) AS a, regr_slope(y, z) AS b, regr_syy(y, z) AS syy, greatest(regr_syy(y, z) - regr_slope(y, z) * regr_sxy(y, z), 1e-12) AS sse FROM z GROUP BY ALL),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY curve ORDER BY sse, rate) = 1), s AS (SELECT curve, rate, a, b, n * ln(sse / n) + 8 + 40.0 / (n - 5) AS aicc_power, n * ln(greatest(syy, 1e-12) / n) + 4 + 12.0 / (n - 3) AS aicc_constant FROM b)"""
+
+
+@query("power_fit", POWER + " SELECT curve, rate, round(a, 3) AS a, round(b, 3) AS b, round(aicc_power, 4) AS aicc_power, round(aicc_constant, 4) AS aicc_constant, CASE WHEN aicc_power < aicc_constant THEN 'power' ELSE 'constant' END AS model FROM s")
+def _(spark, d):
+    f = models.power_fit(curves(spark, d), "curve", "x", "y", [0.5, 1.0])
+    return f.withColumns({"a": r("a", 3), "b": r("b", 3), "aicc_power": r("aicc_power", 4), "aicc_constant": r("aicc_constant", 4)})
+
+
+@query("contexts_for_target", POWER + " SELECT curve, round(CASE WHEN (4600 - a) / b > 0 THEN ((4600 - a) / b) ** (-1 / rate) END, 3) AS needed FROM s")
+def _(spark, d):
+    return rounded(models.contexts_for_target(models.power_fit(curves(spark, d), "curve", "x", "y", [0.5, 1.0]), "curve", 4600.0), digits=3)
+
+
+@query("prediction_sets", PROB + """, s AS (SELECT doc_id, quality, p, doc_id % 2 = 0 AS cal FROM l), sc AS (SELECT quality AS label, 1 - CASE WHEN quality = 1 THEN p ELSE 1 - p END AS score FROM s WHERE cal), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score) AS i, ceil((count(*) OVER (PARTITION BY label) + 1) * (1 - 0.2)) AS need FROM sc), c AS (SELECT label, coalesce(min(score) FILTER (i = need), 'inf'::DOUBLE) AS cut FROM k GROUP BY 1),
+t AS (SELECT quality, p <= (SELECT cut FROM c WHERE label = 0) + 1e-12 AS in0, 1 - p <= (SELECT cut FROM c WHERE label = 1) + 1e-12 AS in1 FROM s WHERE NOT cal), u AS (SELECT quality, in0 OR NOT (in0 OR in1) AS in0, in1 OR NOT (in0 OR in1) AS in1 FROM t)
+SELECT round(avg(in0::INT + in1::INT), 6) AS size, round(avg(CASE WHEN quality = 1 THEN in1 ELSE in0 END::INT), 6) AS covered, round(avg((in0 <> in1)::INT), 6) AS singleton FROM u""")
+def _(spark, d):
+    p = probabilities(spark, d).withColumn("label", F.col("quality").cast("int")).withColumn("score", 1 - F.when(F.col("quality") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    cuts = models.conformal_cut(p.filter("doc_id % 2 = 0"), ["label"], "score", 0.2)
+    sets = models.prediction_sets(p.filter("doc_id % 2 <> 0").withColumn("probs", F.array(1 - F.col("p"), F.col("p"))), cuts, "probs")
+    return rounded(models.set_quality(sets, "quality"))
+
+
+@query("feature_flags", "SELECT p_brand, round(avg(p_retailprice), 4) AS mean, round(var_pop(p_retailprice), 2) AS variance, bool_or(p_size = 50) AS is_target, p_brand LIKE 'Brand#2%' AS is_technical, var_pop(p_retailprice) <= 1e-12 AS is_flat, NOT (bool_or(p_size = 50) OR p_brand LIKE 'Brand#2%' OR var_pop(p_retailprice) <= 1e-12) AS eligible FROM part GROUP BY 1")
+def _(spark, d):
+    p = table(spark, d, "part")
+    f = cohort.feature_flags(p, "p_brand", "p_retailprice", p.filter("p_size = 50"), ("brand#2",))
+    return f.withColumns({"mean": r("mean", 4), "variance": r("variance", 2)})
+
+
+@query("pairing", "SELECT user_id, a AS n_first, b AS n_second, CASE WHEN a = 1 AND b = 1 THEN 'paired' WHEN a > 0 AND b > 0 THEN 'replicated' WHEN a > 0 THEN 'first_only' WHEN b > 0 THEN 'second_only' ELSE 'neither' END AS pairing FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1)")
+def _(spark, d):
+    return cohort.pairing(table(spark, d, "events"), "user_id", "event_type", "click", "purchase")
+
+
+@query("one_of_each", "SELECT user_id, event_type, arg_min(event_id, (sha256('one|' || user_id || '|' || event_type || '|' || event_id), event_id)) AS event_id FROM events GROUP BY ALL")
+def _(spark, d):
+    return cohort.one_of_each(table(spark, d, "events"), ["user_id", "event_type"], "event_id", "one")
+
+
+@query("missingness", '''SELECT o_orderstatus, "column", sum(there)::BIGINT AS present, (count(*) - sum(there))::BIGINT AS missing, round(avg(there), 6) AS share FROM (SELECT o_orderstatus, unnest(['big', 'urgent']) AS "column", unnest([(o_totalprice > 200000)::INT, (o_orderpriority LIKE '1%')::INT]) AS there FROM orders) GROUP BY ALL''')
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_totalprice") > 200000, 1).alias("big"), F.when(F.col("o_orderpriority").startswith("1"), 1).alias("urgent"))
+    return rounded(cohort.missingness(o, "o_orderstatus", ["big", "urgent"]))
+
+
+@query("gram_without_fold", with_facts(", fo AS (SELECT intervention, ((row_number() OVER (ORDER BY sha256('fg|' || intervention)) - 1) % 5)::INT AS fold FROM (SELECT DISTINCT intervention FROM fact)) SELECT h.fold AS hidden, a.context AS ctx_a, b.context AS ctx_b, round(sum(a.value * b.value) - sum(a.value) * sum(b.value) / count(*), 3) AS dot FROM (SELECT DISTINCT fold FROM fo) h, fact a JOIN fact b USING (replicate, intervention, feature) JOIN fo ON fo.intervention = a.intervention WHERE fo.fold <> h.fold GROUP BY ALL", "r_name"))
+def _(spark, d):
+    f = facts(spark, d, "r_name")
+    return rounded(signal.gram_without(signal.fold_gram(f, design.stride_folds(f, "intervention", "fg"))), digits=3)
+
+
+@query("shared_and_specific", with_facts(PRED + ", s AS (SELECT context, sum(value * pred) AS vl, sum(pred * pred) AS ll, sum(value * value) AS vv FROM p GROUP BY 1) SELECT context, round(vl / ll, 6) AS beta, round(vl / ll * vl, 3) AS shared, round(vv - vl / ll * vl, 3) AS specific FROM s"))
+def _(spark, d):
+    s = signal.shared_and_specific(facts(spark, d))
+    return s.select("context", r("beta").alias("beta"), r("shared", 3).alias("shared"), r("specific", 3).alias("specific"))
+
+
+@query("matched_selection", "WITH s AS (SELECT p_brand AS brand, round(avg(p_retailprice), 4) AS v FROM part GROUP BY 1) SELECT brand, partner, rank FROM (SELECT a.brand, b.brand AS partner, row_number() OVER (PARTITION BY a.brand ORDER BY round(abs(a.v - b.v), 6), b.brand)::INT AS rank FROM s a JOIN s b ON a.brand <> b.brand) WHERE rank <= 2")
+def _(spark, d):
+    s = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(r(F.avg("p_retailprice"), 4).alias("v"))
+    return signal.matched(s, s, "brand", "v", 2)
+
+
+@query("penalty_selection")
+def _(spark, d):
+    g = interaction.context_gram(gram(spark, d))
+    return models.select_penalty(facts(spark, d), g, [0.01, 0.1, 1.0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
