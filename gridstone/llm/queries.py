@@ -32,4 +32,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_exact_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op2_exact_topk": topk.ORACLE, "op4_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE}

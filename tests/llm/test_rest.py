@@ -65,7 +65,7 @@ def test_warc_round_trip(spark, monkeypatch):
     same = warc.lookup(archive, spark.createDataFrame([("HTTP://A.example.com/x?q=1",), ("http://nowhere.example",), ("http://d.example.com/",)], "url string"))
     assert sorted(str(r.page_id) for r in same.collect()) == ["1", "2", "None", "None"]
     got = {r.page_id: r for r in warc.read_records(archive, warc.lookup(archive, df)).collect()}
-    assert got[6].payload.decode() == PAGES[5][2] and got[6].url.endswith("é%20\U0001f600".replace("%20", " ")) or got[6].payload.decode() == PAGES[5][2]
+    assert got[6].payload.decode() == PAGES[5][2] and got[6].url == PAGES[5][1]
     assert warc.warc_report(df.limit(0)).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_html():
     assert t("a &amp; b<br>c<p>d<p>e") == "a & b\nc\n\nd\n\ne"
     assert t("<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>") == "- one\n- two\n  3. x\n  4. y"
     assert t("<table><tr><th>a<th>bb<tr><td>ccc<td>d</table>end") == "a   | bb\nccc | d\n\nend"
-    assert t("<table><td>x<table><td>in</table><td>y</table>") == "x  | y\n   |\nin |" or "in" in t("<table><td>x<table><td>in</table><td>y</table>")
+    assert t("<table><td>x<table><td>in</table><td>y</table>") == "x  | y\n\nin"
     assert t("<pre>\n a\n  b </pre>c") == " a\n  b\n\nc".strip("\n")
     assert t("<p>a <b>b </b> c</i></p></div></p>d") == "a b c\n\nd"
     assert t("x < y <a href='>'>l</a> <img alt=\"pic\"> <unclosed") == "x < y l pic <unclosed"
@@ -96,7 +96,6 @@ def test_html_whole_table(spark):
     got = {r.page_id: r for r in html.html_report(df).collect()}
     assert len(got) == df.count()
     for r in df.collect():
-        assert "<" not in got[r.page_id].text.replace("<|", "") or True
         assert got[r.page_id].n_chars > 0 and "track(" not in got[r.page_id].text
     assert html.html_report(df.limit(0)).count() == 0
 
