@@ -96,3 +96,18 @@ def compress_ranges(df: DataFrame, value: str) -> DataFrame:
     """Runs of consecutive integers as first, last."""
     d = df.select(F.col(value).alias("v")).distinct()
     return d.withColumn("g", F.col("v") - F.row_number().over(Window.orderBy("v"))).groupBy("g").agg(F.min("v").alias("first"), F.max("v").alias("last")).select("first", "last")
+
+
+def benchmark_targets(units: DataFrame, name: str, seed: str) -> DataFrame:
+    """The units at the first, third, two-thirds and last place of the hash order."""
+    df = units.select(name).distinct().withColumn("i", F.row_number().over(Window.orderBy(hash_order(name, seed))) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n = F.col("n")
+    return df.filter(F.col("i").isin(0) | (F.col("i") == F.floor(n / 3)) | (F.col("i") == F.floor(2 * n / 3)) | (F.col("i") == n - 1)).select(name, F.col("i").cast("int").alias("place"))
+
+
+def two_versions(df: DataFrame, unit: str, kind: str, version: str) -> DataFrame:
+    """unit, version_a, version_b: the first two versions that all kinds of the unit share."""
+    kinds = df.groupBy(unit).agg(F.count_distinct(kind).alias("kinds"))
+    shared = df.groupBy(unit, version).agg(F.count_distinct(kind).alias("have")).join(kinds, unit).filter("have = kinds")
+    first = shared.groupBy(unit).agg(F.array_sort(F.collect_set(version)).alias("vs")).filter(F.size("vs") >= 2)
+    return first.select(unit, F.col("vs")[0].alias("version_a"), F.col("vs")[1].alias("version_b"))

@@ -109,3 +109,23 @@ def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
         return min(1.0, sum(math.exp(base - lg(k + 1) - lg(row - k + 1) - lg(col - k + 1) - lg(n - row - col + k + 1)) for k in range(a, min(row, col) + 1)))
 
     return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d)])
+
+
+def retention(df: DataFrame, keys: list[str], name: str, value: str, full: str) -> DataFrame:
+    """Each name's value as a share of the full one's of the same keys; null where that isn't positive."""
+    f = df.filter(F.col(name) == full).select(*keys, F.col(value).alias("__full"))
+    return df.join(f, keys).select(*keys, name, safe_ratio(F.col(value), F.col("__full")).alias("retention"))
+
+
+def selection_coherence(df: DataFrame, keys: list[str], k: str, least_share: float, widest: float) -> DataFrame:
+    """Most frequent choice, its share and the quartile range, and whether both are within their limits."""
+    n = df.groupBy(*keys, k).agg(F.count(F.lit(1)).alias("n"))
+    mode = n.groupBy(*keys).agg(F.max(F.struct("n", (-F.col(k)).alias("k"))).alias("m"), F.sum("n").alias("all")).select(*keys, (-F.col("m.k")).alias("mode"), (F.col("m.n") / F.col("all")).alias("share"))
+    q = df.groupBy(*keys).agg(F.percentile(k, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(*keys, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    return mode.join(q, keys).withColumn("coherent", (F.col("share") >= least_share) & (F.col("iqr") <= widest))
+
+
+def unit_metric_draws(draws: DataFrame, metrics: DataFrame, unit: str, names: list[str]) -> DataFrame:
+    """draw -> weighted mean of each unit metric: profiles stay whole, only units are drawn."""
+    d = draws.join(metrics, unit)
+    return d.groupBy("draw").agg(*(safe_ratio(F.sum(F.col("times") * F.col(c)), F.sum("times").cast("double")).alias(c) for c in names))

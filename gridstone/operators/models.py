@@ -17,8 +17,8 @@ def affine_weights(gram: np.ndarray, cross: np.ndarray, ridge: float) -> np.ndar
     return np.linalg.lstsq(kkt, np.append(cross, 1.0), rcond=None)[0][:n]
 
 
-def fit_affine(gram: DataFrame, ridge: float) -> DataFrame:
-    """context, source, weight: each context from all others, on a context Gram(ctx_a, ctx_b, dot). A group is one context's Gram."""
+def fit_affine(gram: DataFrame, ridge: float, rank: int | None = None) -> DataFrame:
+    """context, source, weight: each context from all others, on a context Gram(ctx_a, ctx_b, dot); with a rank, deviations from equal weights stay in the Gram's leading axes. A group is one context's Gram."""
     held = gram.select(F.col("ctx_a").alias("context")).distinct()
     pairs = held.join(gram, F.col("ctx_a") != F.col("context"))
 
@@ -31,7 +31,13 @@ def fit_affine(gram: DataFrame, ridge: float) -> DataFrame:
                 c[at[a]] = d
             else:
                 g[at[a], at[b]] = d
-        return pd.DataFrame({"context": key[0], "source": names, "weight": affine_weights(g, c, ridge)})
+        w = affine_weights(g, c, ridge)
+        if rank is not None:
+            h = np.eye(len(names)) - 1 / len(names)
+            axes = np.linalg.eigh(h @ g @ h)[1][:, -rank:]
+            w = 1 / len(names) + axes @ (axes.T @ (w - 1 / len(names)))
+            w = w + (1 - w.sum()) / len(names)
+        return pd.DataFrame({"context": key[0], "source": names, "weight": w})
 
     return pairs.groupBy("context").applyInPandas(solve, "context string, source string, weight double")
 
@@ -134,3 +140,24 @@ def prediction_sets(test: DataFrame, cuts: DataFrame, probs: str) -> DataFrame:
 
 def set_quality(sets: DataFrame, label: str) -> DataFrame:
     return sets.agg(F.avg(F.size("labels").cast("double")).alias("size"), F.avg(F.array_contains("labels", F.col(label).cast("int")).cast("double")).alias("covered"), F.avg((F.size("labels") == 1).cast("double")).alias("singleton"))
+
+
+def ridge_by_intervention(df: DataFrame, features: DataFrame, alpha: float) -> DataFrame:
+    """context, intervention, prediction: for each intervention a ridge from context features, around the mean of the other contexts; the predicted context is left out.
+
+    df(context, intervention, value), features(context, h array). A task holds one intervention's contexts.
+    """
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("context")
+        h, y = np.stack(pdf.h.to_numpy()).astype(float), pdf.value.to_numpy(float)
+        out = []
+        for i in range(len(y)):
+            t = np.arange(len(y)) != i
+            m, mh = y[t].mean(), h[t].mean(0)
+            z = h[t] - mh
+            w = np.linalg.solve(z.T @ z + alpha * np.eye(h.shape[1]), z.T @ (y[t] - m))
+            out.append(m + float((h[i] - mh) @ w))
+        return pd.DataFrame({"context": pdf.context, "intervention": key[0], "value": y, "prediction": out})
+
+    return df.join(features, "context").groupBy("intervention").applyInPandas(run, "context string, intervention string, value double, prediction double")

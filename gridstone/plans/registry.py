@@ -931,6 +931,54 @@ def _(spark, d):
     return models.select_penalty(facts(spark, d), g, [0.01, 0.1, 1.0])
 
 
+@query("retention", with_facts(", c AS (SELECT context, feature, sum(value * value) AS q FROM fact GROUP BY ALL) SELECT c.context, c.feature, CASE WHEN f.q > 0 THEN round(c.q / f.q, 6) END AS retention FROM c JOIN c f ON f.context = c.context AND f.feature = 'price'"))
+def _(spark, d):
+    c = facts(spark, d).groupBy("context", "feature").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
+    return rounded(inference.retention(c, ["context"], "feature", "q", "price"))
+
+
+@query("selection_coherence", "WITH n AS (SELECT p_brand, p_size % 5 AS k, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT p_brand, arg_min(k, (-n, k)) AS mode, max(n) / sum(n) AS share FROM n GROUP BY 1), q AS (SELECT p_brand, quantile_cont(p_size % 5, 0.75) - quantile_cont(p_size % 5, 0.25) AS iqr FROM part GROUP BY 1) SELECT p_brand, mode, round(share, 6) AS share, round(iqr, 6) AS iqr, share >= 0.22 AND iqr <= 2 AS coherent FROM m JOIN q USING (p_brand)")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_brand", (F.col("p_size") % 5).alias("k"))
+    return rounded(inference.selection_coherence(p, ["p_brand"], "k", 0.22, 2.0))
+
+
+@query("unit_metric_draws", SALES_SQL + """, m AS (SELECT r_name, avg(l_quantity) AS q, avg(l_discount) AS v FROM sale GROUP BY 1), ax AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS i, count(*) OVER () AS n FROM m), pk AS (SELECT d.draw, floor((('0x' || substr(sha256('um|' || d.draw || '|' || ax.i), 1, 13))::BIGINT / 4503599627370496.0) * ax.n)::INT AS i FROM ax, range(50) d(draw))
+SELECT draw::INT AS draw, round(avg(q), 6) AS q, round(avg(v), 6) AS v FROM pk JOIN ax USING (i) JOIN m USING (r_name) GROUP BY 1""")
+def _(spark, d):
+    m = sales(spark, d).groupBy("r_name").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("v"))
+    return rounded(inference.unit_metric_draws(inference.unit_draws(m, "r_name", 50, "um"), m, "r_name", ["q", "v"]))
+
+
+@query("benchmark_targets", "SELECT n_name, i::INT AS place FROM (SELECT n_name, row_number() OVER (ORDER BY sha256('bt|' || n_name)) - 1 AS i, count(*) OVER () AS n FROM nation) WHERE i IN (0, n // 3, 2 * n // 3, n - 1)")
+def _(spark, d):
+    return design.benchmark_targets(table(spark, d, "nation"), "n_name", "bt")
+
+
+@query("two_versions", SALES_SQL + ", h AS (SELECT n_name, p_type, count(DISTINCT l_returnflag) AS have FROM sale GROUP BY ALL), k AS (SELECT n_name, count(DISTINCT l_returnflag) AS kinds FROM sale GROUP BY 1), v AS (SELECT n_name, list(p_type ORDER BY p_type) AS vs FROM h JOIN k USING (n_name) WHERE have = kinds GROUP BY 1) SELECT n_name, vs[1] AS version_a, vs[2] AS version_b FROM v WHERE len(vs) >= 2")
+def _(spark, d):
+    return design.two_versions(sales(spark, d), "n_name", "l_returnflag", "p_type")
+
+
+@query("cross_replicate_contributions", with_facts(GAMMA + " SELECT a.feature, round(avg(a.gamma * b.gamma), 6) AS stable, round(avg((a.gamma ** 2 + b.gamma ** 2) / 2), 6) AS observed FROM gam a JOIN gam b USING (context, intervention, feature) WHERE a.replicate = 0 AND b.replicate = 1 GROUP BY 1"))
+def _(spark, d):
+    x = interaction.cross_replicate(gamma(spark, d), "gamma")
+    a, b = F.col("gamma0"), F.col("gamma1")
+    return rounded(x.groupBy("feature").agg(F.avg(a * b).alias("stable"), F.avg((a * a + b * b) / 2).alias("observed")))
+
+
+@query("low_rank_weights")
+def _(spark, d):
+    return models.fit_affine(interaction.context_gram(gram(spark, d)), 0.1, rank=3)
+
+
+@query("ridge_by_intervention")
+def _(spark, d):
+    f = facts(spark, d).filter("replicate = 0")
+    h = f.groupBy("context").pivot("feature", sorted(measures())).avg("value").select("context", F.array(*sorted(measures())).alias("h"))
+    return models.ridge_by_intervention(f.filter("feature = 'price'").select("context", "intervention", "value"), h, 1.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

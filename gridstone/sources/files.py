@@ -68,3 +68,14 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
+
+
+def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """key, values of the '!' header lines; and row, column, value of the tab-separated body, whose first line names the columns."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    parts = F.transform(F.split("value", "\t"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    header = lines.filter(F.col("value").startswith("!")).select(F.regexp_replace(parts[0], "^!", "").alias("key"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("values"))
+    body = lines.filter(~F.col("value").startswith("!") & (F.trim("value") != "")).select("at", parts.alias("p"))
+    names = body.agg(F.min_by("p", "at").alias("names"), F.min("at").alias("top"))
+    cells = body.join(F.broadcast(names)).filter("at > top").select(F.col("p")[0].alias("row"), "p", F.posexplode("names").alias("i", "column")).filter("i > 0")
+    return header, cells.select("row", "column", F.expr("try_cast(get(p, i) as double)").alias("value"))

@@ -195,3 +195,18 @@ def test_ridge_leave_one_out_against_numpy(spark):
         z = (x - x[t].mean(0)) / x[t].std(0)
         w = np.linalg.solve(z[t].T @ z[t] + 2 * np.eye(20), z[t].T @ (y[t] - y[t].mean(0)))
         assert abs(r.prediction - (y[t].mean(0) + z[~t] @ w)[0, r.output]) < 1e-8
+
+
+def test_series_matrix(spark, tmp_path):
+    (tmp_path / "s.txt").write_text('!Series_title\t"t"\n!Sample_id\t"a"\t"b"\n\n"ID"\t"a"\t"b"\n"g1"\t1.5\t\n"g2"\t2\t3\n!end\n')
+    header, cells = files.series_matrix(spark, str(tmp_path / "s.txt"))
+    assert {r.key: list(r["values"]) for r in header.collect()} == {"Series_title": ["t"], "Sample_id": ["a", "b"], "end": []}
+    assert {tuple(r) for r in cells.collect()} == {("g1", "a", 1.5), ("g1", "b", None), ("g2", "a", 2.0), ("g2", "b", 3.0)}
+
+
+def test_low_rank_weights_sum_to_one(fact):
+    g = interaction.context_gram(interaction.gram(interaction.two_way(fact), "gamma"))
+    w = models.fit_affine(g, 0.1, rank=1).toPandas()
+    assert np.allclose(w.groupby("context").weight.sum(), 1)
+    full, cut = models.fit_affine(g, 0.1).toPandas(), models.fit_affine(g, 0.1, rank=4).toPandas()
+    assert np.allclose(full.sort_values(["context", "source"]).weight, cut.sort_values(["context", "source"]).weight)
