@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 32
-SLICE = 5_000_000
+SLICE = 1_200_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = (1 << 64) - 1
 
