@@ -133,12 +133,15 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> dict:
 
 
 def train(docs: DataFrame) -> dict | None:
-    """The model of docs(text, lang): whole frequencies, weights from at most SAMPLE documents."""
+    """The model of docs(doc_id, text, lang): whole frequencies, weights from at most SAMPLE documents."""
     n, df = document_frequencies(docs)
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    few = docs.select("text", "lang").filter(F.length("text") > 0).orderBy(F.xxhash64("text", "lang")).limit(SAMPLE).collect()
+    # a hash threshold leaves about 1.5 * SAMPLE rows of any corpus to be ordered, so that no task sends more than its share
+    h = F.xxhash64("doc_id", "text", "lang")
+    near = F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.5 * SAMPLE / n))
+    few = docs.filter((F.length("text") > 0) & near).orderBy(h).select("text", "lang").limit(SAMPLE).collect()
     return fit([r.text for r in few], [r.lang for r in few], idf) if few else None
 
 
