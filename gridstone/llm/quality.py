@@ -5,12 +5,16 @@ into logarithmic buckets and counted by language and source. The counts are a
 quantile sketch of fixed relative error: bounded in size, merged by addition, equal
 whatever the order of the rows. Its quartiles give each group its own upper fence
 (the Tukey rule); the fences join the documents, and a text above one is rejected.
-A fence never falls below FLOOR, as a group whose values are all 0 says nothing
-about how much of a thing is too much.
+Most texts have none of a thing, so quartiles of n / d would be 0 everywhere. A text
+with n of a thing in d therefore enters the sketch as (n + 1) / (d + 1), the most that
+it lets one expect: with none, the longer it is, the less. It is judged by
+(n - 1) / (d + 1), so that a single occurrence rejects no text. GUARD, far below what
+is common, only keeps apart groups of equally long texts, whose quartiles coincide.
+Only texts of MIN_WORDS words make the sketches, as the others fail anyway.
 
 The text is read twice, once for the sketches and once for the verdict, so that no
 text is ever shuffled. Defined cases: a null text has no words and fails the base
-rule; null language or source is a group of its own; a group of any size has fences;
+rule; null language or source is a group of its own; a group with any text of MIN_WORDS words has fences;
 repeated rows each get a row; an empty table gives an empty result; other columns
 stay as they are.
 """
@@ -27,9 +31,9 @@ from .common import SPACE, fixed, let, word_count, written
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Relative error of the sketch; fences at q75 + REACH * (q75 - q25), at least FLOOR.
+#: Relative error of the sketch; fences at q75 + REACH * (q75 - q25), at least GUARD: one word in 100, one line in 20.
 ERROR, REACH = 0.01, 3.0
-FLOOR = {"symbols": 0.3, "marks": 0.3, "dup_lines": 0.4}
+GUARD = {"symbols": 0.01, "marks": 0.01, "dup_lines": 0.05}
 POSITION_BITS = 26
 
 
@@ -42,37 +46,37 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def densities(text: Column, n_words: Column, n_symbols: Column, n_lines: Column, n_dup_lines: Column) -> dict[str, Column]:
-    per = lambda n, d: F.when(d > 0, n / d).otherwise(F.lit(0.0))
-    return {"symbols": per(n_symbols, n_words), "marks": per(_left(text, "[^!]+"), n_words), "dup_lines": per(n_dup_lines, n_lines)}
+def densities(more: int) -> dict[str, Column]:
+    """Densities of with_lines(), with so many occurrences more (less, but not below none)."""
+    per = lambda n, d: F.greatest(n + more, F.lit(0)) / (d + 1)
+    return {"symbols": per(F.col("__n_symbols"), F.col("__n_words")), "marks": per(F.col("__n_marks"), F.col("__n_words")), "dup_lines": per(F.col("__n_dup_lines"), F.col("__n_lines"))}
 
 
 def bucket(x: Column) -> Column:
-    """The logarithmic bucket of a density; 0 for all below 1e-3."""
+    """The logarithmic bucket of a density above 0."""
     gamma = (1 + ERROR) / (1 - ERROR)
-    return F.when(x < 1e-3, F.lit(0)).otherwise(F.ceil(F.log(x * 1e3) / math.log(gamma)).cast("int") + 1)
+    return F.ceil(F.log(x) / math.log(gamma)).cast("int")
 
 
 def value(b: Column) -> Column:
-    """The middle of a bucket."""
+    """The upper end of a bucket, so that rounding rejects no text."""
     gamma = (1 + ERROR) / (1 - ERROR)
-    return F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), b - 1) * (2e-3 / (gamma + 1)))
+    return F.pow(F.lit(gamma), b)
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """docs with __text (null: empty), __n_words, __n_symbols, __n_lines and __n_dup_lines."""
+    """docs with __text (null: empty), __n_words, __n_symbols, __n_marks, __n_lines and __n_dup_lines."""
     df = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     text = F.col("__text")
     lines = let(_lines(text), lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup")))
-    df = fixed(df, __n_words=word_count(text), __n_symbols=_left(text, SYMBOLS), __l=lines)
+    df = fixed(df, __n_words=word_count(text), __n_symbols=_left(text, SYMBOLS), __n_marks=_left(text, "[^!]+"), __l=lines)
     return df.withColumns({"__n_lines": F.col("__l.n"), "__n_dup_lines": F.col("__l.dup")}).drop("__l")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Counts by lang, source, density and bucket. Two sketches merge by adding counts."""
-    df = with_lines(docs.select("text", "lang", "source"))
-    found = densities(F.col("__text"), F.col("__n_words"), F.col("__n_symbols"), F.col("__n_lines"), F.col("__n_dup_lines"))
-    df = df.select("lang", "source", F.array(*(bucket(x) for x in found.values())).alias("bs"))
+    df = with_lines(docs.select("text", "lang", "source")).filter(F.col("__n_words") >= MIN_WORDS)
+    df = df.select("lang", "source", F.array(*(bucket(x) for x in densities(1).values())).alias("bs"))
     # one row a document, counted before the shuffle; then each density's own counts
     df = df.groupBy("lang", "source", "bs").agg(F.count(F.lit(1)).alias("n")).select("lang", "source", "n", F.posexplode("bs").alias("density", "bucket"))
     return df.groupBy("lang", "source", "density", "bucket").agg(F.sum("n").alias("n"))
@@ -80,13 +84,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source -> the upper fence of each density."""
-    group = Window.partitionBy("lang", "source", "density")  # rows: buckets, some hundreds at most
+    group = Window.partitionBy("lang", "source", "density")  # rows: buckets, about 1,100 at most
     df = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: value(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket"))))
     df = df.groupBy("lang", "source", "density").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
     df = df.withColumn("fence", F.col("q75") + REACH * (F.col("q75") - F.col("q25")))
-    one = lambda k, name: F.greatest(F.lit(FLOOR[name]), F.max(F.when(F.col("density") == k, F.col("fence")))).alias(f"__fence_{name}")
-    return df.groupBy("lang", "source").agg(*(one(k, name) for k, name in enumerate(FLOOR)))
+    one = lambda k, name: F.greatest(F.lit(GUARD[name]), F.max(F.when(F.col("density") == k, F.col("fence")))).alias(f"__fence_{name}")
+    return df.groupBy("lang", "source").agg(*(one(k, name) for k, name in enumerate(GUARD)))
 
 
 def repeat_words(text: Column) -> Column:
@@ -116,13 +120,13 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = written(fences(sketches(docs)), "quality-fences")
     df = with_lines(docs)
     text = F.col("__text")
-    df = fixed(df, __word_chars=_left(text, SPACE), __n_repeat_words=repeat_words(text), __d=F.struct(*(x.alias(n) for n, x in densities(text, F.col("__n_words"), F.col("__n_symbols"), F.col("__n_lines"), F.col("__n_dup_lines")).items())))
+    df = fixed(df, __word_chars=_left(text, SPACE), __n_repeat_words=repeat_words(text))
     df = df.withColumn("__base_failed", (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words")))
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     df = df.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     fits = F.lit(True)
-    for name in FLOOR:
-        fits = fits & (F.col(f"__d.{name}") <= F.col(f"__fence_{name}"))
+    for name, x in densities(-1).items():
+        fits = fits & (x <= F.col(f"__fence_{name}"))
     return df.withColumn("__kept", ~F.col("__base_failed") & fits)
 
 

@@ -126,6 +126,27 @@ def test_quality_verdict_follows_labels(spark):
     assert n.get((0, True), 0) <= 0.3 * n[(0, False)]
 
 
+def test_quality_fences_follow_their_group(spark):
+    def text(i, words, symbols=0, lines=1, repeated=0):
+        w = [f"w{i}x{k}" + "#" * (k < symbols) for k in range(words)]
+        step = -(-len(w) // lines)
+        rows = [" ".join(w[k : k + step]) for k in range(0, len(w), step)]
+        return "\n".join(rows[: len(rows) - repeated] + rows[:1] * repeated)
+
+    plain = [(i, text(i, 180 + i, 0, 30), "en", "plain") for i in range(40)]
+    maths = [(100 + i, text(i, 100 + i, 60 + i, 30), "en", "maths") for i in range(40)]
+    far = [(1000 + k, text(1000 + k, *x), "en", source) for k, (x, source) in enumerate((x, s) for s in ("plain", "maths") for x in ((150, 50), (200, 1), (220, 0, 40, 14)))]
+    df = spark.createDataFrame(plain + maths + far, "doc_id bigint, text string, lang string, source string")
+    limits = {r.source: r for r in quality.fences(quality.sketches(df)).collect()}
+    assert limits["plain"]["__fence_symbols"] < 0.1 < 0.4 < limits["maths"]["__fence_symbols"]
+    assert all(0 < r[f"__fence_{x}"] < 0.3 for r in limits.values() for x in ("marks", "dup_lines"))
+    kept = {r.doc_id: r.kept for r in quality.quality_report(df).collect()}
+    assert all(kept[i] for i, *_ in plain + maths)
+    assert [kept[1000 + k] for k in range(6)] == [False, True, False, True, True, False]
+    alone = spark.createDataFrame([(1, text(1, 3000, 1400), "en", "one"), (2, "short # # #", "en", "two")], df.schema)
+    assert {r.doc_id: r.kept for r in quality.quality_report(alone).collect()} == {1: True, 2: False}
+
+
 def test_mixing_against_sql(spark, small):
     for df in (docs(spark, small), docs(spark, small).limit(0)):
         documents = df.select("doc_id", "source", "text").toArrow()  # noqa: F841  DuckDB reads it
