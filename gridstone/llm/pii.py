@@ -1,10 +1,12 @@
 """Personal data by candidate gradient boosting (native).
 
 Base spans come from fixed patterns and validators. Beside them, high-recall
-generators propose further spans, which may overlap: written-out e-mail addresses,
-telephone numbers without a plus, social security numbers, IBANs. Boosted trees score each by
-its format and context; the scores are calibrated, and a threshold a kind, set for
-PRECISION on held-out rows, selects what is kept. The base spans always stay.
+generators propose further spans: written-out e-mail addresses, telephone numbers
+without a plus, social security numbers, IBANs. Telephone numbers are proposed from every
+group of digits to every later one in reach, so that one beside other numbers is among
+them. Boosted trees score each by its format and context; the scores are calibrated, and a
+threshold a kind, set for PRECISION on held-out rows, selects what is kept. Of telephone
+numbers that overlap the most probable stays. The base spans always stay.
 
 The trees are fitted on the driver on TRAINING_ROWS texts made by rule from a fixed
 seed (the only bound of the operator); features of training rows and of documents
@@ -38,12 +40,14 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Generators of further candidates.
 GENERATORS = {
     "email": r"(?i)\b[a-z0-9._%+-]{1,64} ?(?:@|[\[({] ?at ?[\])}]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]| dot ) ?[a-z0-9-]{2,63}){1,4}",
-    "phone": r"(?<![0-9A-Za-z.+-])[0(]?[0-9(][0-9() ./-]{5,17}[0-9](?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z.+-])\(?+[0-9]++(?![A-Za-z])(?:[() ./-]++[0-9]++(?![A-Za-z]))*+",  # a region, see numbers()
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
-#: Texts that can hold a candidate at all.
-GUARDS = {"email": r"(?i) at .{1,64} dot |[\[({] ?at ?[\])}]|\w ?@ ?\w", "phone": r"[0-9][0-9() ./-]{5,17}[0-9]", "ssn": r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"}
+#: A telephone number has so many characters and digits.
+WIDTH, DIGITS = 20, (7, 15)
+#: Texts that can hold a candidate at all: every candidate implies its guard.
+GUARDS = {"email": r"(?i)@|\bat\b", "phone": r"[0-9](?:[() ./-]*+[0-9]){6}", "ssn": r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"}
 KINDS = (*PATTERNS, "ssn", "iban")
 #: Cue words before a candidate.
 CUES = {
@@ -92,19 +96,65 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """What the generators propose, as SPAN."""
     none = F.expr(f"cast(array() as {SPAN})")
-    enough = {"phone": lambda s: F.length(_digits(s["m"])).between(7, 15)}
     each = []
     for name, pattern in GENERATORS.items():
         spans = found(text, pattern, KINDS.index(name))
-        each.append(F.when(text.rlike(GUARDS[name]), F.filter(spans, enough[name]) if name in enough else spans).otherwise(none))
+        each.append(F.when(text.rlike(GUARDS[name]), numbers(spans) if name == "phone" else spans).otherwise(none))
     return F.concat(*each)
 
 
+def numbers(regions: Column) -> Column:
+    """Overlapping telephone numbers of regions, which are groups of digits with separators: every run of groups that has WIDTH and DIGITS, with a bracket before it."""
+    kind = KINDS.index("phone")
+
+    def span(r: Column, w: Column, a: Column, b: Column) -> Column:
+        bracket = w.startswith("(").cast("int")
+        m = w.substr(2 - bracket, b["end"] - a["start"] + bracket)
+        return F.struct(F.lit(kind).alias("kind"), (r["start"] + a["start"] - bracket).alias("start"), (r["start"] + b["end"]).alias("end"), m.alias("m"))
+
+    fits = lambda s: (F.length(s["m"]) <= WIDTH) & F.length(_digits(s["m"])).between(*DIGITS)
+    # a long region is cut once a group: the character before the group and what is in reach
+    around = lambda r, a: F.when(a["start"] == 0, F.concat(F.lit(" "), r["m"].substr(F.lit(1), F.lit(WIDTH)))).otherwise(r["m"].substr(a["start"], F.lit(WIDTH + 1)))
+    near = lambda g, a, i: F.filter(F.slice(g, i + 1, F.lit(WIDTH // 2)), lambda b: b["end"] - a["start"] <= WIDTH)
+    runs = lambda r, g: F.flatten(F.transform(g, lambda a, i: let(around(r, a), lambda w: F.filter(F.transform(near(g, a, i), lambda b: span(r, w, a, b)), fits))))
+    rich = F.filter(regions, lambda r: F.length(_digits(r["m"])) >= DIGITS[0])
+    return F.flatten(F.transform(rich, lambda r: let(found(r["m"], "[0-9]+", kind), lambda g: runs(r, g))))
+
+
+def apart(base: Column, cand: Column) -> Column:
+    """The candidates that no base span overlaps: sorted together, the largest end of base spans before and the smallest start of those after decide. Not quadratic."""
+    tag = lambda xs, c: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(c).alias("c"), s.alias("s")))
+    only = lambda ts, x, other: F.transform(ts, lambda t: F.when(t["c"] == 0, x(t["s"])).otherwise(F.lit(other)).cast("bigint"))
+    most = lambda xs: scan(xs, lambda a, b: F.greatest(a, b))
+
+    def free(ts: Column, ends: Column, starts: Column) -> Column:
+        alone = lambda t, i: (t["c"] == 1) & (F.get(ends, i) <= t["start"]) & (-F.get(starts, F.size(ts) - 1 - i) >= t["s"]["end"])
+        return F.transform(F.filter(ts, alone), lambda t: t["s"])
+
+    return let(F.sort_array(F.concat(tag(base, 0), tag(cand, 1))), lambda ts: let(most(only(ts, lambda s: s["end"], 0)), lambda ends: let(most(F.reverse(only(ts, lambda s: -s["start"], -(1 << 40)))), lambda starts: free(ts, ends, starts))))
+
+
+def resolved(spans: Column) -> Column:
+    """Of spans with p those that no more probable (then longer, then earlier) kept one overlaps. Chains of overlapping spans are resolved one by one."""
+    rank = lambda s: F.struct((-s["p"]).alias("p"), (s["start"] - s["end"]).alias("w"), s["start"].alias("start"), s["s"].alias("s"))
+    meets = lambda a, b: (a["s"]["start"] < b["s"]["end"]) & (b["s"]["start"] < a["s"]["end"])
+    none = lambda c: F.slice(c, 1, 0)
+    best = lambda chain: let(F.sort_array(F.transform(chain, rank)), lambda c: F.aggregate(c, none(c), lambda acc, s: F.when(F.exists(acc, lambda k: meets(k, s)), acc).otherwise(F.concat(acc, F.array(s)))))
+
+    def chains(ss: Column, tops: Column) -> Column:
+        heads = F.filter(F.transform(ss, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(tops, i - 1)), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.flatten(F.transform(h, lambda i, k: best(F.slice(ss, i + 1, F.coalesce(F.get(h, k + 1), F.size(ss)) - i)))))
+
+    one = let(F.sort_array(spans), lambda ss: let(scan(F.transform(ss, lambda s: s["end"].cast("bigint")), lambda a, b: F.greatest(a, b)), lambda tops: chains(ss, tops)))
+    return F.transform(one, lambda x: x["s"])
+
+
 def features(text: Column, s: Column) -> Column:
     """Format and context of a candidate: array<double>."""
     m = s["m"]
     count = lambda p: (F.length(m) - F.length(F.regexp_replace(m, p, ""))).cast("double")
     before = text.substr(F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+    after = text.substr(s["end"] + 1, F.lit(8))
     groups = F.split(m, "[^0-9A-Za-z]+")
     flag = lambda c: c.cast("double")
     return F.array(
@@ -113,20 +163,31 @@ def features(text: Column, s: Column) -> Column:
         F.aggregate(groups, F.lit(99), lambda a, g: F.least(a, F.length(g))).cast("double"),
         *(flag(before.rlike(c)) for c in CUES.values()),
         flag(m.rlike(r"(?i)\bat\b|@")), flag(m.rlike(r"(?i)\bdot\b")), flag(m.rlike(r"(?:19|20)[0-9]{2}")), flag(before.rlike(r"[\"'=#$€£:]\s?\z")),
+        flag(before.rlike(r"[0-9][() ./-]*\z")), flag(before.rlike(r"[0-9][./-]\z")), flag(after.rlike(r"\A[() ./-]*[0-9]")), flag(after.rlike(r"\A[./-][0-9]")),
     )
 
 
 def training_rows(seed: int = SEED, n: int = TRAINING_ROWS) -> list[tuple[str, int, int]]:
-    """(text, where the true span starts or -1, the number of the row), by rule: half hold personal data, half what only looks so."""
+    """(text, where the first true span starts or -1, the number of the row)."""
+    return [(text, spans[0][0] if spans else -1, i) for text, spans, i in training_texts(seed, n)]
+
+
+def training_texts(seed: int = SEED, n: int = TRAINING_ROWS) -> list[tuple[str, list[tuple[int, int]], int]]:
+    """(text, its true spans, the number of the row), by rule: half hold personal data, half what only looks so."""
     rnd = random.Random(seed)
     num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rnd.choice(["an", "er", "on", "la", "que", "ung", "sch", "os", "ti", "re"]) for _ in range(rnd.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
     block = lambda k: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
     at, dot = lambda: rnd.choice(["(at)", "[at]", " at ", " [at] ", " (at) "]), lambda: rnd.choice(["(dot)", "[dot]", " dot ", " [dot] "])
+    phone = lambda: rnd.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(4)}/{num(6)}"])
+    cue = lambda: rnd.choice(["tel ", "phone: ", "call ", "fax ", "mobile ", "Telefon ", "appel ", "llame al "])
+    # what comes before, a true span, then by turns what is between and a further true span
     true = [
         lambda: (rnd.choice(["mail ", "write to ", "contact ", ""]), f"{word()}{at()}{word()}{dot()}{rnd.choice(['com', 'org', 'net', 'de', 'fr'])}"),
-        lambda: (rnd.choice(["tel ", "phone: ", "call ", "fax ", "mobile ", "Telefon ", "appel ", "llame al "]), rnd.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(4)}/{num(6)}"])),
+        lambda: (cue(), phone()),
+        lambda: (rnd.choice([cue(), ""]), phone(), rnd.choice([" / ", " ", "/", ", ", " - "]), phone()),
+        lambda: (cue(), phone(), f" {rnd.choice([rnd.randint(1990, 2030), num(2), num(4)])}"),
         lambda: ("", rnd.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"])),
         lambda: (rnd.choice(["ssn ", "social security ", "SSN: ", ""]), f"{num(3)}-{num(2)}-{num(4)}"),
         lambda: (rnd.choice(["iban ", "bank account ", "Konto ", ""]), f"{rnd.choice(['DE', 'FR', 'ES', 'GB'])}{num(2)} " + " ".join(num(4) for _ in range(rnd.randint(3, 5)))),
@@ -145,20 +206,24 @@ def training_rows(seed: int = SEED, n: int = TRAINING_ROWS) -> list[tuple[str, i
     ]
     rows = []
     for i in range(n):
-        lead, m = rnd.choice((true, false)[i % 2])()
-        head = f"{prose(rnd.randint(0, 6))} {lead}"
-        rows.append((f"{head}{m} {prose(rnd.randint(0, 6))}.", len(head) if i % 2 == 0 else -1, i))
+        lead, *parts = rnd.choice((true, false)[i % 2])()
+        text, spans = f"{prose(rnd.randint(0, 6))} {lead}", []
+        for k, part in enumerate(parts):
+            if i % 2 == 0 and k % 2 == 0:
+                spans.append((len(text), len(text) + len(part)))
+            text += part
+        rows.append((f"{text} {prose(rnd.randint(0, 6))}.", spans, i))
     return rows
 
 
 def fit_model(spark: SparkSession) -> dict:
     """Trees, calibration and the threshold of each kind. Rows with i % 3 == 2 are held out for the last two."""
-    rows = training_rows()
-    df = spark.createDataFrame(rows, "text string, at int, i int")
-    df = df.select("at", "i", F.col("text"), F.explode(candidates(F.col("text"))).alias("s"))
-    got = df.select("at", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), features(F.col("text"), F.col("s")).alias("x")).collect()
+    rows = training_texts()
+    df = spark.createDataFrame([(text, i) for text, _, i in rows], "text string, i int")
+    df = df.select("i", F.col("text"), F.explode(candidates(F.col("text"))).alias("s"))
+    got = df.select("i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), features(F.col("text"), F.col("s")).alias("x")).collect()
     x = np.array([r.x for r in got])
-    y = np.array([float(r.at >= 0 and abs(r.start - r.at) <= 1) for r in got])
+    y = np.array([float(any(abs(r.start - a) <= 1 and r.end == b for a, b in rows[r.i][1])) for r in got])
     held = np.array([r.i // 2 % 3 == 2 for r in got])
     trees = boosting.fit(x[~held], y[~held])
     a, b = boosting.platt(boosting.predict(trees, x[held]), y[held])
@@ -183,10 +248,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
     model = _model(docs.sparkSession)
     df = docs.withColumn("__t", F.coalesce("text", F.lit("")))
     df = fixed(df, __base=F.concat(*base_spans(F.col("__t")).values()), __cand=candidates(F.col("__t")))
-    apart = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     p = lambda x: 1 / (1 + F.exp(-(model["a"] * boosting.column(model["trees"], lambda j: F.get(x, F.lit(j))) + model["b"])))
     limit = lambda s: F.element_at(F.array(*(F.lit(model["limits"].get(k, 1.1)) for k in range(len(KINDS)))), s["kind"] + 1)
-    kept = F.filter("__cand", lambda s: apart(s) & (let(features(F.col("__t"), s), p) >= limit(s)))
+    scored = F.transform(apart(F.col("__base"), F.col("__cand")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), let(features(F.col("__t"), s), p).alias("p"), s.alias("s")))
+    phone = KINDS.index("phone")
+    chosen = lambda xs: F.sort_array(F.concat(F.transform(F.filter(xs, lambda x: x["s"]["kind"] != phone), lambda x: x["s"]), resolved(F.filter(xs, lambda x: x["s"]["kind"] == phone))))
+    kept = let(F.filter(scored, lambda x: x["p"] >= limit(x["s"])), chosen)
     none = F.expr(f"cast(array() as {SPAN})")
     return fixed(df, __more=F.when(F.size("__cand") > 0, kept).otherwise(none)).drop("__cand")
 

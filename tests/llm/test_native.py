@@ -98,6 +98,29 @@ def test_pii_held_out_accuracy(spark):
     assert right / len(rows) > 0.9
 
 
+def test_pii_guards_follow_generators(spark):
+    at = ["john at example.com", "john at example (dot) com", "john at example [dot] com", "john at example[dot]com", "john@example.com"]
+    rows = [t for t, *_ in pii.training_rows(seed=5, n=400)] + at
+    t = F.col("text")
+    cand = {k: pii.found(t, p, 0) for k, p in pii.GENERATORS.items()} | {"phone": pii.numbers(pii.found(t, pii.GENERATORS["phone"], 0))}
+    df = spark.createDataFrame([(x,) for x in rows], "text string").select("text", *((F.size(c) > 0).alias(k) for k, c in cand.items()), *(t.rlike(g).alias(f"guard_{k}") for k, g in pii.GUARDS.items()))
+    got = df.collect()
+    for k in pii.GUARDS:
+        assert any(r[k] for r in got) and not [r.text for r in got if r[k] and not r[f"guard_{k}"]]
+    assert all(r["email"] and r["guard_email"] for r in got if r.text in at)
+
+
+def test_pii_numbers_beside_each_other(spark):
+    a, b = "555-123-4567", "555-987-6543"
+    want = {f"call {a} / {b}": [a, b], f"call {a} {b}": [a, b], "call 415 555 2671 2024": ["415 555 2671"], "phone: (415) 555-2671 415 555 2672": ["(415) 555-2671", "415 555 2672"], f"tel {a}": [a]}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id int, text string")
+    proposed = {r.text: {x.m for x in r.c} for r in df.select("text", pii.candidates(F.col("text")).alias("c")).collect()}
+    found = {r.text: [x.m for x in r["__more"]] for r in pii.with_spans(df).collect()}
+    assert all(set(m) <= proposed[t] for t, m in want.items())
+    assert found == want
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()][:2] == ["call [PHONE] / [PHONE]", "call [PHONE] [PHONE]"]
+
+
 def brute_quality(text):
     text = text or ""
     w = words(text)
