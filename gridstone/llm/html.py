@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("script style head title meta link template noscript iframe object embed svg math datalist audio video canvas select noembed noframes".split())
+#: What a head can hold; text and all other tags begin the body.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
 BLOCKS = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer form header hgroup legend li main nav section summary caption optgroup option tr thead tbody tfoot center".split())
 #: An opening tag closes these open elements, up to the nearest of the barrier.
@@ -80,10 +82,15 @@ def build(page: str) -> Node:
                 # outer ones of the same set close as well
                 return close(names, barrier)
 
+    def say(text):
+        if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(text)
+
     while pos < n:
         m = TOKEN.match(page, pos)
         if m is None:  # a quote that never ends: take the bracket as text
-            stack[-1].children.append("<")
+            say("<")
             pos += 1
             continue
         pos = m.end()
@@ -91,13 +98,15 @@ def build(page: str) -> Node:
         if name is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+                say(entities.unescape(text) if "&" in text else text)
             continue
         name = name.lower()
         if m[1]:
             if name == "p" and not any(x.name == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             elif name == "br":
+                if stack[-1].name == "head":
+                    stack.pop()
                 stack[-1].children.append(Node("br"))
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
@@ -112,8 +121,11 @@ def build(page: str) -> Node:
             close(*IMPLIED[name])
         if name in ("html", "body") and (name == "html" or any(x.name == "body" for x in stack)):
             continue
-        if name in BLOCKS and name not in ("html", "head") and stack[-1].name == "head":
-            stack.pop()
+        if stack[-1].name == "head":
+            if name == "head":
+                continue
+            if name not in IN_HEAD:
+                stack.pop()
         node = Node(name, m[3] or "")
         stack[-1].children.append(node)
         if name in RAW:

@@ -91,6 +91,14 @@ def test_html():
     assert t("<li>" * 300 + "x").endswith("x") and len(t("w " * 200_000)) == 399_999
 
 
+def test_html_implied_body():
+    t = html.to_text
+    assert t("<html><head><title>t</title>Hello <b>world</b>") == "Hello world"
+    assert t("<head><title>t</title><font><p>one<p>two</font>") == "one\n\ntwo"
+    assert t("<head>\n<meta charset=x><head><link><noscript>no</noscript><style>no</style>\n<a href=x>link</a> on") == "link on"
+    assert t("<head><title>t</title></head><body>as before</body>") == "as before"
+
+
 def test_html_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html.html_report(df).collect()}
