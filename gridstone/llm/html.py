@@ -7,7 +7,8 @@ paragraphs and headings are set off by an empty line, list items get a bullet or
 their number and are indented by depth, tables become rows of cells padded to the
 width of their columns, preformatted text keeps its white space.
 
-All visible text of the whole page comes out, in order. Defined cases: a null page
+All visible text of the whole page comes out, in order: formulas, options and the text
+of drawings as well, and what is hidden from screen readers only. Defined cases: a null page
 gives null; an empty one, or one without visible text, an empty text; unclosed and
 stray tags never fail; repeated rows each get a row; other columns are left alone.
 """
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head title meta link template noscript iframe object embed svg math datalist audio video canvas select noembed noframes".split())
+HIDDEN = frozenset("script style head title meta link template noscript iframe object embed datalist audio video canvas noembed noframes".split())
 #: What a head can hold; text and all other tags begin the body.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+#: Never shown within svg and math.
+UNSEEN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
 BLOCKS = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer form header hgroup legend li main nav section summary caption optgroup option tr thead tbody tfoot center".split())
 #: An opening tag closes these open elements, up to the nearest of the barrier.
@@ -53,10 +56,10 @@ GAP = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "attrs")
+    __slots__ = ("name", "children", "attrs", "role")
 
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.children, self.attrs = name, [], attrs
+    def __init__(self, name: str, attrs: str = "", role: str = ""):
+        self.name, self.children, self.attrs, self.role = name, [], attrs, role
 
     def get(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -87,6 +90,10 @@ def build(page: str) -> Node:
             stack.pop()
         stack[-1].children.append(text)
 
+    def foreign():
+        """Whether svg or math is open, with no HTML inside."""
+        return next((x.name != "foreignobject" for x in reversed(stack) if x.name in ("svg", "math", "foreignobject")), False)
+
     while pos < n:
         m = TOKEN.match(page, pos)
         if m is None:  # a quote that never ends: take the bracket as text
@@ -126,8 +133,13 @@ def build(page: str) -> Node:
                 continue
             if name not in IN_HEAD:
                 stack.pop()
-        node = Node(name, m[3] or "")
+        attrs = m[3] or ""
+        closed = attrs.endswith("/")
+        inside = (closed or name == "text" or name in UNSEEN) and foreign()
+        node = Node(name, attrs, "" if not inside else "hidden" if name in UNSEEN else "block" if name == "text" else "")
         stack[-1].children.append(node)
+        if closed and (inside or name in ("svg", "math")):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, pos)
             stop = end.start() if end else n
@@ -141,12 +153,12 @@ def build(page: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    if node.name in HIDDEN:
+    if node.name in HIDDEN or node.role == "hidden":
         return True
     if not node.attrs:
         return False
     low = node.attrs.lower()
-    if "hidden" in low and (node.get("hidden") is not None or (node.get("aria-hidden") or "").lower() == "true"):
+    if "hidden" in low and node.get("hidden") is not None:
         return True
     if "style" in low and STYLE.search(node.get("style") or ""):
         return True
@@ -237,7 +249,7 @@ def render(node: Node, out: Layout, keep: bool = False, depth: int = 0) -> None:
             if inner.lines:
                 out.put(["  " + line if line else "" for line in inner.lines])
             out.end(int(name == "blockquote"))
-        elif name in BLOCKS:
+        elif name in BLOCKS or child.role == "block":
             nested = name in ("ul", "ol", "menu") and node.name == "li"
             gap = int(name in SPACED and not nested)
             out.end(gap)

@@ -99,6 +99,14 @@ def test_html_implied_body():
     assert t("<head><title>t</title></head><body>as before</body>") == "as before"
 
 
+def test_html_shows_what_browsers_show():
+    t = html.to_text
+    assert t("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds") == "so x=2 holds"
+    assert t("<select><option>one<option selected>two</select><p>end") == "one\ntwo\n\nend"
+    assert t("a<svg><title/><defs><text>no</text></defs><path d='M0'/><text x=1>b</text><text>c</text></svg>d") == "a\nb\nc\nd"
+    assert t("<span aria-hidden='true'>shown</span><span hidden>no</span><span aria-hidden=true style='display:none'>no</span>") == "shown"
+
+
 def test_html_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html.html_report(df).collect()}
