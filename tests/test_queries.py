@@ -43,6 +43,11 @@ def test_against_sql(spark, duck, name):
     assert a == b
 
 
+def test_logistic_program_scores_every_fold(spark):
+    got = [r.vec_id for r in registry.queries()["logistic_program"](spark, SF).collect()]
+    assert sorted(got) == sorted(r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
