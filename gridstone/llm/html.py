@@ -8,9 +8,23 @@ their number and are indented by depth, tables become rows of cells padded to th
 width of their columns, preformatted text keeps its white space.
 
 All visible text of the whole page comes out, in order: formulas, options and the text
-of drawings as well, and what is hidden from screen readers only. Defined cases: a null page
-gives null; an empty one, or one without visible text, an empty text; unclosed and
-stray tags never fail; repeated rows each get a row; other columns are left alone.
+of drawings as well, and what is hidden from screen readers only. `display: none` hides
+a subtree, `visibility` is inherited and can be undone further down.
+
+Time and memory are linear in the page, whatever it holds: tokens are found without
+going back, the tree builder looks open elements up by name, and tree walks keep a stack
+of their own, so that no depth is too great. Only the layout is bounded, never the text:
+indentation and nested tables end at depth NEST, below which items, quotes and rows are
+plain blocks; a cell wider than COLUMN characters doesn't widen its column; a table that
+padding would make PADDED times longer than its text is not padded; row spans end once
+SPANNED of them have been carried from row to row. Spans are held to the limits that
+HTML itself sets.
+
+Defined cases: a null page gives null; an empty one, or one without visible text, an
+empty text; unclosed and stray tags never fail; a tag that isn't closed is text; a
+quote that never ends makes the rest of the page be read without regard to quotes;
+repeated rows each get a row; other columns are left alone, but for html, which is
+replaced by text (and so is a column text that was there before).
 """
 
 from __future__ import annotations
@@ -49,10 +63,20 @@ IMPLIED = {
 }
 CLOSES_P = BLOCKS - {"html", "body", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "legend", "li", "dd", "dt"} | {"li", "dd", "dt"}
 SCOPE = frozenset({"td", "th", "table", "caption", "html", "object", "template"})
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+INLINE_END = frozenset("td th a b i em strong span".split())
+#: Markup that isn't a tag, and text up to the next bracket.
+OTHER = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?|[^<]+|<", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name: a quote counts after an equals sign only. The second form takes no account of quotes.
+QUOTED = re.compile(r"((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=(?!\s*[\"']))*+)>")
+BLIND = re.compile(r"([^>]*)>")
+SHOWN = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+STYLE = re.compile(r"display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 GAP = re.compile(r"[ \t\n\r\f]+")
+NEST, COLUMN, PADDED, SPANNED = 32, 80, 16, 2_000_000
+#: The largest spans of HTML.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 class Node:
@@ -70,70 +94,93 @@ class Node:
         return None
 
 
+class Open:
+    """The open elements: a stack, and by name the places in it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def last(self, names) -> int:
+        """The place of the innermost open element with one of the names, or 0."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().name].pop()
+
+    def close(self, names, barrier) -> None:
+        """Closes the outermost element of names that lies within the barrier, and all in it."""
+        low = self.last(barrier)
+        first = len(self.stack)
+        for x in names:
+            for p in reversed(self.at.get(x, ())):  # all that lie within are closed, so that each is looked at once
+                if p <= low:
+                    break
+                first = min(first, p)
+        self.cut(first)
+
+
 def build(page: str) -> Node:
     """The tree of a page. Children are nodes and strings."""
     root = Node("html")
-    stack = [root]
-    pos, n = 0, len(page)
-
-    def close(names, barrier):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in barrier:
-                return
-            if stack[k].name in names:
-                del stack[k:]
-                # outer ones of the same set close as well
-                return close(names, barrier)
+    now = Open(root)
+    stack = now.stack
+    pos, n, last = 0, len(page), page.rfind(">")
+    form = QUOTED
 
     def say(text):
         if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
-            stack.pop()
+            now.cut(len(stack) - 1)
         stack[-1].children.append(text)
 
     def foreign():
         """Whether svg or math is open, with no HTML inside."""
-        return next((x.name != "foreignobject" for x in reversed(stack) if x.name in ("svg", "math", "foreignobject")), False)
+        return now.last(("svg", "math")) > now.last(("foreignobject",))
 
     while pos < n:
-        m = TOKEN.match(page, pos)
-        if m is None:  # a quote that never ends: take the bracket as text
-            say("<")
-            pos += 1
-            continue
-        pos = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
+        m = NAME.match(page, pos)
+        body = None
+        if m and last >= m.end():
+            body = form.match(page, m.end())
+            if body is None:
+                form = BLIND
+                body = form.match(page, m.end())
+        if body is None:
+            text = "<" if m else OTHER.match(page, pos)[0]
+            pos += len(text)
             if text[0] != "<" or text == "<":
                 say(entities.unescape(text) if "&" in text else text)
             continue
-        name = name.lower()
+        pos = body.end()
+        name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(x.name == "p" for x in stack):
+            if name == "p" and not now.at.get("p"):
                 stack[-1].children.append(Node("p"))
             elif name == "br":
                 if stack[-1].name == "head":
-                    stack.pop()
+                    now.cut(len(stack) - 1)
                 stack[-1].children.append(Node("br"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in ("td", "th", "table", "li") and name not in BLOCKS and name not in ("td", "th", "a", "b", "i", "em", "strong", "span"):
-                    break
+            k = now.last((name,))
+            if k and (name in BLOCKS or name in INLINE_END or now.last(("td", "th", "table", "li")) <= k):
+                now.cut(k)
             continue
         if name in CLOSES_P:
-            close({"p"}, SCOPE)
+            now.close({"p"}, SCOPE)
         if name in IMPLIED:
-            close(*IMPLIED[name])
-        if name in ("html", "body") and (name == "html" or any(x.name == "body" for x in stack)):
+            now.close(*IMPLIED[name])
+        if name == "html" or (name == "body" and now.at.get("body")):
             continue
         if stack[-1].name == "head":
             if name == "head":
                 continue
             if name not in IN_HEAD:
-                stack.pop()
-        attrs = m[3] or ""
+                now.cut(len(stack) - 1)
+        attrs = body[1]
         closed = attrs.endswith("/")
         inside = (closed or name == "text" or name in UNSEEN) and foreign()
         node = Node(name, attrs, "" if not inside else "hidden" if name in UNSEEN else "block" if name == "text" else "")
@@ -147,8 +194,7 @@ def build(page: str) -> Node:
             node.children.append(entities.unescape(text) if name in ("textarea", "title") else text)
             pos = n if end is None else (page.find(">", stop) + 1 or n)
         elif name not in VOID:
-            if len(stack) < 512:  # deeper ones stay siblings
-                stack.append(node)
+            now.push(node)
     return root
 
 
@@ -206,34 +252,63 @@ class Layout:
         self.lines.extend(lines)
 
 
-def render(node: Node, out: Layout, keep: bool = False, depth: int = 0) -> None:
+def _walk(steps) -> None:
+    """Runs a generator that yields generators to be run before it goes on: recursion on a stack of its own."""
+    stack = [steps]
+    while stack:
+        try:
+            stack.append(next(stack[-1]))
+        except StopIteration:
+            stack.pop()
+
+
+def _visible(node: Node, before: bool) -> bool:
+    """Whether text in the node is shown: the last word of its own style, else what is inherited."""
+    if node.attrs and "visibility" in node.attrs.lower():
+        said = SHOWN.findall(node.get("style") or "")
+        if said:
+            return said[-1].lower() == "visible"
+    return before
+
+
+def _number(text: str | None, least: int, most: int) -> int:
+    """A span: 1 where it is missing or odd."""
+    return min(max(int(text), least), most) if text and re.fullmatch(r"[0-9]{1,9}", text) else 1
+
+
+def render(node: Node, out: Layout, keep: bool = False, depth: int = 0, seen: bool = True):
+    """Steps (see _walk) that lay the children of node out. depth: how many layouts are nested here."""
     number = None
     if node.name == "ol":
         start = node.get("start") or "1"
         number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
-            out.inline(child, keep)
+            if seen:
+                out.inline(child, keep)
             continue
         name = child.name
         if hidden(child):
             continue
+        shown = _visible(child, seen)
         if name == "br":
             out.end(force=True)
         elif name == "hr":
             out.end(1)
         elif name == "img":
-            if alt := child.get("alt"):
+            if shown and (alt := child.get("alt")):
                 out.inline(alt, keep)
-        elif name == "table":
+        elif name == "table" and depth < NEST:
             out.end(1)
-            if lines := table(child, depth):
+            lines: list[str] = []
+            yield table(child, lines, depth + 1, shown)
+            if lines:
                 out.put(lines)
             out.end(1)
-        elif name == "li":
+        elif name == "li" and depth < NEST:
             out.end()
             inner = Layout()
-            render(child, inner, keep, depth + 1)
+            yield render(child, inner, keep, depth + 1, shown)
             inner.end()
             mark = "- " if number is None else f"{number}. "
             if number is not None:
@@ -241,10 +316,10 @@ def render(node: Node, out: Layout, keep: bool = False, depth: int = 0) -> None:
             if inner.lines:
                 out.put([(mark if k == 0 else " " * len(mark) if line else "") + line for k, line in enumerate(inner.lines)])
             out.end()
-        elif name in ("dd", "blockquote"):
+        elif name in ("dd", "blockquote") and depth < NEST:
             out.end(int(name == "blockquote"))
             inner = Layout()
-            render(child, inner, keep, depth + 1)
+            yield render(child, inner, keep, depth + 1, shown)
             inner.end()
             if inner.lines:
                 out.put(["  " + line if line else "" for line in inner.lines])
@@ -253,9 +328,9 @@ def render(node: Node, out: Layout, keep: bool = False, depth: int = 0) -> None:
             nested = name in ("ul", "ol", "menu") and node.name == "li"
             gap = int(name in SPACED and not nested)
             out.end(gap)
-            if name == "pre":
+            if name == "pre" and not keep and depth < NEST:
                 inner = Layout()
-                render(child, inner, True, depth + 1)
+                yield render(child, inner, True, depth + 1, shown)
                 inner.lines.append("".join(inner.now).rstrip())
                 while inner.lines and not inner.lines[-1]:
                     inner.lines.pop()
@@ -264,84 +339,124 @@ def render(node: Node, out: Layout, keep: bool = False, depth: int = 0) -> None:
                 if inner.lines:
                     out.put(inner.lines)
             else:
-                render(child, out, keep, depth + 1)
-                if name in ("td", "th"):
-                    out.inline(" ", False)
+                yield render(child, out, keep, depth, shown)
             out.end(gap)
         else:
-            render(child, out, keep, depth + 1)
+            yield render(child, out, keep, depth, shown)
             if name in ("td", "th"):
                 out.inline(" ", False)
 
 
-def table(node: Node, depth: int) -> list[str]:
-    """Rows of cells, each column as wide as its widest cell; other content of the table comes before it."""
-    rows: list[list[list[str]]] = []
-    loose = Layout()
+def table(node: Node, out: list[str], depth: int, seen: bool):
+    """Steps that put the rows of a table into out, each column as wide as its widest cell; other content of the table comes before them.
 
-    def cells(part: Node):
-        row = None
+    A cell stands in the first column that no row span from above holds. Only columns in
+    which some cell begins are written, so that spans cost nothing.
+    """
+    rows: list[list[tuple[int, list[str]]]] = []
+    loose = Layout()
+    spans: list[tuple[int, int, int]] = []  # first column, column after the last, last row of what spans rows, by column
+    at = next_span = work = 0
+
+    def begin():
+        nonlocal at, next_span, work
+        rows.append([])
+        at = next_span = 0
+        spans.extend(tail)
+        tail.clear()
+        work += len(spans)
+        spans[:] = sorted(x for x in spans if x[2] >= len(rows)) if work < SPANNED else []
+
+    def place(cell: Node) -> int:
+        """The cell's first column."""
+        nonlocal at, next_span
+        while next_span < len(spans) and spans[next_span][0] <= at:
+            at = max(at, spans[next_span][1])
+            next_span += 1
+        first, at = at, at + _number(cell.get("colspan"), 1, COLSPAN)
+        tall = _number(cell.get("rowspan"), 0, ROWSPAN) or ROWSPAN
+        if tall > 1 and work < SPANNED:
+            tail.append((first, at, len(rows) + tall - 1))
+        return first
+
+    tail: list[tuple[int, int, int]] = []  # spans that this row begins
+
+    def cells(part: Node, vis: bool):
+        row = False
         for child in part.children:
             if isinstance(child, str):
-                if child.strip():
+                if vis and child.strip():
                     loose.inline(child, False)
             elif hidden(child):
                 continue
             elif child.name in ("thead", "tbody", "tfoot", "tr", "colgroup"):
                 if child.name == "tr":
-                    rows.append([])
-                    row = None
-                cells(child)
+                    begin()
+                    row = False
+                elif child.name != "colgroup":
+                    spans.clear()  # a row span ends with its group
+                    tail.clear()
+                yield cells(child, _visible(child, vis))
             elif child.name in ("td", "th"):
-                if part.name != "tr" and row is None:
-                    rows.append([])
-                row = rows[-1]
+                if not rows or (part.name != "tr" and not row):
+                    begin()
+                row = True
                 inner = Layout()
-                render(child, inner, False, depth + 1)
+                yield render(child, inner, False, depth, _visible(child, vis))
                 inner.end()
-                span = child.get("colspan") or "1"
-                row.append(inner.lines)
-                row.extend([[]] * (min(int(span), 50) - 1 if re.fullmatch(r"[0-9]{1,4}", span) and int(span) else 0))
+                rows[-1].append((place(child), inner.lines))
             elif child.name == "caption":
                 loose.end()
-                render(child, loose, False, depth + 1)
+                yield render(child, loose, False, depth, _visible(child, vis))
                 loose.end()
             else:
-                part_out = Node("div")
-                part_out.children.append(child)
-                render(part_out, loose, False, depth + 1)
+                lone = Node("div")
+                lone.children.append(child)
+                yield render(lone, loose, False, depth, vis)
 
-    cells(node)
+    yield cells(node, seen)
     loose.end()
-    wide: list[int] = []
+    out.extend(loose.lines)
+    used = {c: k for k, c in enumerate(sorted({c for row in rows for c, _ in row}))}
+    wide = [0] * len(used)
+    text = 0
     for row in rows:
-        for k, lines in enumerate(row):
-            if k == len(wide):
-                wide.append(0)
-            wide[k] = max([wide[k], *map(_wide, lines)])
-    out = list(loose.lines)
+        for c, lines in row:
+            k = used[c]
+            for line in lines:
+                w = _wide(line)
+                text += w + 1
+                wide[k] = max(wide[k], min(w, COLUMN))
+    ends = [0]
+    for w in wide:
+        ends.append(ends[-1] + w + 3)
+    padded = sum(ends[used[row[-1][0]]] * max((len(lines) for _, lines in row), default=0) for row in rows if row)
+    aligned = padded <= PADDED * (text + 1000)
     for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            line = []
-            for j, lines in enumerate(row):
-                text = lines[k] if k < len(lines) else ""
-                line.append(text + " " * (wide[j] - _wide(text)))
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            line, done = [], 0
+            for c, lines in row:
+                own = lines[k] if k < len(lines) else ""
+                if aligned:
+                    line.extend(" " * w for w in wide[done : used[c]])
+                    done = used[c] + 1
+                    own += " " * (wide[used[c]] - _wide(own))
+                line.append(own)
             out.append(" | ".join(line).rstrip(" |") if not any("|" in x for x in line) else " | ".join(line).rstrip())
-    return out
 
 
 def to_text(page: str | None) -> str | None:
     if page is None:
         return None
     out = Layout()
-    render(build(page), out)
+    _walk(render(build(page), out))
     out.end()
     return "\n".join(out.lines).strip("\n")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages with html replaced by text."""
-    columns = [c for c in pages.columns if c != "html" and c != "text"]
+    """pages with html replaced by text (a column text of their own as well)."""
+    columns = [c for c in pages.columns if c not in ("html", "text")]
     used = pages.select(F.struct(*columns).alias("__row"), F.col("html").alias("__html"))
 
     def run(batches):

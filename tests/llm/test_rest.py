@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,123 @@ def test_html_shows_what_browsers_show():
     assert t("<span aria-hidden='true'>shown</span><span hidden>no</span><span aria-hidden=true style='display:none'>no</span>") == "shown"
 
 
+@pytest.mark.parametrize("unit", ["<table><div>", "<table><b>", "<a ", '<a x="', '<a x=">"', "<ul><li>x", "<dl><dd>x", "<table><td>", "<tr><td colspan=1000>a<td rowspan=9>b", "</ ", "<!--", "<p>x", "<blockquote>x", "<svg><text>x"])
+def test_html_is_linear_and_never_fails(unit):
+    took = []
+    for size in (100_000, 400_000):
+        began = time.process_time()
+        text = html.to_text(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+        assert text.count("x") == (size // len(unit) if unit.endswith("x") else 0 if unit != '<a x="' else size // len(unit))
+    assert took[1] < 10 * took[0] + 0.5 and took[1] < 4
+
+
+def test_html_depth_spans_and_visibility():
+    t = html.to_text
+    assert t("<div>" * 600 + "<div style='display:none'>SECRET</div>") == ""
+    assert t("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert t("<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>") == "wide |   | z\na    | b | c"
+    assert t("<p style='visibility:hidden'>no<b style='visibility: visible'>yes</b> no</p>") == "yes"
+    assert t("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>") == "a | b\n  | c\nd"
+    assert t("<a title='it said \"x>y\"'>one</a> <a b=c'd>two</a> <a href=\"open>three</a>") == "one two three"
+    wide = t("<table><tr><td>" + "w" * 5000 + "<td>x" + "<tr><td>a<td>b" * 50 + "</table>")
+    assert len(wide) < 15_000 and wide.count("a") == 50
+
+
+INLINE, OPTIONAL = ("b", "span", "em"), ("p", "li")
+
+
+def random_tree(rnd, depth=0):
+    """A tree of (name, children) and words; p holds inline elements only, lists hold items."""
+    kinds = ["w", "w", *INLINE] + (["div", "p", "ul", "section", "gone"] if depth < 5 else [])
+
+    def inline(d):
+        return [rnd.choice(["alpha", "beta", "gamma "]) if d > 2 or rnd.random() < 0.6 else (rnd.choice(INLINE), inline(d + 1)) for _ in range(rnd.randint(1, 3))]
+
+    out = []
+    for _ in range(rnd.randint(1, 4)):
+        k = rnd.choice(kinds)
+        if k == "w":
+            out.append(rnd.choice(["one", " two ", "three\n"]))
+        elif k in INLINE:
+            out.append((k, inline(0)))
+        elif k == "p":
+            out.append(("p", inline(0)))
+        elif k == "ul":
+            out.append(("ul", [("li", random_tree(rnd, depth + 1)) for _ in range(rnd.randint(1, 3))]))
+        else:
+            out.append((k, random_tree(rnd, depth + 1)))
+    return out
+
+
+def as_html(nodes, rnd):
+    out = []
+    for k, x in enumerate(nodes):
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        after = nodes[k + 1][0] if k + 1 < len(nodes) and not isinstance(nodes[k + 1], str) else ""
+        last = k + 1 == len(nodes)
+        left_out = x[0] in OPTIONAL and rnd.random() < 0.5 and (last and x[0] == "li" or after in ("p", "div", "ul", "section", "li"))
+        name = "div" if x[0] == "gone" else x[0]
+        out.append(f"<{name}{' hidden' if x[0] == 'gone' else ''}>{as_html(x[1], rnd)}{'' if left_out else f'</{name}>'}")
+    return "".join(out)
+
+
+def naive(nodes):
+    """Plain recursion to marks: words, line breaks and wanted gaps; items are rendered by themselves and indented."""
+
+    def marks(nodes, parent):
+        for x in nodes:
+            if isinstance(x, str):
+                yield x
+            elif x[0] in INLINE:
+                yield from marks(x[1], x[0])
+            elif x[0] == "li":
+                text = naive(x[1])
+                yield 0
+                if text:
+                    yield ["- " + text.replace("\n", "\n  ").replace("\n  \n", "\n\n")]
+                yield 0
+            elif x[0] != "gone":
+                gap = int(x[0] in ("p", "ul") and not (x[0] == "ul" and parent == "li"))
+                yield gap
+                yield from marks(x[1], x[0])
+                yield gap
+
+    lines, line, gap = [], "", 0
+
+    def flush(own):
+        nonlocal gap
+        for part in own.split("\n") if own else []:
+            lines.extend([""] * gap if lines else [])
+            gap = 0
+            lines.append(part)
+
+    for m in [*marks(nodes, "li" if nodes and getattr(nodes, "item", False) else ""), 0]:
+        if isinstance(m, str):
+            line += m
+        else:
+            flush(" ".join(line.split()))
+            line = ""
+            if isinstance(m, list):
+                flush(m[0])
+            else:
+                gap = max(gap, m)
+    return "\n".join(lines)
+
+
+def test_html_against_a_naive_renderer():
+    rnd = random.Random(5)
+    for _ in range(400):
+        tree = random_tree(rnd)
+        page = as_html(tree, rnd)
+        assert " ".join(html.to_text(page).split()) == " ".join(naive(tree).split()), page
+        flat = [x for x in tree if isinstance(x, str) or x[0] != "ul"]  # lists in items differ in gaps only
+        if "<li>" not in as_html(flat, rnd):
+            assert html.to_text(as_html(flat, rnd)) == naive(flat), as_html(flat, rnd)
+
+
 def test_html_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html.html_report(df).collect()}
