@@ -70,10 +70,10 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         past = F.lit(1).cast("bigint") * (1 << (BITS * (level + 1)))  # no edge: everything inside fits
         cut = F.when(F.col("to").isNotNull(), F.col("to") + take).when(F.col("rest") <= 0, 0).otherwise(past)
         state = written(joined.select("source", "source_size", "target", "full", "rest", F.coalesce("before", "spent").alias("spent"), cut.cast("bigint").alias("cut")), "mix-plan")
-    at = state.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "full", "cut")
+    at = state.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
     df = docs.withColumn("__h", hash36(F.col("doc_id"))).withColumn("__size", word_count(F.col("text")))
     df = df.join(at, F.col("source").eqNullSafe(F.col("__s")))
-    return df.withColumn("__copies", (F.col("full") + (F.col("__h") < F.col("cut")).cast("int")).cast("int")).drop("__s", "full", "cut", "__h")
+    return df.withColumn("__copies", (F.col("__full") + (F.col("__h") < F.col("__cut")).cast("int")).cast("int")).drop("__s", "__full", "__cut", "__h")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
