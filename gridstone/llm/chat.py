@@ -14,17 +14,23 @@ is joined, and a difference there raises an error.
 
 Defined cases: a null text or role is empty; equal turn numbers are ordered by role
 and text; repeated rows stay repeated turns; a null conv_id is a conversation of its
-own; an empty table gives no conversation; other columns play no part.
+own; an empty table gives no conversation; other columns play no part. A conversation
+is one string, so that it has to fit into one row, also that of null: turns without a
+conversation that are more than this want format_turns, which works turn by turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, scan
+
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
+#: Between a turn and the next one.
+PIECE = r"(?<=<\|im_end\|>\n)"
 
 
 def escape(text: Column) -> Column:
@@ -69,7 +75,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (read back), loss_text: one row a conversation."""
+    """conv_id, formatted, turns (read back), loss (the mask: spans of formatted, in code points), loss_text (what is under the mask, unescaped): one row a conversation."""
     df = format_turns(turns)
     piece = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text", "rendered")
     df = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
@@ -77,18 +83,26 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     df = df.withColumn("turns", parse(F.col("formatted")))
     same = F.col("turns") == F.transform("ps", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
     df = df.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation doesn't survive the round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
-    return df.select("conv_id", "formatted", "turns", loss.alias("loss_text"))
-
-
-def loss_spans(formatted: DataFrame) -> DataFrame:
-    """conv_id, start, end: code points of the formatted text that bear loss (assistant texts as rendered)."""
-    df = formatted.select("conv_id", F.posexplode(F.split("formatted", r"(?<=<\|im_end\|>\n)")).alias("k", "piece"))
-    order = Window.partitionBy("conv_id").orderBy("k")
-    end = F.sum(F.length("piece")).over(order)
-    head = len(START) + len(ASSISTANT) + 1
-    df = df.withColumn("stop", end).withColumn("begin", F.col("stop") - F.length("piece") + head)
-    return df.filter(F.col("piece").startswith(f"{START}{ASSISTANT}\n")).select("conv_id", F.col("begin").alias("start"), (F.col("stop") - len(END) - 1).alias("end"))
+    marked = let(F.split("formatted", PIECE, -1), loss_spans)
+    df = df.select("conv_id", "formatted", "turns", marked.alias("marked"))
+    return df.select("conv_id", "formatted", "turns", F.transform("marked", lambda m: F.struct(m["start"], m["end"])).alias("loss"), F.array_join(F.transform("marked", lambda m: unescape(m["shown"])), "").alias("loss_text"))
+
+
+def loss_spans(pieces: Column) -> Column:
+    """The loss mask over a formatted text split into PIECEs: array<struct<start,end,shown>>, the places of assistant texts and what stands there.
+
+    A piece ends with a turn. Each is cut by its span less the place where it begins, so that no cut walks through the whole text.
+    """
+    head = f"{START}{ASSISTANT}\n"
+
+    def spans(upto: Column) -> Column:
+        begin = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0).cast("bigint"))
+        place = lambda x, i: F.when(x.startswith(head), F.struct((begin(i) + len(head)).alias("start"), (F.get(upto, i) - len(END) - 1).alias("end"), begin(i).alias("begin"), x.alias("piece")))
+        found = F.filter(F.transform(pieces, place), lambda m: m.isNotNull())
+        cut = lambda m: m["piece"].substr((m["start"] - m["begin"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), cut(m).alias("shown")))
+
+    return let(scan(F.transform(pieces, lambda x: F.length(x).cast("bigint")), lambda a, b: a + b), spans)
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
