@@ -39,6 +39,8 @@ BLOCK_LINES = 512
 INDEX_FILES = 4096
 #: The record type names and profile of the format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A task looks up or reads about so many rows, and so many bytes of records.
+TASK_ROWS, TASK_BYTES, MOST_TASKS = 4096, 1 << 26, 50_000
 ENTRY = "key string, page_id bigint, file string, offset bigint, length bigint"
 
 
@@ -172,6 +174,12 @@ def _index(spark: SparkSession, entries: DataFrame, folder: str) -> list[dict]:
     return sorted((r.asDict() for r in root.collect()), key=lambda r: (r["first_key"], r["first_id"] is not None, r["first_id"] or 0))
 
 
+def _tasks(df: DataFrame, size=None) -> int:
+    """How many tasks df(with size: bytes a row) wants. Narrow rows say little of the work they make, so that the number is given."""
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size) if size is not None else F.lit(0), F.lit(0))).first()
+    return min(MOST_TASKS, max(1, -(-rows // TASK_ROWS), -(-int(total) // TASK_BYTES)))
+
+
 def lookup(archive: dict, wanted: DataFrame) -> DataFrame:
     """Captures of wanted(url[, page_id]): key, page_id, file, offset, length. With page_id only that capture, else all of the URL's key."""
     folder, root = archive["folder"], archive["root"]
@@ -223,9 +231,9 @@ def lookup(archive: dict, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())] + ([batch.column(1)] if exact else []), ["key"] + ["page_id"] * exact)
 
     asked = wanted.select("url", *([F.col("page_id").cast("bigint").alias("page_id")] if exact else []))
-    keyed = asked.mapInArrow(keys, "key string" + ", page_id bigint" * exact).distinct()
+    keyed = written(asked.mapInArrow(keys, "key string" + ", page_id bigint" * exact).distinct(), "warc-keys")
     columns = ["key"] + ["page_id"] * exact
-    return keyed.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(find, ENTRY)
+    return keyed.repartitionByRange(_tasks(keyed), *columns).sortWithinPartitions(*columns).mapInArrow(find, ENTRY)
 
 
 def read_records(archive: dict, captures: DataFrame) -> DataFrame:
@@ -252,7 +260,7 @@ def read_records(archive: dict, captures: DataFrame) -> DataFrame:
         if handle:
             handle.close()
 
-    ordered = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = captures.select("file", "offset", "length").repartitionByRange(_tasks(captures, F.col("length")), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id bigint, url string, kind string, refers_to bigint, digest string, payload_bytes bigint, payload binary")
 
 
