@@ -3,27 +3,33 @@
 A text gets the usual leading space, spaces become U+2581, and it falls into chunks at
 places that no piece of the vocabulary crosses. Over the lattice of a chunk's pieces a
 path has the product of its pieces' weights, 1 / (2 + rank) ** alpha. Sums of path
-weights are filtered forward; the path is drawn backward from them, by one uniform
-number a chunk that comes from the seed, the row's key and the chunk's place. Equal
-keys and texts give equal pieces, on any partitioning. With alpha None the
-best path is taken instead.
+weights are filtered forward; the path is drawn backward from them, by a uniform
+number a step that comes from the seed, the row's key, the chunk's place and the place
+in the chunk. Equal keys and texts give equal pieces, on any partitioning. With alpha
+None the best path is taken instead.
 
 A worker takes some MB of text at a time: its distinct chunks' lattices are built and
 filtered together, and all occurrences drawn together, in NumPy. Chunks beyond LONG
-characters go one by one.
+characters go one by one and keep sums only, a number and an exponent a character, no
+edges; sums, order of edges and numbers are the same, so that LONG decides nothing but
+the way.
+
+The model is read by the driver and sent to the workers, which need no file.
 
 Decoding joins the pieces' bytes and gives the text back exactly: characters outside
 the vocabulary and U+2581 itself are spelt in byte pieces.
 
 Defined cases: a null text gives null pieces and decodes to null; an empty text gives
-no pieces; repeated rows (equal keys) give equal pieces; an empty table an empty
-result; other columns are left alone.
+no pieces; repeated rows (equal keys) give equal pieces; a null key counts as 0; an
+empty table gives an empty result; other columns are left alone, but for pieces and
+lossless, which are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +58,22 @@ def _splitmix_array(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _uniform(state: int, place: int) -> float:
+    """The number of a step that ends at a place of a chunk, in [0, 1)."""
+    return (_splitmix(state ^ (place * 0xA0761D6478BD642F & _M)) >> 11) * 2.0**-53
+
+
+def _uniforms(state: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (_splitmix_array(state ^ (place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class Codec:
     """The vocabulary of a model with what a worker has learnt of chunks."""
 
-    def __init__(self, model: str, alpha: float | None = 1.0, seed: int = 0):
+    def __init__(self, model: bytes, alpha: float | None = 1.0, seed: int = 0):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
         self.greedy, self.seed = alpha is None, seed
@@ -117,60 +132,58 @@ class Codec:
         """A character without a piece, in bytes."""
         return [self.byte[b] for b in (c.encode("utf-8", "surrogatepass"))]
 
-    def lattice(self, w: str) -> list:
-        """For each end 1..len(w), the edges (start, ids, share of the sum of paths to that end), longest piece first."""
+    def draw(self, w: str, state: int) -> list[int]:
+        """A path of one chunk of any length. state: the chunk's number."""
         if w[0] == "\x00":  # see _hard
-            return [[], [(0, self._spelt(w[-1]), 1.0)]] if len(w) == 1 else [[], [(0, (), 1.0)], [(1, self._spelt(w[-1]), 1.0)]]
-        n = len(w)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        get, starts = self.piece.get, self.starts
-        for i in range(n):
-            if w[i] not in self.piece:
-                ends[i + 1].append((i, self._spelt(w[i]), 1e-6))
-                if w[i] not in starts:
-                    continue
-            j = i + 1
-            while True:
-                sub = w[i:j]
-                p = get(sub)
-                if p is not None:
-                    ends[j].append((i, (p[0],), p[1]))
-                if j == n or sub not in starts:
-                    break
-                j += 1
-        total = [1.0] + [0.0] * n
+            return self._spelt(w[-1])
+        n, deepest, get = len(w), self.deepest, self.piece.get
+        reach = self._reach(w)  # the longest prefix of a piece that begins at each place
+
+        def edges(j):
+            """Edges (start, ids, weight) to place j by rising length."""
+            for i in range(j - 1, max(j - deepest, 0) - 1, -1):
+                if reach[i] >= j - i:
+                    p = get(w[i:j])
+                    if p is not None:
+                        yield i, (p[0],), p[1]
+            if w[j - 1] not in self.piece:
+                yield j - 1, None, 1e-6  # last, as in _lattices
+
+        total, scale = array("d", [1.0]), array("i", [0])  # of a place: total * 2 ** -scale
         for j in range(1, n + 1):
-            best, s = None, 0.0
-            for e in ends[j]:
-                x = total[e[0]] * e[2]
-                s += x
-                if best is None or x > best[0]:
-                    best = (x, e)
-            if self.greedy:  # Viterbi: sums become maxima
-                ends[j] = [(best[1][0], best[1][1], 1.0)]
-                total[j] = best[0]
-            else:
-                ends[j] = [(i, ids, total[i] * x / s) for i, ids, x in ends[j]]
-                total[j] = s
-            if total[j] < 1e-200:  # long chunks: only ratios matter
-                for k in range(max(0, j - 64), j + 1):  # no edge reaches further back
-                    total[k] *= 1e200
-        return ends
-
-    def draw(self, w: str, state: int) -> list[int]:
-        """A path of one chunk of any length; its numbers come from state."""
-        ends, j, parts = self.lattice(w), len(w), []
+            s, now = 0.0, scale[j - 1]
+            for i, _, x in edges(j):
+                x *= total[i] * 2.0 ** (now - scale[i])
+                s = max(s, x) if self.greedy else s + x
+            if s < 2.0**-300:
+                s, now = s * 2.0**300, now + 300
+            total.append(s)
+            scale.append(now)
+        j, parts = n, []
         while j:
-            state = _splitmix(state)
-            u = (state >> 11) * 2.0**-53
-            for i, ids, share in ends[j]:
-                if u < share:
-                    break
-                u -= share
-            parts.append(ids)
+            found, s = [], 0.0
+            for i, ids, x in edges(j):
+                x *= total[i] * 2.0 ** (scale[j] - scale[i])
+                s = max(s, x) if self.greedy else s + x
+                found.append((i, ids, x, s))
+            t = _uniform(state, j) * s
+            if self.greedy:
+                i, ids, _, _ = max(found, key=lambda e: e[2])
+            else:
+                i, ids, _, _ = next((e for e in found if e[3] > t), found[-1])
+            parts.append(self._spelt(w[i]) if ids is None else ids)
             j = i
         return [x for ids in reversed(parts) for x in ids]
 
+    def _reach(self, w: str) -> bytes:
+        starts, out = self.starts, bytearray(len(w))
+        for i in range(len(w)):
+            k = 0
+            while i + k < len(w) and w[i : i + k + 1] in starts:
+                k += 1
+            out[i] = min(k, 255)
+        return bytes(out)
+
     def _lattices(self, chunks: list[str], lens: np.ndarray) -> dict:
         """Lattices of short chunks: nodes are the places between characters; each has its edges by rising length of the piece."""
         chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -264,26 +277,23 @@ class Codec:
         own = (np.cumsum(short, dtype=np.int32) - 1)[which[occ]]
         base = lat["begin"][own] + own
         node = base + lat["lens"][own]
-        u = (state[occ] >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        who, taken = np.arange(len(occ), dtype=np.int32), []
+        who, taken, state_of = np.arange(len(occ), dtype=np.int32), [], state[occ]
         first, degree, source, upto, mass = (lat[k] for k in ("first", "degree", "source", "upto", "mass"))
         while len(who):
             e = first[node]
             if self.greedy:
                 e = lat["best"][node]
             else:
-                t, last = u * mass[node], e + degree[node] - 1
+                t, last = _uniforms(state_of[who], node - base[who]) * mass[node], e + degree[node] - 1
                 ahead = np.flatnonzero((upto[e] <= t) & (e < last))
                 while len(ahead):
                     e[ahead] += 1
                     k = e[ahead]
                     ahead = ahead[(upto[k] <= t[ahead]) & (k < last[ahead])]
-                low = np.where(e > first[node], upto[e - 1], 0.0)
-                u = np.clip((t - low) / (upto[e] - low), 0.0, 1 - 2.0**-53)
             taken.append((who, lat["seq"][e]))
             node = source[e]
             go = node > base[who]
-            who, node, u = who[go], node[go], u[go]
+            who, node = who[go], node[go]
         steps = np.bincount(np.concatenate([w for w, _ in taken]) if taken else np.zeros(0, np.int32), minlength=len(occ))
         long = np.flatnonzero(~short[which])
         drawn = [self.draw(words[i], s) for i, s in zip(long.tolist(), state[long].tolist())]
@@ -329,16 +339,24 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(model: str, alpha: float | None, seed: int) -> Codec:
+def codec(model: bytes, alpha: float | None, seed: int) -> Codec:
     return Codec(model, alpha, seed)
 
 
+def _sent(docs: DataFrame, model: str):
+    """The model's file (some MB at most) as a broadcast."""
+    with open(model, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, model: str = MODEL, alpha: float | None = 1.0, seed: int = 0, key: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """docs with pieces array<int> and lossless boolean (whether the pieces decode to the text; null for a null text); without text on request."""
-    used = docs.select(F.col(key).cast("bigint").alias("__key"), F.col("text").alias("__text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
+    others = [c for c in docs.columns if c not in ("pieces", "lossless")]
+    used = docs.select(F.col(key).cast("bigint").alias("__key"), F.col("text").alias("__text"), F.struct(*[c for c in others if c != "text"]).alias("__row"))
+    held = _sent(docs, model)
 
     def run(batches):
-        c = codec(model, alpha, seed)
+        c = codec(held.value, alpha, seed)
         for batch in batches:
             keys = [k or 0 for k in batch.column(0).to_pylist()]
             texts = batch.column(1).to_pylist()
@@ -357,14 +375,16 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float | None = 1.0, seed:
 
     row = used.schema["__row"].dataType.simpleString()
     made = used.mapInArrow(run, f"__row {row}, pieces array<int>, lossless boolean" + ", text string" * keep_text)
-    return made.select("__row.*", "pieces", "lossless").select(*[c for c in docs.columns if c != "text"], "pieces", "lossless") if not keep_text else made.select("__row.*", "text", "pieces", "lossless").select(*docs.columns, "pieces", "lossless")
+    kept = [c for c in others if c != "text" or keep_text]
+    return made.select("__row.*", *["text"] * keep_text, "pieces", "lossless").select(*kept, "pieces", "lossless")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with text, decoded from pieces."""
+    held = _sent(encoded, model)
 
     def run(batches):
-        c = codec(model, 1.0, 0)
+        c = codec(held.value, 1.0, 0)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else c.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["__row", "text"])
 
