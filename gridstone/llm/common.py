@@ -49,9 +49,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset a temporary one serves a local master; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -34,7 +34,7 @@ SYMBOLS = r"[^#*$%&|<>]+"
 #: Relative error of the sketch; fences at q75 + REACH * (q75 - q25), at least GUARD: one word in 100, one line in 20.
 ERROR, REACH = 0.01, 3.0
 GUARD = {"symbols": 0.01, "marks": 0.01, "dup_lines": 0.05}
-POSITION_BITS = 26
+POSITION_BITS = 31  # of any array
 
 
 def _left(text: Column, dropped: str) -> Column:

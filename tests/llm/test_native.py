@@ -170,6 +170,16 @@ def test_quality_fences_follow_their_group(spark):
     assert {r.doc_id: r.kept for r in quality.quality_report(alone).collect()} == {1: True, 2: False}
 
 
+def test_columns_that_clash(spark, small):
+    names = ("full", "cut", "h", "size", "target", "bucket", "n", "s", "kept", "rest", "keeper", "c", "spans", "m")
+    df = docs(spark, small).withColumns({n: F.lit("clash") for n in names})
+    for made in (mixing.mix(df), quality.keep_good(df), pii.redact(df)):
+        assert made.columns == df.columns and all(r == ("clash",) * len(names) for r in made.select(*names).distinct().collect())
+    plain = docs(spark, small)
+    key = lambda x: sorted(str(r) for r in x.select("doc_id", "text").collect())
+    assert key(mixing.mix(df)) == key(mixing.mix(plain))
+
+
 def test_mixing_against_sql(spark, small):
     for df in (docs(spark, small), docs(spark, small).limit(0)):
         documents = df.select("doc_id", "source", "text").toArrow()  # noqa: F841  DuckDB reads it
@@ -213,6 +223,9 @@ def test_chat_against_python(spark, small):
     text = {r.conv_id: r for r in made.collect()}
     for r in text.values():
         assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(r.turns)
-    for r in chat.loss_spans(made).collect():
-        assert "<|im_start|>" not in text[r.conv_id].formatted[r.start : r.end] and text[r.conv_id].formatted[r.end :].startswith("<|im_end|>\n")
+    for r in text.values():
+        for m in r.loss:
+            assert "<|im_start|>" not in r.formatted[m.start : m.end] and r.formatted[m.end :].startswith("<|im_end|>\n")
+        shown = [re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[m.start : m.end]) for m in r.loss]
+        assert "".join(shown) == r.loss_text and shown == [t.text for t in r.turns if t.role == "assistant"]
     assert chat.chat_report(df.limit(0)).count() == 0

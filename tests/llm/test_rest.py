@@ -260,7 +260,7 @@ HARD = ["", " ", "  two  spaces ", "▁ literal ▁▁", "nul \x00 in\x00", "tab
 
 def test_pieces_lossless_and_reproducible(spark):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(99, None), (None, "no id"), (0, "word"), (0, "word")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, lossless int").drop("lossless")
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, lossless int").withColumn("pieces", F.lit("clash"))
     got = pieces.encode(df)
     assert got.columns == ["doc_id", "text", "pieces", "lossless"]
     a = sorted((str(r.doc_id), str(r.text), str(r.pieces), r.lossless) for r in got.collect())
@@ -272,7 +272,8 @@ def test_pieces_lossless_and_reproducible(spark):
 
 
 def test_piece_paths_have_their_weights():
-    c = pieces.Codec(pieces.MODEL)
+    model = open(pieces.MODEL, "rb").read()
+    c = pieces.Codec(model)
     word = "hello"
     want, stack = Counter(), [(0, (), 1.0)]
     chunk = pieces.SPACE + word
@@ -293,6 +294,30 @@ def test_piece_paths_have_their_weights():
         p = w / total
         assert abs(got[path] / n - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-4
     best = max(want, key=want.get)
-    assert tuple(pieces.Codec(pieces.MODEL, None).encode([word], [1])[0].tolist()) == best
-    long = "ab" * 40  # beyond LONG: drawn one by one from the same lattice
-    assert c.decode(c.encode([long], [5])[0].tolist()) == long
+    assert tuple(pieces.Codec(model, None).encode([word], [1])[0].tolist()) == best
+
+
+@pytest.mark.parametrize("alpha", [1.0, None])
+def test_pieces_do_not_depend_on_the_way(monkeypatch, alpha):
+    c = pieces.Codec(open(pieces.MODEL, "rb").read(), alpha)
+    rnd = random.Random(3)
+    texts = [*HARD, "ab" * 100, "Donaudampfschifffahrtsgesellschaftskapitän" * 4, *("".join(rnd.choice("abcdeéエ漢 ") for _ in range(300)) for _ in range(20))]
+    keys = list(range(len(texts)))
+    whole = c.encode(texts, keys)
+    for long in (3, 10, 45):
+        monkeypatch.setattr(pieces, "LONG", long)
+        got = c.encode(texts, keys)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+
+
+def test_one_long_chunk():
+    c = pieces.Codec(open(pieces.MODEL, "rb").read())
+    text = "漢字kana" * 50_000
+    ids, _ = c.encode([text], [1])
+    assert c.decode(ids.tolist()) == text
+
+
+def test_pieces_of_a_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pieces.pieces_report(df)
+    assert got.filter("not lossless").count() == 0 and got.filter("n_pieces is not null").count() == df.filter("text is not null").count()
