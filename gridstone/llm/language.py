@@ -4,8 +4,8 @@ n-grams of one to three characters of the lower-cased text, runs of other than
 letters being one space, are hashed into DIMENSIONS. Document frequencies are counted
 over all labelled documents that are not held out. The weights are learnt by
 follow-the-regularised-leader with L1 and L2 penalties, which leaves them sparse, on
-a sample of at most SAMPLE of these documents, chosen by hash (the only bound); one
-more part of the sample calibrates the temperature of the softmax.
+a sample of at most SAMPLE of these documents, equally many of each language, chosen
+by hash (the only bound); a fifth of the sample calibrates the temperature of the softmax.
 
 Defined cases: a null text, or one without a letter, is `und` with score 1; without
 any labelled document all are `und` with score 0; repeated rows each get a row; an
@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
-SAMPLE = 3000
+SAMPLE, HASHES = 3000, 1 << 40
 EPOCHS, BATCH = 3, 16
-L1, L2, RATE, BETA = 2e-4, 1e-3, 0.5, 1.0
+L1, L2, RATE, BETA = 0.1, 1e-3, 0.5, 1.0
 BLOCK = 1 << 18
 UNKNOWN = "und"
 
@@ -43,7 +43,8 @@ def _codes(text: str) -> np.ndarray:
     at = np.where(is_letter, at, 32)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    return np.concatenate([[32], at[keep], [32]]).astype(np.uint32)
+    at = at[keep]
+    return np.concatenate([[32], at, [32] * int(at[-1] != 32)]).astype(np.uint32)
 
 
 def _lookup(seen: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -73,8 +74,7 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, n = ngram_counts(text)
-    x = (1 + np.log(n)) * idf[at]
-    return at, x / max(np.linalg.norm(x), 1e-12)
+    return at, weigh(at, n, idf)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -96,53 +96,103 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[DIMENSIONS]), df[:DIMENSIONS]
 
 
-def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> dict:
-    """Weights by FTRL-proximal over BATCH documents a step, temperature on every fifth document."""
-    names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
-    vectors = [_vector(t, idf) for t in texts]
-    held = np.arange(len(texts)) % 5 == 4
-    rows = np.flatnonzero(~held)
-    z, n = np.zeros((DIMENSIONS, len(names))), np.zeros((DIMENSIONS, len(names)))
+def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, n-gram buckets, counts) of at most SAMPLE documents, equally many of each language as far as there are any, in the order of a hash of the rows.
+
+    A threshold of the hash for each language leaves about 1.5 times its share to be ordered, and at least its smallest
+    hash, so that a task sends few rows whatever it holds; what is sent are counts of DIMENSIONS at most, never texts.
+    """
+    h = F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(HASHES))
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("least")).collect()  # a row a language
+    if not found:
+        return []
+    share = max(1, SAMPLE // len(found))
+    limit = F.create_map(*(F.lit(x) for r in found for x in (r.lang, max(r.least, int(HASHES * min(1.0, 1.5 * share / r.n))))))
+    near = docs.select("lang", "text", h.alias("h")).filter(F.col("h") <= F.element_at(limit, F.col("lang")))
+
+    def count(batches):
+        for batch in batches:
+            made = [ngram_counts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1))], ["lang", "h", "at", "n"])
+
+    order = Window.partitionBy("lang").orderBy("h")
+    few = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= share).select("lang", "text", "h")
+    rows = few.mapInArrow(count, "lang string, h bigint, at array<bigint>, n array<bigint>").collect()
+    return [(r.lang, np.array(r.at, np.int64), np.array(r.n, np.int64)) for r in sorted(rows, key=lambda r: (r.h, r.lang))]
+
+
+def weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of counts, of length 1."""
+    x = (1 + np.log(n)) * idf[at]
+    return x / max(np.linalg.norm(x), 1e-12)
+
+
+def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, order: list[np.ndarray]) -> np.ndarray:
+    """Weights (DIMENSIONS, classes) by FTRL-proximal with elastic net; order: the rows of each step."""
+    z, n = np.zeros((DIMENSIONS, classes)), np.zeros((DIMENSIONS, classes))
     w = np.zeros_like(z)
-    rnd = np.random.default_rng(0)
+    for own in order:
+        at = np.unique(np.concatenate([vectors[i][0] for i in own]))
+        grad = np.zeros((len(at), classes))
+        for i in own:
+            k, x = vectors[i]
+            s = x @ w[k]
+            p = np.exp(s - s.max())
+            p /= p.sum()
+            p[y[i]] -= 1
+            grad[np.searchsorted(at, k)] += x[:, None] * p / len(own)
+        more = n[at] + grad**2
+        z[at] += grad - (np.sqrt(more) - np.sqrt(n[at])) / RATE * w[at]
+        n[at] = more
+        w[at] = np.where(np.abs(z[at]) <= L1, 0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(more)) / RATE + L2))
+    return w
+
+
+def temperature(scores: np.ndarray, y: np.ndarray) -> float:
+    """The divisor of the scores with the least log loss, which is convex in its inverse.
+
+    The true class counts (n + 1) / (n + classes) and the others the rest, as if each had been seen once more: rows that
+    are all told apart don't make every later row certain.
+    """
+    n, classes = scores.shape
+    if not n or classes < 2:
+        return 1.0
+    target = np.full(scores.shape, 1 / (n + classes))
+    target[np.arange(n), y] = (n + 1) / (n + classes)
+
+    def loss(t: float) -> float:
+        s = scores / t
+        s = s - s.max(1, keepdims=True)
+        return float(np.mean(np.log(np.exp(s).sum(1)) - (target * s).sum(1)))
+
+    low, high = np.log(1e-4), np.log(1e4)
+    for _ in range(80):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(np.exp(a)) <= loss(np.exp(b)) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> dict:
+    """Weights by FTRL over BATCH documents a step, temperature on every fifth document, which takes no part in the steps."""
+    names = sorted({r[0] for r in rows})
+    y = np.array([names.index(r[0]) for r in rows])
+    vectors = [(at, weigh(at, n, idf)) for _, at, n in rows]
+    held = np.arange(len(rows)) % 5 == 4
+    own, rnd, order = np.flatnonzero(~held), np.random.default_rng(0), []
     for _ in range(EPOCHS):
-        rnd.shuffle(rows)
-        for lo in range(0, len(rows), BATCH):
-            own = rows[lo : lo + BATCH]
-            at = np.unique(np.concatenate([vectors[i][0] for i in own]))
-            grad = np.zeros((len(at), len(names)))
-            for i in own:
-                k, x = vectors[i]
-                s = x @ w[k]
-                p = np.exp(s - s.max())
-                p /= p.sum()
-                p[y[i]] -= 1
-                grad[np.searchsorted(at, k)] += x[:, None] * p / len(own)
-            more = n[at] + grad**2
-            z[at] += grad - (np.sqrt(more) - np.sqrt(n[at])) / RATE * w[at]
-            n[at] = more
-            w[at] = np.where(np.abs(z[at]) <= L1, 0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(more)) / RATE + L2))
+        rnd.shuffle(own)
+        order += [own[lo : lo + BATCH].copy() for lo in range(0, len(own), BATCH)]
+    w = ftrl(vectors, y, len(names), order)
     scores = np.array([vectors[i][1] @ w[vectors[i][0]] for i in np.flatnonzero(held)]).reshape(-1, len(names))
-    best = (np.inf, 1.0)
-    for t in np.exp(np.linspace(np.log(0.02), np.log(5), 60)):
-        s = scores / t
-        loss = -np.mean(s[np.arange(len(s)), y[held]] - np.logaddexp.reduce(s, 1)) if len(s) else 0.0
-        best = min(best, (loss, float(t)))
-    return {"names": names, "weights": w.astype(np.float32), "temperature": best[1], "idf": idf}
+    return {"names": names, "weights": w.astype(np.float32), "temperature": temperature(scores, y[held]), "idf": idf}
 
 
 def train(docs: DataFrame) -> dict | None:
-    """The model of docs(doc_id, text, lang): whole frequencies, weights from at most SAMPLE documents."""
+    """The model of docs(doc_id, text, lang): whole frequencies, weights from at most SAMPLE documents. Texts without a letter teach nothing."""
+    docs = docs.filter(F.col("text").rlike(r"\p{L}"))
     n, df = document_frequencies(docs)
-    if not n:
-        return None
-    idf = np.log((1 + n) / (1 + df)) + 1
-    # a hash threshold leaves about 1.5 * SAMPLE rows of any corpus to be ordered, so that no task sends more than its share
-    h = F.xxhash64("doc_id", "text", "lang")
-    near = F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.5 * SAMPLE / n))
-    few = docs.filter((F.length("text") > 0) & near).orderBy(h).select("text", "lang").limit(SAMPLE).collect()
-    return fit([r.text for r in few], [r.lang for r in few], idf) if few else None
+    rows = sample(docs) if n else []
+    return fit(rows, np.log((1 + n) / (1 + df)) + 1) if rows else None
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -247,6 +248,90 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in language.language_report(table.withColumn("lang", F.lit(None).cast("string")).limit(5)).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Counts of n-grams by plain Python, by bucket."""
+    norm = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    out = Counter()
+    for n in language.ORDERS:
+        for i in range(len(norm) - n + 1):
+            h = n
+            for c in norm[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                h ^= h >> 29
+            out[(h * 0xBF58476D1CE4E5B9) % 2**64 >> 49] += 1
+    return out
+
+
+def test_language_model_against_plain_python(spark, monkeypatch):
+    """Frequencies, TF-IDF, follow-the-regularised-leader and softmax, with dictionaries."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null and length(text) between 20 and 1500").orderBy("doc_id").limit(120).collect()]
+    counts = [plain_ngrams(r.text) for r in rows]
+    for r, c in zip(rows[:30], counts):
+        got = {int(k): int(n) for k, n in zip(*language.ngram_counts(r.text))}
+        assert got == dict(c)
+    df = Counter(k for c in counts for k in c)
+    idf = {k: math.log((1 + len(rows)) / (1 + df[k])) + 1 for k in df}
+    names = sorted({r.lang for r in rows})
+    xs = []
+    for c in counts:
+        x = {k: (1 + math.log(n)) * idf[k] for k, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        xs.append({k: v / norm for k, v in x.items()})
+    order = [list(range(lo, min(lo + 8, len(rows)))) for lo in range(0, len(rows), 8)]
+    z, n, w = ({(k, j): 0.0 for k in df for j in range(len(names))} for _ in range(3))
+    for own in order:
+        grad = Counter()
+        for i in own:
+            score = [sum(v * w[k, j] for k, v in xs[i].items()) for j in range(len(names))]
+            top = max(score)
+            e = [math.exp(v - top) for v in score]
+            for j in range(len(names)):
+                g = e[j] / sum(e) - (rows[i].lang == names[j])
+                for k, v in xs[i].items():
+                    grad[k, j] += v * g / len(own)
+        for at, g in grad.items():
+            more = n[at] + g * g
+            z[at] += g - (math.sqrt(more) - math.sqrt(n[at])) / language.RATE * w[at]
+            n[at] = more
+            w[at] = 0.0 if abs(z[at]) <= language.L1 else -(z[at] - math.copysign(language.L1, z[at])) / ((language.BETA + math.sqrt(more)) / language.RATE + language.L2)
+    n_docs, got_df = language.document_frequencies(spark.createDataFrame([(r.text,) for r in rows], "text string"))
+    assert n_docs == len(rows) and {k: got_df[k] for k in df} == dict(df) and got_df.sum() == sum(df.values())
+    got_idf = np.log((1 + n_docs) / (1 + got_df)) + 1
+    vectors = [(at, language.weigh(at, c, got_idf)) for at, c in (language.ngram_counts(r.text) for r in rows)]
+    got = language.ftrl(vectors, np.array([names.index(r.lang) for r in rows]), len(names), [np.array(o) for o in order])
+    assert max(abs(got[k, j] - v) for (k, j), v in w.items()) < 1e-9
+    assert 0 < (got != 0).sum() < 0.7 * len(df) * len(names)
+
+
+def test_language_scores_are_calibrated(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.language_report(df).join(df.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    score, right = np.array([r.score for r in got]), np.array([r.lang == r.lang_pred for r in got])
+    assert abs(score.mean() - right.mean()) < 0.07 and len(np.unique(score)) > 0.5 * len(score)
+    for low, high in ((0, 0.9), (0.9, 0.99), (0.99, 1.01)):
+        own = (score >= low) & (score < high)
+        if own.sum() >= 20:
+            assert abs(score[own].mean() - right[own].mean()) < 0.2  # few rows
+    t = language.temperature(np.eye(3)[[0, 1, 2, 0]] * 40, np.array([0, 1, 2, 0]))
+    p = 1 / (1 + 2 * np.exp(-40 / t))
+    assert abs(p - 5 / 7) < 1e-3  # all told apart: still no certainty
+
+
+def test_language_learns_from_repeated_rows_and_few_texts(spark):
+    schema = "doc_id bigint, text string, lang string"
+    same = [(0, "der hund und die katze sind im garten", "de")] * 4000 + [(9, "the dog and the cat are in the garden", "en")] * 7
+    asked = [(4, "die katze und der hund", None), (5, "the cat and the dog", None)]
+    empty = [(3 * k, t, "de") for k in range(3000) for t in (None, "", "12 34")]
+    for rows in (same, same + empty):
+        df = spark.createDataFrame(rows + asked, schema)
+        model = language.train(df.filter("lang is not null"))
+        assert model["names"] == ["de", "en"]
+        got = {r.doc_id: r.lang_pred for r in language.language_report(df).filter("doc_id in (4, 5)").collect()}
+        assert got == {4: "de", 5: "en"}
+    rows = language.sample(spark.createDataFrame(same, schema))
+    assert Counter(r[0] for r in rows) == {"de": language.SAMPLE // 2, "en": 7}
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Straße déjà vu, l'été 42 über " * 50
     whole = language.ngram_counts(text)
