@@ -23,6 +23,8 @@ DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE, HASHES = 3000, 1 << 40
 EPOCHS, BATCH = 3, 16
+#: Rows of a language with few are learnt from more often, so many times at most.
+REPEAT = 20
 L1, L2, RATE, BETA = 0.1, 1e-3, 0.5, 1.0
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -178,7 +180,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> dict
     y = np.array([names.index(r[0]) for r in rows])
     vectors = [(at, weigh(at, n, idf)) for _, at, n in rows]
     held = np.arange(len(rows)) % 5 == 4
-    own, rnd, order = np.flatnonzero(~held), np.random.default_rng(0), []
+    n = np.bincount(y[~held], minlength=len(names))
+    own, rnd, order = np.repeat(np.flatnonzero(~held), np.clip(n.max() // np.maximum(n, 1), 1, REPEAT)[y[~held]]), np.random.default_rng(0), []
     for _ in range(EPOCHS):
         rnd.shuffle(own)
         order += [own[lo : lo + BATCH].copy() for lo in range(0, len(own), BATCH)]
