@@ -13,9 +13,12 @@ The pivots come from at most SAMPLE vectors, chosen by hash; every vector is ind
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no
 part; shorter vectors are as if padded with zeros; ties go to the smaller id; fewer
-candidates than k give fewer rows; repeated ids are rows of their own but for the
-query's own id, which is no candidate; an empty table gives an empty result; other
-columns play no part. Scaled components beyond 2**28 raise an error.
+candidates than k give fewer rows; repeated ids are candidates of their own, but for
+rows of the query's id, which are none of its candidates; equal rows (id and vector)
+ask once, different vectors of one id each ask for themselves; a null id takes no part;
+an empty table gives an empty result; other columns play no part. Scores are whole
+numbers, exact at any size of the components; what 64 bits can't hold, a component or
+a score, counts as the largest or smallest of them.
 """
 
 from __future__ import annotations
@@ -38,18 +41,18 @@ SLACK = 1e-6
 def scaled(x: Column) -> Column:
     """floor(256 * x) of each component; null for a vector that takes no part."""
     good = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    whole = F.transform(x, lambda v: F.floor(F.lit(256.0) * v.cast("double")))
-    safe = F.when(F.forall(whole, lambda v: F.abs(v) < 2**28), whole).otherwise(F.raise_error(F.lit("a vector's component is too large")))
-    return F.when((F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(good(v), F.lit(False))), safe)
+    whole = F.transform(x, lambda v: F.floor(F.lit(256.0) * v.cast("double")).cast("bigint"))
+    return F.when((F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(good(v), F.lit(False))), whole)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
+    """Rows of int64, shorter ones padded with zeros."""
+    out = np.zeros((len(column), width), np.int64)
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     at = np.concatenate([[0], np.cumsum(sizes)])
     if len(sizes) and (sizes == width).all():
-        return flat.reshape(-1, width).astype(float)
+        return flat.reshape(-1, width)
     for i, n in enumerate(sizes):
         out[i, :n] = flat[at[i] : at[i] + n]
     return out
@@ -57,6 +60,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _distances(x: np.ndarray, pivots: np.ndarray, extra: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots(width + 1 components), extra being the rows' last component."""
+    x = x.astype(float)
     sq = (x**2).sum(1) + extra**2
     d = sq[:, None] + (pivots**2).sum(1) - 2 * (x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1])
     return np.sqrt(np.maximum(d, 0))
@@ -71,13 +75,37 @@ def _farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen]
 
 
-def _scores(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
-    """Integer inner products: as doubles while these are exact."""
-    return (a @ b.T).astype(np.int64) if most < 2**52 else a.astype(np.int64) @ b.astype(np.int64).T
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of int64 rows: as doubles or 64-bit numbers while these are exact, else as Python's."""
+    norms = [np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0)) for x in (a, b)]
+    most = norms[0] * norms[1] * 1.001
+    if most < 2**52 and max(norms) < 2**52:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    whole = a.astype(object) @ b.T.astype(object)
+    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype(np.int32)).tobytes()
+    """A vector in 4 bytes a component, or 8 where one needs them."""
+    kind = np.int32 if len(x) == 0 or np.abs(x.astype(float)).max() < 2**31 - 1 else np.int64
+    return np.ascontiguousarray(x.astype(kind)).tobytes()
+
+
+def _unpack(xs, n: int, width: int) -> np.ndarray:
+    """n vectors, packed one by one, as int64."""
+    raw = memoryview(xs)
+    if len(raw) == 4 * n * width:
+        return np.frombuffer(raw, np.int32).reshape(n, width).astype(np.int64)
+    return np.frombuffer(raw, np.int64).reshape(n, width)
+
+
+def _joined(parts: list[bytes], width: int) -> bytes:
+    """Packed vectors of a block, all of one kind."""
+    if len({len(x) for x in parts}) > 1:
+        parts = [x if len(x) == 8 * width else np.frombuffer(x, np.int32).astype(np.int64).tobytes() for x in parts]
+    return b"".join(parts)
 
 
 def build(vectors: DataFrame) -> dict:
@@ -88,15 +116,18 @@ def build(vectors: DataFrame) -> dict:
     width, most, n = vectors.agg(F.max(F.size("v")), F.max(norm), F.count(F.lit(1))).first()
     if not n:
         return {"vectors": vectors, "n": 0}
-    few = vectors.orderBy(F.xxhash64("v", "id")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    few = _matrix(few, width)
+    # a hash threshold leaves about 1.5 * SAMPLE vectors of any table to be ordered, so that no task sends more than its share
+    h = F.xxhash64("v", "id")
+    near = F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.5 * SAMPLE / n))
+    few = vectors.filter(near).orderBy(h).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    few = _matrix(few, width).astype(float) if len(few) else np.zeros((1, width))
     few = np.concatenate([few, np.sqrt(np.maximum(most - (few**2).sum(1), 0))[:, None]], 1)
     pivots = spark.sparkContext.broadcast(_farthest_first(few, PIVOTS))
 
     def keyed(batches):
         for batch in batches:
             x = _matrix(batch.column(1), width)
-            d = _distances(x, pivots.value, np.sqrt(np.maximum(most - (x**2).sum(1), 0)))
+            d = _distances(x, pivots.value, np.sqrt(np.maximum(most - (x.astype(float) ** 2).sum(1), 0)))
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell]), pa.array([_pack(r) for r in x], pa.binary())], ["id", "cell", "dist", "x"])
 
@@ -112,7 +143,7 @@ def build(vectors: DataFrame) -> dict:
                     for b in range(lo, hi, size):
                         e = min(b + size, hi)
                         ids = np.ascontiguousarray(part.column("id").slice(b, e - b).to_numpy()).tobytes()
-                        rows.append((int(cell[b]), float(dist[b]), float(dist[e - 1]), e - b, ids, b"".join(part.column("x").slice(b, e - b).to_pylist())))
+                        rows.append((int(cell[b]), float(dist[b]), float(dist[e - 1]), e - b, ids, _joined(part.column("x").slice(b, e - b).to_pylist(), width)))
                 return pa.RecordBatch.from_pylist([dict(zip(("cell", "lo", "hi", "n", "ids", "xs"), r)) for r in rows], schema=pa.schema([("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("xs", pa.binary())]))
 
             total = 0
@@ -137,18 +168,19 @@ def build(vectors: DataFrame) -> dict:
 
 
 def search(index: dict, queries: Column, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other rows for every indexed row that queries selects."""
+    """query_id, rank, vec_id, score, seen: the k best of all other rows for every indexed row that queries selects; seen: with how many rows it was compared."""
     spark = index["vectors"].sparkSession
     if not index["n"]:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint, seen bigint")
     width, most, pivots = index["width"], index["most"], index["pivots"]
     blocks = index["blocks"]
-    chosen = index["vectors"].filter(queries).select("id", "v").mapInArrow(index["keyed"], "id bigint, cell int, dist double, x binary")
+    chosen = index["vectors"].filter(queries).select("id", "v").distinct().mapInArrow(index["keyed"], "id bigint, cell int, dist double, x binary")
     asked = chosen.repartitionByRange("cell", "dist", "id").sortWithinPartitions("cell", "dist", "id").mapInArrow(index["blocked"](QUERY_BLOCK), index["kind"])
-    asked = written(fixed(asked.select("ids", "xs"), qb=F.xxhash64("ids")), "topk-queries")
+    asked = written(fixed(asked.select("ids", "xs"), qb=F.xxhash64("ids", "xs")), "topk-queries")
 
     def unpack(ids, xs):
-        return np.frombuffer(ids, np.int64), np.frombuffer(xs, np.int32).reshape(-1, width).astype(float)
+        ids = np.frombuffer(ids, np.int64)
+        return ids, _unpack(xs, len(ids), width)
 
     def bounds(x, directory):
         """Distance to each pivot, and the least distance to each block, of each row."""
@@ -163,30 +195,31 @@ def search(index: dict, queries: Column, k: int) -> DataFrame:
             yield spark.sparkContext.broadcast({c: t.column(c).to_numpy() for c in t.column_names})
 
     def meet(plan: DataFrame) -> DataFrame:
-        """plan(qb, block, use: the positions of queries to compare) -> each query's k best of each block."""
+        """plan(qb, block, use: the positions of queries to compare) -> qb, pos, query_id, vec_id, score, seen: each query's k best of each block, the first with the block's size."""
 
         def run(batches):
             for batch in batches:
-                q_out, v_out, s_out = [], [], []
-                for qi, qx, ids, xs, use in zip(*(batch.column(c) for c in ("qids", "qxs", "ids", "xs", "use"))):
+                out = [[] for _ in range(6)]
+                for qb, qi, qx, ids, xs, use in zip(*(batch.column(c) for c in ("qb", "qids", "qxs", "ids", "xs", "use"))):
                     qid, q = unpack(qi.as_buffer(), qx.as_buffer())
                     vid, v = unpack(ids.as_buffer(), xs.as_buffer())
                     at = np.frombuffer(use.as_buffer(), np.int16)
-                    scores = _scores(q[at], v, most)
-                    for own, s in zip(qid[at], scores):
+                    scores = _scores(q[at], v)
+                    for pos, own, s in zip(at, qid[at], scores):
                         ok = np.flatnonzero(vid != own)
                         if len(ok) > k:
                             least = np.partition(s[ok], len(ok) - k)[len(ok) - k]
                             ok = ok[s[ok] >= least]
                         ok = ok[np.lexsort((vid[ok], -s[ok]))[:k]]
-                        q_out.append(np.full(len(ok), own))
-                        v_out.append(vid[ok])
-                        s_out.append(s[ok])
-                if q_out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (q_out, v_out, s_out)], ["query_id", "vec_id", "score"])
+                        seen = np.zeros(len(ok), np.int64)
+                        seen[:1] = len(vid)
+                        for held, x in zip(out, (np.full(len(ok), qb.as_py()), np.full(len(ok), pos), np.full(len(ok), own), vid[ok], s[ok], seen)):
+                            held.append(x.astype(np.int64))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["qb", "pos", "query_id", "vec_id", "score", "seen"])
 
         left = plan.join(asked.withColumnsRenamed({"ids": "qids", "xs": "qxs"}), "qb").join(blocks.select("block", "ids", "xs"), "block")
-        return left.select("qids", "qxs", "ids", "xs", "use").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        return left.select("qb", "qids", "qxs", "ids", "xs", "use").mapInArrow(run, "qb bigint, pos bigint, query_id bigint, vec_id bigint, score bigint, seen bigint")
 
     def planned(directory, radius=None):
         """First expansion without a radius; else all that the radius of each query reaches and the first left out."""
@@ -218,44 +251,46 @@ def search(index: dict, queries: Column, k: int) -> DataFrame:
         return written(source.mapInArrow(run, "qb bigint, block bigint, use binary"), "topk-plan")
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))  # k rows a block
+        order = Window.partitionBy("qb", "pos").orderBy(F.col("score").desc(), F.col("vec_id"))  # k rows a block
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     found = None
     for directory in slices():
         if found is None:
             found = written(best(meet(planned(directory))).drop("rank"), "topk-found")
-            most_of = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+            most_of = found.groupBy("qb", "pos").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
             each = asked.select("qb", "ids", "xs")
 
             def explode(batches):
                 for batch in batches:
                     for row in range(batch.num_rows):
                         qid, q = unpack(batch.column("ids")[row].as_buffer(), batch.column("xs")[row].as_buffer())
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column("qb")[row].as_py()] * len(qid), pa.int64()), pa.array(np.arange(len(qid), dtype=np.int32)), pa.array(qid), pa.array((q**2).sum(1))], ["qb", "pos", "query_id", "sq"])
+                        yield pa.RecordBatch.from_arrays([pa.array([batch.column("qb")[row].as_py()] * len(qid), pa.int64()), pa.array(np.arange(len(qid), dtype=np.int32)), pa.array(qid), pa.array((q.astype(float) ** 2).sum(1))], ["qb", "pos", "query_id", "sq"])
 
             names = each.mapInArrow(explode, "qb bigint, pos int, query_id bigint, sq double")
-            reach = F.when(F.col("kth").isNull(), float("inf")).otherwise(F.sqrt(F.greatest(F.col("sq") + most - 2 * F.col("kth"), F.lit(0.0))))
-            radius = names.join(most_of, "query_id", "left").groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("pos", reach.alias("r")))).alias("rs"))  # QUERY_BLOCK rows
+            reach = F.when(F.col("kth").isNull(), float("inf")).otherwise(F.sqrt(F.greatest(F.col("sq") + most - 2.0 * F.col("kth").cast("double"), F.lit(0.0))))
+            radius = names.join(most_of, ["qb", "pos"], "left").groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("pos", reach.alias("r")))).alias("rs"))  # QUERY_BLOCK rows
             radius = written(each.join(radius.select("qb", F.col("rs.r").alias("radius")), "qb"), "topk-radius")
             found = found.unionByName(meet(planned(directory, radius)))
         else:
             found = found.unionByName(meet(planned(directory, radius))).unionByName(meet(planned(directory)))
-    found = best(found.select("query_id", "vec_id", "score"))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    seen = found.groupBy("qb", "pos").agg(F.sum("seen").alias("total"))
+    found = best(found.drop("seen")).join(seen, ["qb", "pos"])
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.col("total").alias("seen"))
 
 
 def topk_report(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The k best of all other rows for each row whose vec_id is divisible by every."""
     vectors = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), scaled(F.col("embedding")).alias("v")).filter("id is not null")
-    return search(build(vectors), F.col("id") % every == 0, k)
+    return search(build(vectors), F.col("id") % every == 0, k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+q AS (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0),
+p AS (SELECT q.vec_id AS query_id, q.x, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM q JOIN v c ON c.vec_id <> q.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
 

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 
 def brute_topk(rows, every, k):
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q, x in good:
-        if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    good = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for q, x in {r for r in good if r[0] % every == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q)[:k]
+        out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
     return out
 
 
@@ -31,16 +30,29 @@ def test_topk(spark, monkeypatch):
     centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(5)]
     rows = [(i, [c + rnd.gauss(0, 0.05) for c in rnd.choice(centres)]) for i in range(600)]
     rows += [(1000 + i, rows[3][1]) for i in range(100)] + [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2005, [0.5, 0.25]), (2006, [0.0] * 8), (None, [1.0] * 8)]
+    rows += [(50, rows[50][1]), (100, [-c for c in rows[100][1]]), (7, rows[7][1])]  # a query twice, two vectors of one id, a candidate twice
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
     want = brute_topk(rows, 50, 5)
     for block in (1024, 16):
         monkeypatch.setattr(topk, "BLOCK", block)
         monkeypatch.setattr(topk, "DIRECTORY", 20)
-        got = {tuple(r) for r in topk.topk_report(df).collect()}
+        got = Counter(tuple(r) for r in topk.topk_report(df).collect())
         assert got == want
+    vectors = df.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding")).alias("v")).filter("id is not null")
+    seen = [r.seen for r in topk.search(topk.build(vectors), F.col("id") % 50 == 0, 5).collect()]
+    assert 6 <= min(seen) and sum(seen) / len(seen) < 0.7 * len(rows)  # clusters: the bounds leave most annuli out
     assert topk.topk_report(df.limit(0)).count() == 0
     few = df.filter("vec_id in (0, 1, 2)")
-    assert {tuple(r) for r in topk.topk_report(few).collect()} == brute_topk([r for r in rows if r[0] in (0, 1, 2)], 50, 5)
+    assert Counter(tuple(r) for r in topk.topk_report(few).collect()) == brute_topk([r for r in rows if r[0] in (0, 1, 2)], 50, 5)
+
+
+def test_topk_of_large_components(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 10.0 ** rnd.choice([0, 3, 6, 7])) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.topk_report(df, 10).collect()) == brute_topk(rows, 10, 5)
+    huge = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1.0, 1.0])], df.schema)
+    assert [(r.vec_id, r.score) for r in topk.topk_report(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
 PAGES = [
