@@ -29,6 +29,19 @@ def pca(df: DataFrame, group: str, row: str, col: str, value: str, rank: int) ->
     return df.groupBy(F.col(group).cast("string").alias("group")).applyInPandas(run, "group string, component int, row string, score double, explained double")
 
 
+def eigenvalues(df: DataFrame, group: str, name: str, by: list[str], value: str) -> DataFrame:
+    """group, component, eigenvalue: of the covariance of the names over by. Covariances are sums; a task holds one group's names by names."""
+    a, b = (df.select(group, *by, F.col(name).alias(k), F.col(value).alias(f"v{k}")) for k in "ab")
+    c = a.join(b, [group, *by]).groupBy(group, "a", "b").agg(F.covar_pop("va", "vb").alias("c"))
+
+    def run(key, pdf):
+        m = matrix(pdf, "a", "b", "c").to_numpy(float)
+        v = np.linalg.eigvalsh((m + m.T) / 2)[::-1]
+        return pd.DataFrame({"group": key[0], "component": np.arange(len(v)), "eigenvalue": v})
+
+    return c.groupBy(F.col(group).cast("string").alias("group")).applyInPandas(run, "group string, component int, eigenvalue double")
+
+
 def nmf(df: DataFrame, group: str, row: str, col: str, value: str, rank: int, steps: int = 300, seed: int = 0) -> DataFrame:
     """group, component, row, weight, error: non-negative factors by multiplicative updates; error is the relative residual."""
 

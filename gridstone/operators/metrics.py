@@ -128,3 +128,14 @@ def dominated(df: DataFrame, key: str, x: str, y: str, tolerance: float) -> Data
     ge = (F.col("bx") >= F.col("ax") - tolerance) & (F.col("by") >= F.col("ay") - tolerance)
     gt = (F.col("bx") > F.col("ax") + tolerance) | (F.col("by") > F.col("ay") + tolerance)
     return a.join(b, ge & gt, "left_semi").select(F.col("k").alias(key))
+
+
+def trend_audit(df: DataFrame, group: str, value: str, least_trend: float, least_share: float) -> DataFrame:
+    """Rank correlation of ordered groups with their medians, share of variance between groups, and the verdict that both give. Groups are few."""
+    each = df.groupBy(group).agg(F.median(value).alias("m"), F.count(value).alias("n"), F.avg(value).alias("a"))
+    a, b = F.rank().over(Window.orderBy(group)), F.rank().over(Window.orderBy("m")) + (F.count(F.lit(1)).over(Window.partitionBy("m")) - 1) / 2
+    trend = each.withColumn("__a", a).withColumn("__b", b).agg(F.corr("__a", "__b").alias("trend"))
+    whole = df.agg(F.avg(value).alias("g"), (F.var_pop(value) * F.count(value)).alias("t"))
+    eta = each.join(F.broadcast(whole)).agg((F.sum(F.col("n") * (F.col("a") - F.col("g")) * (F.col("a") - F.col("g"))) / F.first("t")).alias("eta2"))  # one row
+    out = trend.join(F.broadcast(eta))
+    return out.withColumn("verdict", F.when((F.abs("trend") >= least_trend) & (F.col("eta2") >= least_share), "graded").when(F.col("eta2") >= least_share, "different").otherwise("flat"))

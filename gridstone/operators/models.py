@@ -117,18 +117,70 @@ def contexts_for_target(fits: DataFrame, curve: str, target: float) -> DataFrame
     return fits.select(curve, F.when(ratio > 0, F.pow(ratio, -1 / F.col("rate"))).alias("needed"))
 
 
-def select_penalty(df: DataFrame, gram: DataFrame, ridges: list[float]) -> DataFrame:
-    """ridge, error and whether it is picked: affine weights of every penalty scored by the Gram's own squared error, ties to the larger penalty."""
-    from .signal import weighted_error
-
-    out = None
-    for ridge in ridges:
-        e = weighted_error(gram, fit_affine(gram, ridge)).agg(F.sum("error").alias("error")).select(F.lit(ridge).alias("ridge"), "error")
-        out = e if out is None else out.unionByName(e)
-    best = F.max_by("ridge", F.struct((-F.round("error", 9)).alias("e"), "ridge")).over(Window.partitionBy())
+def select_penalty(fold_grams: DataFrame, ridges: list[float]) -> DataFrame:
+    """ridge, error and whether it is picked: affine weights of every penalty, fitted without an inner fold and scored on it, summed over folds and contexts; ties to the larger penalty. fold_grams: see sealed.by_fold."""
+    from .sealed import nested_penalty
+
+    out = nested_penalty(fold_grams, ridges).groupBy("ridge").agg(F.sum("error").alias("error"))
+    best = F.max_by("ridge", F.struct((-F.round("error", 9)).alias("e"), "ridge")).over(Window.partitionBy())  # a row a penalty
     return out.withColumn("picked", F.col("ridge") == best)
 
 
+def landmark_ridge(vectors: DataFrame, folds: DataFrame, alpha: float, landmarks: int) -> DataFrame:
+    """id, fold, y, prediction: kernel ridge over any number of rows, by the RBF kernel to landmarks.
+
+    vectors(id, x array, y), folds(id, fold). Each fold's landmarks are the training rows with the smallest hash; the width
+    is their median distance. A row's kernel values to them are its features; normal equations are summed by partition, as
+    many numbers as (landmarks + 1) ** 2 a fold, and solved on the driver. No row is left out, no task holds a fold.
+    """
+    rows = vectors.join(folds, "id").select("id", "fold", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    kind = {}
+    for k in numbers:
+        few = rows.filter(F.col("fold") != k).orderBy(F.xxhash64("id"), "id").limit(landmarks).select("x").collect()
+        z = np.array([r.x for r in few])
+        d = ((z[:, None, :] - z[None, :, :]) ** 2).sum(-1)
+        kind[k] = (z, float(np.median(d[d > 0])) if (d > 0).any() else 1.0)
+    held = vectors.sparkSession.sparkContext.broadcast(kind)
+
+    def features(x: np.ndarray, k: int) -> np.ndarray:
+        z, width = held.value[k]
+        d = (x**2).sum(1)[:, None] + (z**2).sum(1) - 2 * x @ z.T
+        return np.concatenate([np.exp(-np.maximum(d, 0) / width), np.ones((len(x), 1))], 1)
+
+    def sums(batches):
+        total = {}
+        for pdf in batches:
+            x, y, fold = np.stack(pdf.x.to_numpy()), pdf.y.to_numpy(), pdf.fold.to_numpy()
+            for k in held.value:
+                t = fold != k
+                f = np.concatenate([features(x[t], k), y[t][:, None]], 1)
+                total[k] = total.get(k, 0) + f.T @ f
+        for k, m in total.items():
+            yield pd.DataFrame({"fold": k, "place": np.arange(m.size), "v": m.ravel()})
+
+    summed = rows.mapInPandas(sums, "fold int, place int, v double").groupBy("fold", "place").agg(F.sum("v").alias("v")).toPandas()
+    coefs = {}
+    for k, own in summed.groupby("fold"):
+        n = len(kind[k][0]) + 1
+        m = own.sort_values("place").v.to_numpy().reshape(n + 1, n + 1)
+        penalty = alpha * np.eye(n)
+        penalty[-1, -1] = 0
+        coefs[int(k)] = np.linalg.solve(m[:n, :n] + penalty, m[:n, n])
+    solved = vectors.sparkSession.sparkContext.broadcast(coefs)
+
+    def predict(batches):
+        for pdf in batches:
+            x, out = np.stack(pdf.x.to_numpy()), np.zeros(len(pdf))
+            for k in solved.value:
+                t = (pdf.fold == k).to_numpy()
+                if t.any():
+                    out[t] = features(x[t], k) @ solved.value[k]
+            yield pd.DataFrame({"id": pdf.id, "fold": pdf.fold, "y": pdf.y, "prediction": out})
+
+    return rows.mapInPandas(predict, "id long, fold int, y double, prediction double")
+
+
 def prediction_sets(test: DataFrame, cuts: DataFrame, probs: str) -> DataFrame:
     """Each row's set of labels whose 1 - p is at most the cut of the label; an empty set becomes the full one."""
     by = cuts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("label"), F.col("cut")))).alias("cuts"))

@@ -486,14 +486,16 @@ def _(spark, d):
     return rounded(models.conformal_cut(p, ["quality"], "score", 0.1))
 
 
-SIMS = "WITH e AS (SELECT vec_id, embedding AS x, label FROM embeddings WHERE vec_id < 200), m AS (SELECT a.vec_id AS q, b.vec_id + 100 AS ignore, b.vec_id - 100 AS t, round(list_cosine_similarity(a.x::DOUBLE[], b.x::DOUBLE[]), 6) AS s FROM e a JOIN e b ON a.vec_id < 100 AND b.vec_id >= 100)"
+SIMS = "WITH e AS (SELECT label, vec_id % 2 AS h, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT label, h, i, avg(x) AS x FROM e GROUP BY ALL), m AS (SELECT a.label AS q, b.label AS t, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) AS s FROM v a JOIN v b USING (i) WHERE a.h = 0 AND b.h = 1 GROUP BY ALL)"
 
 
 def similarities(spark, d):
-    """A first half of vectors against a second half; the i-th of each belong together."""
-    e = table(spark, d, "embeddings").filter("vec_id < 200").select("vec_id", "embedding")
-    a, b = e.filter("vec_id < 100").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")), e.filter("vec_id >= 100").select((F.col("vec_id") - 100).alias("t"), F.col("embedding").alias("y"))
-    return a.crossJoin(b).select("q", "t", r(X.dot(F.col("x"), F.col("y")) / F.sqrt(X.dot(F.col("x"), F.col("x")) * X.dot(F.col("y"), F.col("y")))).alias("s"))
+    """Every label's mean vector over one half of its vectors against every label's over the other half; equal labels belong together."""
+    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("h"), F.posexplode("embedding").alias("i", "x"))
+    v = e.groupBy("label", "h", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    a, b = (v.filter(F.col("h") == h).select("i", F.col("label").alias(k), F.col("x").alias(f"x{k}")) for h, k in ((0, "q"), (1, "t")))
+    x, y = F.col("xq"), F.col("xt")
+    return a.join(b, "i").groupBy("q", "t").agg(r(F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("s"))
 
 
 @query("identity_retrieval", SIMS + " SELECT m.q, count(*) FILTER (m.s > o.s AND m.q <> m.t) + 1 AS rank, round(any_value(o.s), 6) AS matched, round(median(m.s) FILTER (m.q <> m.t), 5) AS mismatched FROM m JOIN m o ON o.q = m.q AND o.t = m.q GROUP BY 1")
@@ -501,15 +503,16 @@ def _(spark, d):
     return rounded(metrics.retrieval(similarities(spark, d), "q", "t", "s"), "mismatched").withColumn("mismatched", r("mismatched", 5))
 
 
-@query("retrieval_summary", SIMS + ", k AS (SELECT m.q, count(*) FILTER (m.s > o.s AND m.q <> m.t) + 1 AS r FROM m JOIN m o ON o.q = m.q AND o.t = m.q GROUP BY 1) SELECT round(avg(1 / r), 6) AS mrr, round(avg((r <= 1)::INT), 6) AS top1, round(avg((r <= 5)::INT), 6) AS top5, round(avg(r), 6) AS mean_rank, round(avg(1 - (r - 1) / 99.0), 6) AS percentile FROM k")
+@query("retrieval_summary", SIMS + ", k AS (SELECT m.q, count(*) FILTER (m.s > o.s AND m.q <> m.t) + 1 AS r FROM m JOIN m o ON o.q = m.q AND o.t = m.q GROUP BY 1) SELECT round(avg(1 / r), 6) AS mrr, round(avg((r <= 1)::INT), 6) AS top1, round(avg((r <= 5)::INT), 6) AS top5, round(avg(r), 6) AS mean_rank, round(avg(1 - (r - 1) / ((SELECT count(DISTINCT label) FROM embeddings) - 1.0)), 6) AS percentile FROM k")
 def _(spark, d):
-    return rounded(metrics.retrieval_summary(metrics.retrieval(similarities(spark, d), "q", "t", "s"), 100))
+    return rounded(metrics.retrieval_summary(metrics.retrieval(similarities(spark, d), "q", "t", "s"), table(spark, d, "embeddings").select("label").distinct().count()))
 
 
-@query("spectrum", with_facts(GAMMA + GRAM + ", v AS (SELECT dot FROM cg WHERE ctx_a = ctx_b AND dot > 0), p AS (SELECT p, row_number() OVER (ORDER BY p DESC)::INT AS i, sum(p) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT dot / sum(dot) OVER () AS p FROM v)) SELECT round(1 / sum(p * p), 6) AS participation, round(exp(-sum(p * ln(p))), 6) AS entropy_rank, min(i) FILTER (c >= 0.5 - 1e-12) AS k50, min(i) FILTER (c >= 0.9 - 1e-12) AS k90 FROM p"))
+@query("spectrum", with_facts(GAMMA + ", c AS (SELECT context, covar_pop(p.gamma, q.gamma) AS pq, var_pop(p.gamma) AS pp, var_pop(q.gamma) AS qq FROM gam p JOIN gam q USING (replicate, context, intervention) WHERE p.feature = 'price' AND q.feature = 'quantity' GROUP BY 1), v AS (SELECT context, unnest([(pp + qq) / 2 + sqrt((pp - qq) ** 2 / 4 + pq * pq), (pp + qq) / 2 - sqrt((pp - qq) ** 2 / 4 + pq * pq)]) AS v FROM c), w AS (SELECT row_number() OVER (ORDER BY v DESC)::INT AS i, v / sum(v) OVER () AS p, sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM v) SELECT round(1 / sum(p * p), 5) AS participation, round(exp(-sum(p * ln(p))), 5) AS entropy_rank, min(i) FILTER (c >= 0.5 - 1e-12) AS k50, min(i) FILTER (c >= 0.9 - 1e-12) AS k90 FROM w"))
 def _(spark, d):
-    diag = interaction.context_gram(gram(spark, d)).filter("ctx_a = ctx_b")
-    return rounded(metrics.spectrum(diag, "dot"))
+    """Eigenvalues of each context's covariance of two features, all together; the SQL has them in closed form."""
+    g = gamma(spark, d).filter("feature in ('price', 'quantity')")
+    return rounded(metrics.spectrum(decompose.eigenvalues(g, "context", "feature", ["replicate", "intervention"], "gamma"), "eigenvalue"), digits=5)
 
 
 # --- resampling and inference -----------------------------------------------------------------
@@ -641,8 +644,8 @@ def _(spark, d):
 
 @query("kernel_ridge")
 def _(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"))
-    return models.kernel_ridge(e, design.stride_folds(e, "id", "kr"), 0.1, 16)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"))
+    return models.landmark_ridge(e, e.select("id", X.hash_fold(F.col("id").cast("string"), 5).cast("int").alias("fold")), 0.1, 64)
 
 
 @query("nested_bootstrap")
@@ -655,7 +658,7 @@ def _(spark, d):
     c = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("a"))
     row, col, every = Window.partitionBy("c_mktsegment"), Window.partitionBy("c_nationkey"), Window.partitionBy()
     c = c.withColumn("b", F.sum("a").over(row) - F.col("a")).withColumn("c", F.sum("a").over(col) - F.col("a")).withColumn("d", F.sum("a").over(every) - F.col("a") - F.col("b") - F.col("c"))
-    return c.select("c_mktsegment", "c_nationkey", inference.fisher_greater("a", "b", "c", "d").alias("p"))
+    return c.select("c_mktsegment", "c_nationkey", inference.fisher_greater("a", "b", "c", "d").alias("p"), inference.fisher_two_sided("a", "b", "c", "d").alias("two_sided"))
 
 
 # --- reliable energies, nulls, gates --------------------------------------------------------------
@@ -784,8 +787,8 @@ def _(spark, d):
 
 @query("low_rank_completion")
 def _(spark, d):
-    f = facts(spark, d).filter("replicate = 0")
-    return decompose.complete_low_rank(f.select("feature", "context", "intervention", "value"), design.latin_masks(f), 2, 1.0)
+    f = facts(spark, d).groupBy("feature", "context", "intervention").agg(F.avg("value").alias("value"))
+    return decompose.complete_low_rank(f, design.latin_masks(f), 2, 1.0)
 
 
 @query("linkage_clusters")
@@ -801,9 +804,12 @@ def _(spark, d):
 
 @query("ridge_leave_one_out")
 def _(spark, d):
-    p = interaction.packed(facts(spark, d)).groupBy(F.col("context").alias("unit")).agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "intervention", "xs"))), lambda s: s["xs"]).alias("xs"))  # one row a context of the design
-    flat = F.flatten("xs")
-    return decompose.ridge_leave_one_out(p.select("unit", F.slice(flat, 1, 80).alias("x"), F.slice(flat, 101, 20).alias("y")), [0.1, 1.0, 10.0])
+    f = facts(spark, d).withColumn("name", F.concat_ws("|", "intervention", "feature"))
+    names = [x[0] for x in f.select("name").distinct().orderBy("name").collect()]  # an axis of the design
+    by = f.groupBy(F.col("context").alias("unit"), "replicate").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    by = by.select("unit", "replicate", F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.col("m")[n], F.lit(0.0))).alias("xs"))
+    side = lambda k, name: by.filter(F.col("replicate") == k).select("unit", F.col("xs").alias(name))
+    return decompose.ridge_leave_one_out(side(0, "x").join(side(1, "y"), "unit"), [0.1, 1.0, 10.0])
 
 
 @query("logistic_program")
@@ -931,8 +937,10 @@ def _(spark, d):
 
 @query("penalty_selection")
 def _(spark, d):
-    g = interaction.context_gram(gram(spark, d))
-    return models.select_penalty(facts(spark, d), g, [0.01, 0.1, 1.0])
+    from ..operators import sealed
+
+    g = gamma(spark, d).select("replicate", "context", "intervention", "feature", F.col("gamma").alias("value"))
+    return models.select_penalty(sealed.by_fold(g, design.stride_folds(g, "intervention", "ps")), [0.01, 0.1, 1.0, 10.0])
 
 
 @query("retention", with_facts(", c AS (SELECT context, feature, sum(value * value) AS q FROM fact GROUP BY ALL) SELECT c.context, c.feature, CASE WHEN f.q > 0 THEN round(c.q / f.q, 6) END AS retention FROM c JOIN c f ON f.context = c.context AND f.feature = 'price'"))
@@ -978,9 +986,13 @@ def _(spark, d):
 
 @query("ridge_by_intervention")
 def _(spark, d):
-    f = facts(spark, d).filter("replicate = 0")
+    f = facts(spark, d)
     h = f.groupBy("context").pivot("feature", sorted(measures())).avg("value").select("context", F.array(*sorted(measures())).alias("h"))
-    return models.ridge_by_intervention(f.filter("feature = 'price'").select("context", "intervention", "value"), h, 1.0)
+    y = f.groupBy("context", F.concat_ws("|", "intervention", "feature").alias("intervention")).agg(F.avg("value").alias("value"))
+    return models.ridge_by_intervention(y, h, 1.0)
+
+
+from . import more  # noqa: E402, F401  registers its queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

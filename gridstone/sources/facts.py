@@ -6,6 +6,9 @@ in long form. Dimension joins are left to the optimizer, which broadcasts what i
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +44,42 @@ def response(cell: DataFrame) -> DataFrame:
     return cell.unpivot(["replicate", "context", "intervention"], sorted(measures()), "feature", "value")
 
 
+_stored: dict[tuple[str, ...], tuple[str, T.StructType]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one serves a local master; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="gridstone-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored_cells(spark: SparkSession, sf_dir: str, context: str, intervention: str) -> DataFrame:
+    """The cells of the design, written once a session to the shared folder: as many rows as the design has, whatever the tables hold.
+
+    Every operator starts there, so that a plan with several branches reads the facts once. Tables are taken not to change during a session.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, context, intervention)
+    if key not in _stored or not _exists(spark, _stored[key][0]):
+        path = f"{shared_dir(spark)}/gridstone/cells-{uuid.uuid4().hex}"
+        made = cells(sales(spark, sf_dir), context, intervention)
+        made.write.parquet(path)
+        _stored[key] = (path, made.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def facts(spark: SparkSession, sf_dir: str, context: str = "n_name", intervention: str = "p_brand") -> DataFrame:
-    return response(cells(sales(spark, sf_dir), context, intervention))
+    return response(stored_cells(spark, sf_dir, context, intervention))
 
 
 FACT_SQL = """

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +83,82 @@ def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     names = body.agg(F.min_by("p", "at").alias("names"), F.min("at").alias("top"))
     cells = body.join(F.broadcast(names)).filter("at > top").select(F.col("p")[0].alias("row"), "p", F.posexplode("names").alias("i", "column")).filter("i > 0")
     return header, cells.select("row", "column", F.expr("try_cast(get(p, i) as double)").alias("value"))
+
+
+def constant_row_groups(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """file, row_group, rows, bytes, constant, and the key columns of each row group of Parquet files, from footers only.
+
+    A column whose smallest and largest value are equal (and which has no nulls) is constant and gives its value as text, else null.
+    One task a file reads a footer; paths must be readable by pyarrow from the executors.
+    """
+
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                meta = pq.ParquetFile(path).metadata
+                at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+                rows = []
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    stats = [group.column(at[c]).statistics if c in at else None for c in columns]
+                    same = [s is not None and s.has_min_max and s.min == s.max and not s.null_count for s in stats]
+                    rows.append({"file": path, "row_group": g, "rows": group.num_rows, "bytes": group.total_byte_size, "constant": all(same)} | {c: str(s.min) if ok else None for c, s, ok in zip(columns, stats, same)})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("rows", pa.int64()), ("bytes", pa.int64()), ("constant", pa.bool_()), *((c, pa.string()) for c in columns)]))
+
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return names.mapInArrow(run, "file string, row_group int, rows bigint, bytes bigint, constant boolean, " + ", ".join(f"{c} string" for c in columns))
+
+
+def selected_groups(groups: DataFrame, wanted: DataFrame, keys: list[str], expected: int, most_bytes: int) -> DataFrame:
+    """The row groups of wanted keys, behind two gates: an error where other than the expected number of keys is found or more bytes would be read."""
+    found = groups.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    n, size = found.agg(F.count_distinct(*keys), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if n != expected or size > most_bytes:
+        raise ValueError(f"{n} of {expected} conditions, {size} of at most {most_bytes} bytes")
+    return found
+
+
+def manifests(spark: SparkSession, pattern: str, key: str) -> DataFrame:
+    """The union of all CSV manifests of a pattern, with the file that each row comes from; an error where a key repeats."""
+    df = spark.read.option("header", True).csv(pattern).withColumn("manifest", F.col("_metadata.file_path"))
+    twice = df.groupBy(key).count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"{key} isn't unique: {[r[0] for r in twice]}")
+    return df
+
+
+def protocol(path: str, required: list[str]) -> dict:
+    """A JSON protocol; an error where a required entry is missing."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if lost := [k for k in required if k not in found]:
+        raise KeyError(f"{path} lacks {lost}")
+    return found
+
+
+def write_json(path: str, value) -> None:
+    """JSON by a file beside it that is renamed, so that no reader sees a part."""
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        json.dump(value, f, sort_keys=True, indent=1)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f"{path}.part", path)
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV folder; every file has the header, and reading the folder gives all rows."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def save_draws(df: DataFrame, path: str) -> None:
+    """A table of draws, clustered by draw, so that a reader of some draws skips the rest."""
+    df.repartitionByRange("draw").sortWithinPartitions("draw").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def output_manifest(spark: SparkSession, folder: str, pattern: str, path: str) -> None:
+    """Name, size and SHA-256 of the files of a folder, written as JSON."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    rows = df.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()  # a row a file of results
+    write_json(path, {"files": [{"name": os.path.basename(r.path), "bytes": r.length, "sha256": r.sha256} for r in rows]})
