@@ -14,7 +14,8 @@ Only texts of MIN_WORDS words make the sketches, as the others fail anyway.
 
 The text is read twice, once for the sketches and once for the verdict, so that no
 text is ever shuffled. Defined cases: a null text has no words and fails the base
-rule; null language or source is a group of its own; a group with any text of MIN_WORDS words has fences;
+rule; null language or source is a group of its own; a group of fewer than LEAST texts of MIN_WORDS words has the
+fences of its language, or of all; without any such text there is nothing to judge;
 repeated rows each get a row; an empty table gives an empty result; other columns
 stay as they are.
 """
@@ -33,6 +34,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Relative error of the sketch; fences at q75 + REACH * (q75 - q25), at least GUARD: one word in 100, one line in 20.
 ERROR, REACH = 0.01, 3.0
+#: A group with fewer texts is judged by the merged sketch of its language, or of all.
+LEAST = 30
 GUARD = {"symbols": 0.01, "marks": 0.01, "dup_lines": 0.05}
 POSITION_BITS = 31  # of any array
 
@@ -82,15 +85,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     return df.groupBy("lang", "source", "density", "bucket").agg(F.sum("n").alias("n"))
 
 
+def levels() -> Column:
+    """The sketches that a group's texts are part of: its own, its language's, that of all."""
+    none = F.lit(None)
+    part = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.cast("string").alias("lang"), source.cast("string").alias("source"))
+    return F.explode(F.array(part(0, F.col("lang"), F.col("source")), part(1, F.col("lang"), none), part(2, none, none)))
+
+
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source -> the upper fence of each density."""
-    group = Window.partitionBy("lang", "source", "density")  # rows: buckets, about 1,100 at most
-    df = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
+    """lang, source -> the upper fence of each density, from the first sketch of the group, its language and all that holds LEAST texts (else of all)."""
+    whole = sketch.select(levels().alias("k"), "density", "bucket", "n").groupBy("k", "density", "bucket").agg(F.sum("n").alias("n"))  # merged by addition
+    group = Window.partitionBy("k", "density")  # rows: buckets, about 1,100 at most
+    df = whole.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: value(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket"))))
-    df = df.groupBy("lang", "source", "density").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
+    df = df.groupBy("k", "density").agg(F.max("all").alias("texts"), at(0.25).alias("q25"), at(0.75).alias("q75"))
     df = df.withColumn("fence", F.col("q75") + REACH * (F.col("q75") - F.col("q25")))
     one = lambda k, name: F.greatest(F.lit(GUARD[name]), F.max(F.when(F.col("density") == k, F.col("fence")))).alias(f"__fence_{name}")
-    return df.groupBy("lang", "source").agg(*(one(k, name) for k, name in enumerate(GUARD)))
+    names = [f"__fence_{name}" for name in GUARD]
+    df = df.groupBy("k").agg(F.max("texts").alias("texts"), *(one(k, name) for k, name in enumerate(GUARD))).filter((F.col("texts") >= LEAST) | (F.col("k.level") == 2))
+    own = sketch.select("lang", "source").distinct().select("lang", "source", levels().alias("own"))
+    best = own.join(df, F.col("own").eqNullSafe(F.col("k"))).groupBy("lang", "source").agg(F.min_by(F.struct(*names), "k.level").alias("f"))
+    return best.select("lang", "source", *(F.col(f"f.{n}") for n in names))
 
 
 def repeat_words(text: Column) -> Column:
