@@ -5,8 +5,9 @@ generators propose further spans: written-out e-mail addresses, telephone number
 without a plus, social security numbers, IBANs. Telephone numbers are proposed from every
 group of digits to every later one in reach, so that one beside other numbers is among
 them. Boosted trees score each by its format and context; the scores are calibrated, and a
-threshold a kind, set for PRECISION on held-out rows, selects what is kept. Of telephone
-numbers that overlap the most probable stays. The base spans always stay.
+threshold a kind, set for PRECISION on held-out rows, selects what is kept. Of those, of
+any kind, that overlap the most probable stays. The base spans always stay; candidates
+must add to them (see beyond).
 
 The trees are fitted on the driver on TRAINING_ROWS texts made by rule from a fixed
 seed (the only bound of the operator); features of training rows and of documents
@@ -121,17 +122,29 @@ def numbers(regions: Column) -> Column:
     return F.flatten(F.transform(rich, lambda r: let(found(r["m"], "[0-9]+", kind), lambda g: runs(r, g))))
 
 
-def apart(base: Column, cand: Column) -> Column:
-    """The candidates that no base span overlaps: sorted together, the largest end of base spans before and the smallest start of those after decide. Not quadratic."""
-    tag = lambda xs, c: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(c).alias("c"), s.alias("s")))
-    only = lambda ts, x, other: F.transform(ts, lambda t: F.when(t["c"] == 0, x(t["s"])).otherwise(F.lit(other)).cast("bigint"))
-    most = lambda xs: scan(xs, lambda a, b: F.greatest(a, b))
+def beyond(base: Column, cand: Column) -> Column:
+    """The candidates that add to the base spans: those that none of them overlaps, and those that hold every one they overlap whole and more.
 
-    def free(ts: Column, ends: Column, starts: Column) -> Column:
-        alone = lambda t, i: (t["c"] == 1) & (F.get(ends, i) <= t["start"]) & (-F.get(starts, F.size(ts) - 1 - i) >= t["s"]["end"])
-        return F.transform(F.filter(ts, alone), lambda t: t["s"])
+    That is: no base span crosses the candidate's start or its end, and none is equal to it. Sorted together, running
+    maxima tell all three. Not quadratic.
+    """
+    tag = lambda xs, c, at: F.transform(xs, lambda s: F.struct(at(s).alias("at"), F.lit(c).alias("c"), s.alias("s")))
+    wide = lambda s: s["start"].cast("bigint") * (1 << 31) + s["end"]
+    ways = [
+        # order, whether candidates come before base spans at the same place, what base spans are remembered by, when a candidate passes
+        (lambda s: s["start"].cast("bigint"), True, lambda s: s["end"].cast("bigint"), lambda top, s: top <= s["start"]),
+        (lambda s: -s["end"].cast("bigint"), True, lambda s: -s["start"].cast("bigint"), lambda top, s: top <= -s["end"]),
+        (wide, False, wide, lambda top, s: top != wide(s)),
+    ]
+
+    def filtered(first: bool, kept, passes):
+        mark = F.lit(0 if first else 1)
+        tops = lambda ts: scan(F.transform(ts, lambda t: F.when(t["c"] == mark, F.lit(-(1 << 62)).cast("bigint")).otherwise(kept(t["s"]))), lambda a, b: F.greatest(a, b))
+        return lambda ts: let(tops(ts), lambda m: F.transform(F.filter(ts, lambda t, i: (t["c"] == mark) & passes(F.get(m, i), t["s"])), lambda t: t["s"]))
 
-    return let(F.sort_array(F.concat(tag(base, 0), tag(cand, 1))), lambda ts: let(most(only(ts, lambda s: s["end"], 0)), lambda ends: let(most(F.reverse(only(ts, lambda s: -s["start"], -(1 << 40)))), lambda starts: free(ts, ends, starts))))
+    for at, first, kept, passes in ways:
+        cand = let(F.sort_array(F.concat(tag(base, int(first), at), tag(cand, int(not first), at))), filtered(first, kept, passes))
+    return cand
 
 
 def resolved(spans: Column) -> Column:
@@ -231,11 +244,12 @@ def fit_model(spark: SparkSession) -> dict:
     limits = {}
     for kind in {KINDS.index(g) for g in GENERATORS}:
         own = x[held][:, 0] == kind
+        # equal scores pass together: only the last row of each can be a limit
         order = np.argsort(-p[own], kind="stable")
-        right = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        limits[kind] = float(max(0.5, p[own][order][good[-1]])) if len(good) else 1.1
-    return {"trees": trees, "a": a, "b": b, "limits": limits}
+        score, right = p[own][order], np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
+        good = np.flatnonzero((right >= PRECISION) & (np.append(score[1:], -1.0) < score))
+        limits[kind] = float(score[good[-1]]) if len(good) else 1.1
+    return {"trees": trees, "a": a, "b": b, "limits": limits, "held": (x[held][:, 0], p, y[held])}
 
 
 @functools.lru_cache(maxsize=4)
@@ -250,10 +264,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
     df = fixed(df, __base=F.concat(*base_spans(F.col("__t")).values()), __cand=candidates(F.col("__t")))
     p = lambda x: 1 / (1 + F.exp(-(model["a"] * boosting.column(model["trees"], lambda j: F.get(x, F.lit(j))) + model["b"])))
     limit = lambda s: F.element_at(F.array(*(F.lit(model["limits"].get(k, 1.1)) for k in range(len(KINDS)))), s["kind"] + 1)
-    scored = F.transform(apart(F.col("__base"), F.col("__cand")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), let(features(F.col("__t"), s), p).alias("p"), s.alias("s")))
-    phone = KINDS.index("phone")
-    chosen = lambda xs: F.sort_array(F.concat(F.transform(F.filter(xs, lambda x: x["s"]["kind"] != phone), lambda x: x["s"]), resolved(F.filter(xs, lambda x: x["s"]["kind"] == phone))))
-    kept = let(F.filter(scored, lambda x: x["p"] >= limit(x["s"])), chosen)
+    # what a candidate adds doesn't depend on its score: the others needn't be scored
+    adds = F.when(F.size("__base") == 0, F.col("__cand")).otherwise(beyond(F.col("__base"), F.col("__cand")))
+    scored = F.transform(adds, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), let(features(F.col("__t"), s), p).alias("p"), s.alias("s")))
+    kept = let(F.filter(scored, lambda x: x["p"] >= limit(x["s"])), lambda xs: F.sort_array(resolved(xs)))
     none = F.expr(f"cast(array() as {SPAN})")
     return fixed(df, __more=F.when(F.size("__cand") > 0, kept).otherwise(none)).drop("__cand")
 
