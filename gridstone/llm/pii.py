@@ -57,7 +57,7 @@ CUES = {
     "other": r"(?i)(?:order|invoice|ref|version|isbn|page|seite|part|model|sku|ticket|bestell|pedido|commande|build|issue|serial|chapter|room|score|code|token|hash|uuid)",
 }
 CONTEXT = 28
-TRAINING_ROWS, SEED, PRECISION = 3000, 7, 0.98
+TRAINING_ROWS, SEED, PRECISION, TREES = 3000, 7, 0.98, 60
 SPAN = "array<struct<kind:int,start:int,end:int,m:string>>"
 
 
@@ -238,7 +238,7 @@ def fit_model(spark: SparkSession) -> dict:
     x = np.array([r.x for r in got])
     y = np.array([float(any(abs(r.start - a) <= 1 and r.end == b for a, b in rows[r.i][1])) for r in got])
     held = np.array([r.i // 2 % 3 == 2 for r in got])
-    trees = boosting.fit(x[~held], y[~held])
+    trees = boosting.fit(x[~held], y[~held], TREES)
     a, b = boosting.platt(boosting.predict(trees, x[held]), y[held])
     p = 1 / (1 + np.exp(-(a * boosting.predict(trees, x[held]) + b)))
     limits = {}
@@ -248,10 +248,17 @@ def fit_model(spark: SparkSession) -> dict:
         order = np.argsort(-p[own], kind="stable")
         score, right = p[own][order], np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero((right >= PRECISION) & (np.append(score[1:], -1.0) < score))
-        limits[kind] = float(score[good[-1]]) if len(good) else 1.1
+        limits[kind] = _between(score, good[-1]) if len(good) else 1.1
     return {"trees": trees, "a": a, "b": b, "limits": limits, "held": (x[held][:, 0], p, y[held])}
 
 
+def _between(score: np.ndarray, k: int) -> float:
+    """The threshold under score[k], half way in log-odds to the next lower one: what scores a hair less than the held-out rows passes too."""
+    odds = np.log(np.clip(score, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(score, 1e-12, 1 - 1e-12))
+    low = odds[k + 1] if k + 1 < len(odds) else min(odds[k], 0.0)
+    return float(1 / (1 + np.exp(-(odds[k] + low) / 2)))
+
+
 @functools.lru_cache(maxsize=4)
 def _model(spark: SparkSession) -> dict:
     return fit_model(spark)
