@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: What parts words of letters, digits and non-ASCII characters, once A-Z are lower case.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def let(value: Column, body) -> Column:
@@ -45,6 +48,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A text with A-Z, and nothing else, in lower case. Of a pure ASCII text lower() says the same sooner."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def plain_words(text: Column) -> Column:
+    """The words of a text between GAPs, A-Z in lower case; none for null."""
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), lambda w: w != "")
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, html, jaccard, language, mixing, pieces, pii, quality, topk, warc
+from . import chat, decontaminate, fim, html, importance, jaccard, language, mixing, pieces, pii, quality, topk, warc
 from .common import read
 
 
@@ -28,8 +28,14 @@ def queries():
         "op9_sentencepiece": lambda spark, d: pieces.pieces_report(read(spark, d, "documents")),
         "pipeline": corpus_pipeline.run,
         "op10_mixing": lambda spark, d: mixing.mix_report(read(spark, d, "documents")),
+        "op11_importance_resampling": lambda spark, d: importance.importance_report(read(spark, d, "documents"), read(spark, d, "benchmark")),
+        "op12_decontamination": lambda spark, d: decontaminate.leak_report(read(spark, d, "documents"), read(spark, d, "benchmark")),
+        "op13_fill_in_middle": lambda spark, d: fim.fim_report(read(spark, d, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op2_exact_topk": topk.ORACLE, "op4_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op2_exact_topk": topk.ORACLE, "op4_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE,
+        "op11_importance_resampling": importance.ORACLE, "op12_decontamination": decontaminate.ORACLE, "op13_fill_in_middle": fim.ORACLE,
+    }

@@ -27,10 +27,10 @@ def test_against_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"} and set(queries.oracle_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} | {"pipeline"} and set(queries.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_pii", "op5_chat_formatting", "op8_quality_rules", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_pii", "op5_chat_formatting", "op8_quality_rules", "op10_mixing", "op12_decontamination"])
 def test_native_plans_hold_no_python(spark, name):
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))

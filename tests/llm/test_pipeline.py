@@ -48,7 +48,8 @@ def test_stages_one_by_one(spark):
     assert Counter(mix) == Counter({r: taken[r[0]] for r in safe if taken[r[0]]})
 
     out = encoded(spark, spark.createDataFrame(mix, docs.schema), sf).collect()
-    codec = pieces.Codec(pieces.MODEL)
+    with open(pieces.MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
     texts = {r[0]: r[1] for r in mix}
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in mix)
     assert all(r.lossless and codec.decode(r.pieces) == texts[r.doc_id] and r.n_pieces == len(r.pieces) for r in out)
