@@ -107,3 +107,8 @@ def bits(mask: Column, size: int) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def at_least(value: Column, seen: Column) -> Column:
+    """value >= seen, where a difference in the last bits, which hangs on the order of a sum, is none."""
+    return value >= seen - 1e-9 * F.greatest(F.lit(1.0), F.abs(seen))

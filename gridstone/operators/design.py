@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
 
 def hash_order(name: str, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(name).cast("string")), 256)
@@ -94,8 +95,8 @@ def leaks(splits: list[DataFrame], key: str) -> DataFrame:
 
 def compress_ranges(df: DataFrame, value: str) -> DataFrame:
     """Runs of consecutive integers as first, last."""
-    d = df.select(F.col(value).alias("v")).distinct()
-    return d.withColumn("g", F.col("v") - F.row_number().over(Window.orderBy("v"))).groupBy("g").agg(F.min("v").alias("first"), F.max("v").alias("last")).select("first", "last")
+    d = numbered(df.select(F.col(value).alias("v")).filter("v is not null").distinct(), F.col("v").asc())
+    return d.withColumn("g", F.col("v") - F.col("place")).groupBy("g").agg(F.min("v").alias("first"), F.max("v").alias("last")).select("first", "last")
 
 
 def benchmark_targets(units: DataFrame, name: str, seed: str) -> DataFrame:

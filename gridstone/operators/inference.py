@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.expr import hash_uniform, safe_ratio
+from ..functions.expr import at_least, hash_uniform, safe_ratio
 
 
 def unit_draws(units: DataFrame, name: str, draws: int, seed: str) -> DataFrame:
@@ -64,7 +64,7 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str) -> DataFrame:
 
 def empirical_p(null: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(1 + draws at or above the observed) / (1 + draws)."""
-    return null.join(observed, keys).groupBy(*keys).agg(((1 + F.count_if(F.col(value) >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"))
+    return null.join(observed, keys).groupBy(*keys).agg(((1 + F.count_if(at_least(F.col(value), F.col("observed")))) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
 def fieller(df: DataFrame, num: str, den: str, t: float = 1.959963984540054) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, brier, log_loss, safe_ratio, sign_band
+from .ranks import average_ranks, running
 
 
 def recovery(df: DataFrame, keys: list[str], truth: Column, prediction: Column) -> DataFrame:
@@ -51,8 +52,7 @@ def reversals(df: DataFrame, unit: str, item: str, truth: str, prediction: str,
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney from counts by distinct score: the sort is of scores, once each."""
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    by = running(by.filter(F.col(score).isNotNull()), [F.col(score).asc()], {"below": F.col("neg")})
     return by.agg(safe_ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
@@ -88,8 +88,7 @@ def spectrum(values: DataFrame, value: str) -> DataFrame:
 
 def pareto(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Rows that no other beats in both (larger is better): a running maximum, not a self-join."""
-    w = Window.orderBy(F.col(x).desc(), F.col(y).desc(), F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__best", F.max(y).over(w)).filter(F.col("__best").isNull() | (F.col(y) > F.col("__best"))).drop("__best")
+    return running(df, [F.col(x).desc(), F.col(y).desc(), F.col(tie).asc()], highest={"__best": F.col(y)}).filter(F.col("__best").isNull() | (F.col(y) > F.col("__best"))).drop("__best")
 
 
 def topk_overlap(df: DataFrame, unit: str, item: str, truth: str, prediction: str, k: int) -> DataFrame:
@@ -101,7 +100,7 @@ def topk_overlap(df: DataFrame, unit: str, item: str, truth: str, prediction: st
 
 def partial_spearman(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
     """Rank correlation of x and y with the ranks of a control taken out of both, from three correlations in one aggregate."""
-    ranked = df.select(*(average_rank(F.col(c)).alias(f"r_{c}") for c in (x, y, control)))
+    ranked = average_ranks(df.select(x, y, control), x, y, control)
     c = ranked.agg(F.corr(f"r_{x}", f"r_{y}").alias("xy"), F.corr(f"r_{x}", f"r_{control}").alias("xc"), F.corr(f"r_{y}", f"r_{control}").alias("yc"))
     return c.select(safe_ratio(F.col("xy") - F.col("xc") * F.col("yc"), F.sqrt((1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc")))).alias("rho"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_uniform, safe_ratio
+from ..functions.expr import at_least, hash_uniform, safe_ratio
 
 
 def in_draws(df: DataFrame, draws: int) -> DataFrame:
@@ -59,7 +59,7 @@ def permutation_mean_p(df: DataFrame, unit: str, first: Column, value: str, draw
     order = Window.partitionBy("draw").orderBy(_order(seed, "draw", "u"), "u")
     perm = in_draws(base, draws).withColumn("i", F.row_number().over(order)).join(F.broadcast(seen))  # one row
     d = perm.groupBy("draw").agg((F.avg(F.when(F.col("i") <= F.col("n"), F.col("x"))) - F.avg(F.when(F.col("i") > F.col("n"), F.col("x")))).alias("d"), F.first("difference").alias("difference"))
-    return d.groupBy("difference").agg(((1 + F.count_if(F.abs("d") >= F.abs("difference") - 1e-12)) / (1 + F.count(F.lit(1)))).alias("p"))
+    return d.groupBy("difference").agg(((1 + F.count_if(at_least(F.abs("d"), F.abs("difference")))) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
 def mantel(pairs: DataFrame, a: str, b: str, x: str, y: str, draws: int, seed: str) -> DataFrame:
@@ -86,7 +86,7 @@ def max_t(df: DataFrame, metrics: list[str], flips: DataFrame) -> DataFrame:
     """metric, t and its p against the flips' largest |t|."""
     t = lambda c: safe_ratio(F.avg(c) * F.sqrt(F.count(c).cast("double")), F.stddev_samp(c))
     seen = df.agg(*(t(c).alias(c) for c in metrics)).unpivot([], metrics, "metric", "seen")
-    return flips.join(F.broadcast(seen)).groupBy("metric", "seen").agg(((1 + F.count_if(F.col("t") >= F.abs("seen"))) / (1 + F.count(F.lit(1)))).alias("p"))  # a row a metric
+    return flips.join(F.broadcast(seen)).groupBy("metric", "seen").agg(((1 + F.count_if(at_least(F.col("t"), F.abs("seen")))) / (1 + F.count(F.lit(1)))).alias("p"))  # a row a metric
 
 
 def matched_random(items: DataFrame, item: str, chosen: Column, bins: list[str], draws: int, seed: str) -> DataFrame:
@@ -103,7 +103,7 @@ def random_comparator(pairs: DataFrame, unit: str, other: str, value: str, neare
     order = Window.partitionBy("draw", unit).orderBy(_order(seed, "draw", unit, other), other)
     null = in_draws(pairs, draws).withColumn("__i", F.row_number().over(order)).filter("__i = 1").groupBy("draw").agg(F.avg(value).alias("d"))
     seen = nearest.agg(F.avg(value).alias("observed"))
-    return null.join(F.broadcast(seen)).groupBy("observed").agg(((1 + F.count_if(F.col("d") <= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"))
+    return null.join(F.broadcast(seen)).groupBy("observed").agg(((1 + F.count_if(at_least(F.col("observed"), F.col("d")))) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
 def block_draws(df: DataFrame, block: list[str], unit: str, draws: int, seed: str) -> DataFrame:
@@ -178,7 +178,7 @@ def null_summary(null: DataFrame, observed: DataFrame, keys: list[str], value: s
     df = null.join(observed, keys)
     v = F.col(value)
     return df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.95).alias("p95"), (F.first("observed") - F.avg(v)).alias("effect"), ((1 + F.count_if(v >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p")
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.95).alias("p95"), (F.first("observed") - F.avg(v)).alias("effect"), ((1 + F.count_if(at_least(v, F.col("observed")))) / (1 + F.count(F.lit(1)))).alias("p")
     )
 
 
@@ -194,3 +194,18 @@ def lower_band(draws: DataFrame, estimates: DataFrame, name: str, value: str, le
 
 def not_inferior(band: DataFrame, margin: float) -> DataFrame:
     return band.withColumn("passed", F.col("low") > -margin)
+
+
+def residual_products(df: DataFrame, value: str, fold: Column) -> DataFrame:
+    """fold, p, q: products of interventions' residuals of replicate 0 and 1 over contexts and features, inside folds of interventions. Every null draw needs these alone."""
+    side = lambda k, n: df.filter(F.col("replicate") == k).select(fold.alias("fold"), "context", "feature", F.col("intervention").alias(n), F.col(value).alias(f"x{n}"))
+    both = side(0, "p").join(side(1, "q"), ["fold", "context", "feature"])
+    return both.groupBy("fold", "p", "q").agg(F.sum(F.col("xp") * F.col("xq")).alias("x"))
+
+
+def residual_null(products: DataFrame, draws: int, seed: str) -> DataFrame:
+    """draw -> the sum over interventions of their product with the one that a draw puts in their place; draw -1 is as observed."""
+    units = products.select("fold", F.col("p").alias("u")).distinct()
+    moved = permutation(units, "u", draws, seed, ["fold"]).select("draw", "fold", F.col("u").alias("p"), F.col("other").alias("q"))
+    same = units.select(F.lit(-1).alias("draw"), "fold", F.col("u").alias("p"), F.col("u").alias("q"))
+    return moved.unionByName(same).join(products, ["fold", "p", "q"]).groupBy("draw").agg(F.sum("x").alias("energy"))

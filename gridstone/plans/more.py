@@ -30,14 +30,14 @@ CUST = "c AS (SELECT c_nationkey, round(avg(c_acctbal), 4) AS x, count(*)::DOUBL
 
 @query("permutation_mean", "WITH " + CUST + """, o AS (SELECT avg(x) FILTER (c_nationkey % 2 = 0) - avg(x) FILTER (c_nationkey % 2 <> 0) AS difference, count(*) FILTER (c_nationkey % 2 = 0) AS n FROM c),
 p AS (SELECT draw, x, row_number() OVER (PARTITION BY draw ORDER BY sha256('pm|' || draw || '|' || c_nationkey), c_nationkey) AS i FROM c, range(99) t(draw)), d AS (SELECT draw, avg(x) FILTER (i <= n) - avg(x) FILTER (i > n) AS d FROM p, o GROUP BY 1)
-SELECT round(any_value(difference), 4) AS difference, round((1 + count(*) FILTER (abs(d) >= abs(difference) - 1e-12)) / (1 + count(*)), 6) AS p FROM d, o""")
+SELECT round(any_value(difference), 4) AS difference, round((1 + count(*) FILTER (abs(d) >= abs(difference) - 1e-9 * greatest(1, abs(difference)))) / (1 + count(*)), 6) AS p FROM d, o""")
 def _(spark, d):
     return rounded(nulls.permutation_mean_p(customers(spark, d), "c_nationkey", F.col("c_nationkey") % 2 == 0, "x", 99, "pm")).withColumn("difference", r("difference", 4))
 
 
 @query("sign_flip_max_t", "WITH " + CUST + ", m AS (SELECT c_nationkey, x - avg(x) OVER () + 200 AS x, y - avg(y) OVER () + 0.5 AS y FROM c), f AS (SELECT draw, CASE WHEN " + UNIFORM.format("'sf|' || draw || '|' || c_nationkey") + """ < 0.5 THEN -1.0 ELSE 1.0 END AS s, x, y FROM m, range(99) t(draw)),
 t AS (SELECT draw, greatest(abs(avg(s * x) * sqrt(count(*)) / stddev_samp(s * x)), abs(avg(s * y) * sqrt(count(*)) / stddev_samp(s * y))) AS t FROM f GROUP BY 1), o AS (SELECT unnest(['x', 'y']) AS metric, unnest([avg(x) * sqrt(count(*)) / stddev_samp(x), avg(y) * sqrt(count(*)) / stddev_samp(y)]) AS seen FROM m)
-SELECT metric, round(seen, 5) AS seen, round((1 + count(*) FILTER (t >= abs(seen))) / (1 + count(*)), 6) AS p FROM t, o GROUP BY metric, seen""")
+SELECT metric, round(seen, 5) AS seen, round((1 + count(*) FILTER (t >= abs(seen) - 1e-9 * greatest(1, abs(seen)))) / (1 + count(*)), 6) AS p FROM t, o GROUP BY metric, seen""")
 def _(spark, d):
     c = customers(spark, d)
     mean = c.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -110,7 +110,7 @@ def _(spark, d):
 
 
 @query("random_comparator", with_facts(PAIRD + """, s AS (SELECT a AS u, b AS v, x FROM dd UNION ALL SELECT b, a, x FROM dd), o AS (SELECT avg(m) AS observed FROM (SELECT u, min(x) AS m FROM s GROUP BY 1)), n AS (SELECT draw, avg(x) AS d FROM (SELECT draw, x, row_number() OVER (PARTITION BY draw, u ORDER BY sha256('rc|' || draw || '|' || u || '|' || v), v) AS i FROM s, range(50) t(draw)) WHERE i = 1 GROUP BY 1)
-SELECT round(any_value(observed), 4) AS observed, round((1 + count(*) FILTER (d <= observed)) / (1 + count(*)), 6) AS p FROM n, o"""))
+SELECT round(any_value(observed), 4) AS observed, round((1 + count(*) FILTER (observed >= d - 1e-9 * greatest(1, abs(d)))) / (1 + count(*)), 6) AS p FROM n, o"""))
 def _(spark, d):
     p = pair_distances(spark, d)
     s = p.select(F.col("a").alias("u"), F.col("b").alias("v"), "x").unionByName(p.select(F.col("b").alias("u"), F.col("a").alias("v"), "x"))
@@ -184,7 +184,7 @@ def _(spark, d):
 
 
 @query("null_summary", "WITH " + CUST + """, p AS (SELECT draw, x, row_number() OVER (PARTITION BY draw ORDER BY sha256('ns|' || draw || '|' || c_nationkey), c_nationkey) AS i FROM c, range(60) t(draw)), n AS (SELECT draw, 'first half' AS family, avg(x) FILTER (i <= 12) AS v FROM p GROUP BY 1 UNION ALL SELECT draw, 'spread', max(x) FILTER (i <= 12) - min(x) FILTER (i <= 12) FROM p GROUP BY 1),
-o AS (SELECT 'first half' AS family, avg(x) AS observed FROM c UNION ALL SELECT 'spread', max(x) - min(x) FROM c) SELECT family, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, round(quantile_cont(v, 0.95), 3) AS p95, round(any_value(observed) - avg(v), 3) AS effect, round((1 + count(*) FILTER (v >= observed)) / (1 + count(*)), 6) AS p FROM n JOIN o USING (family) GROUP BY 1""")
+o AS (SELECT 'first half' AS family, avg(x) AS observed FROM c UNION ALL SELECT 'spread', max(x) - min(x) FROM c) SELECT family, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, round(quantile_cont(v, 0.95), 3) AS p95, round(any_value(observed) - avg(v), 3) AS effect, round((1 + count(*) FILTER (v >= observed - 1e-9 * greatest(1, abs(observed)))) / (1 + count(*)), 6) AS p FROM n JOIN o USING (family) GROUP BY 1""")
 def _(spark, d):
     c = customers(spark, d)
     units = c.select("c_nationkey", "x")

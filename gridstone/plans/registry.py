@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cohort, decompose, design, inference, interaction, metrics, models, signal
+from ..operators import cohort, decompose, design, inference, interaction, metrics, models, ranks, signal
 from ..sources.facts import fact_sql, facts, measures, sales, table
 from ..streaming.events import windowed
 
@@ -406,9 +406,9 @@ def _(spark, d):
     return design.leaks([e.filter(F.col("event_id") % 3 == k) for k in range(3)], "user_id")
 
 
-@query("compressed_ranges", "SELECT min(v) AS first, max(v) AS last FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderpriority LIKE '1%')) GROUP BY g")
+@query("compressed_ranges", "SELECT min(v) AS first, max(v) AS last FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT o_custkey AS v FROM orders)) GROUP BY g")
 def _(spark, d):
-    return design.compress_ranges(table(spark, d, "orders").filter(F.col("o_orderpriority").startswith("1")), "o_custkey")
+    return design.compress_ranges(table(spark, d, "orders"), "o_custkey")
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -608,7 +608,8 @@ def _(spark, d):
 @query("natural_order_ids", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS number, row_number() OVER (ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT)::INT AS place FROM customer")
 def _(spark, d):
     number = F.regexp_extract("c_name", "([0-9]+)$", 1).cast("bigint")
-    return table(spark, d, "customer").select("c_custkey", number.alias("number")).withColumn("place", F.row_number().over(Window.orderBy("number")))
+    rows = table(spark, d, "customer").select("c_custkey", number.alias("number"))
+    return ranks.numbered(rows, F.col("number").asc(), F.col("c_custkey").asc()).withColumn("place", F.col("place").cast("int"))
 
 
 @query("joined_distinct", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS segments, sha256(string_agg(c_name, chr(10) ORDER BY c_name)) AS digest FROM customer GROUP BY 1")
@@ -992,7 +993,7 @@ def _(spark, d):
     return models.ridge_by_intervention(y, h, 1.0)
 
 
-from . import more  # noqa: E402, F401  registers its queries here
+from . import deep, more  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

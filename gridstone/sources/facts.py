@@ -6,6 +6,7 @@ in long form. Dimension joins are left to the optimizer, which broadcasts what i
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,7 +45,8 @@ def response(cell: DataFrame) -> DataFrame:
     return cell.unpivot(["replicate", "context", "intervention"], sorted(measures()), "feature", "value")
 
 
-_stored: dict[tuple[str, ...], tuple[str, T.StructType]] = {}
+_stored: dict[tuple, tuple[str, T.StructType]] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,26 +60,72 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def token() -> str:
+    """A name of its own."""
+    return uuid.uuid4().hex
+
+
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Deletes a path when the driver ends."""
+    _made.append((spark, path))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, dropped when the driver ends: it cuts the lineage and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridstone/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop() -> None:
+    for spark, path in _made:
+        try:
+            fs, at = _fs(spark, path)
+            fs.delete(at, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
+
+
+def state(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells whether tables have been written anew: path, size and time of their files."""
+    out = []
+    for path in paths:
+        fs, at = _fs(spark, path)
+        for f in fs.listStatus(at):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
 
 def stored_cells(spark: SparkSession, sf_dir: str, context: str, intervention: str) -> DataFrame:
-    """The cells of the design, written once a session to the shared folder: as many rows as the design has, whatever the tables hold.
+    """The cells of the design, written once to the shared folder: as many rows as the design has, whatever the tables hold.
 
-    Every operator starts there, so that a plan with several branches reads the facts once. Tables are taken not to change during a session.
+    Every operator starts there, so that a plan with several branches reads the facts once. The store is keyed by the state of
+    the tables' files, so that tables written anew are read anew.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, context, intervention)
-    if key not in _stored or not _exists(spark, _stored[key][0]):
-        path = f"{shared_dir(spark)}/gridstone/cells-{uuid.uuid4().hex}"
-        made = cells(sales(spark, sf_dir), context, intervention)
-        made.write.parquet(path)
-        _stored[key] = (path, made.schema)
+    key = (spark.sparkContext.applicationId, context, intervention, state(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+    if key not in _stored or not _fs(spark, _stored[key][0])[0].exists(_fs(spark, f"{_stored[key][0]}/_SUCCESS")[1]):
+        made = stored(cells(sales(spark, sf_dir), context, intervention), "cells")
+        _stored[key] = (_made[-1][1], made.schema)
     path, schema = _stored[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def clear_store() -> None:
+    """Forgets what is stored, so that the next use reads the facts."""
+    _stored.clear()
+
+
 def facts(spark: SparkSession, sf_dir: str, context: str = "n_name", intervention: str = "p_brand") -> DataFrame:
     return response(stored_cells(spark, sf_dir, context, intervention))
 
