@@ -132,9 +132,10 @@ def profiled_completion(df: DataFrame, folds: DataFrame, rank: int, ridge: float
         i, j = pdf.context.map({c: k for k, c in enumerate(cs)}).to_numpy(), pdf.intervention.map({p: k for k, p in enumerate(ps)}).to_numpy()
         seen = (pdf.fold != key[1]).to_numpy()
         y = np.stack(pdf["xs"][seen].to_numpy()).astype(float)
-        profile = Profile(i[seen], j[seen], y, (len(cs), len(ps)), rank, ridge)
+        scale = np.maximum(y.std(0), 1e-12)  # of the seen cells, so that no feature rules the fit by its unit
+        profile = Profile(i[seen], j[seen], y / scale, (len(cs), len(ps)), rank, ridge)
         theta, ends = fit_profile(profile, starts, seed)
-        additive, whole = profile.predict(theta, i[~seen], j[~seen])
+        additive, whole = (p * scale for p in profile.predict(theta, i[~seen], j[~seen]))
         norm = min(ends)[1]
         spread = max(e[0] for e in ends) - min(e[0] for e in ends)
         out = []

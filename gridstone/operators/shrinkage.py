@@ -7,12 +7,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_ratio
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null where either side is constant."""
+    flat = (F.var_pop(a) <= 1e-20) | (F.var_pop(b) <= 1e-20)
+    return F.when(~flat, safe_ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
+
+
 def centred(df: DataFrame) -> DataFrame:
     mean = df.groupBy("group", "name").agg(F.avg("value").alias("__m"))
     return df.join(mean, ["group", "name"]).select("group", "row", "name", (F.col("value") - F.col("__m")).alias("value"))
@@ -70,7 +76,7 @@ def proximities(points: DataFrame, inverse: DataFrame) -> DataFrame:
     side = lambda k: points.select("group", "name", F.col("point").alias(k), F.col("value").alias(f"v{k}"))
     both = side("s").join(side("t"), ["group", "name"]).filter("s <> t")
     x, y = F.col("vs"), F.col("vt")
-    each = both.groupBy("group", "s", "t").agg(safe_ratio(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("cosine"), F.corr("vs", "vt").alias("pearson"), (-F.sqrt(F.sum((x - y) * (x - y)))).alias("euclidean"))
+    each = both.groupBy("group", "s", "t").agg(safe_ratio(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("cosine"), correlation("vs", "vt").alias("pearson"), (-F.sqrt(F.sum((x - y) * (x - y)))).alias("euclidean"))
     d = both.select("group", "s", "t", "name", (x - y).alias("d"))
     form = d.withColumnsRenamed({"name": "a", "d": "da"}).join(inverse, ["group", "a"]).join(d.withColumnsRenamed({"name": "b", "d": "db"}), ["group", "s", "t", "b"])
     far = form.groupBy("group", "s", "t").agg((-F.sqrt(F.greatest(F.sum(F.col("da") * F.col("precision") * F.col("db")), F.lit(0.0)))).alias("mahalanobis"))
@@ -89,7 +95,6 @@ def transfer_utility(scores: DataFrame, base: DataFrame) -> DataFrame:
     b = base.select("program", "target", "intervention", F.col("score").alias("z"))
     both = t.join(b, ["program", "target", "intervention"]).join(s, ["program", "intervention"]).filter("source <> target")
     sq = lambda c: F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c)))
-    # a constant column has no correlation: it counts as none at all
-    rho = lambda c: F.when((F.var_pop(c) > 1e-20) & (F.var_pop("y") > 1e-20), F.corr("y", c)).otherwise(0.0)
+    rho = lambda c: F.coalesce(correlation("y", c), F.lit(0.0))  # noqa: E731  a constant column counts as no correlation at all
     u = both.groupBy("program", "source", "target").agg(sq("x").alias("mse"), sq("z").alias("base_mse"), rho("x").alias("pearson"), rho("z").alias("base_pearson"))
     return u.withColumn("mse_utility", F.col("base_mse") - F.col("mse")).withColumn("pearson_utility", F.col("pearson") - F.col("base_pearson"))

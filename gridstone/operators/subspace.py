@@ -35,7 +35,7 @@ class Axes:
 def stacked(column: pa.Array) -> np.ndarray:
     """An array<double> column as a matrix; an error where rows differ in length or hold nulls."""
     flat = column.flatten()
-    if column.null_count or flat.null_count or (len(column) and len(flat) % len(column)):
+    if column.null_count or flat.null_count or len(set(np.diff(column.offsets.to_numpy()))) > 1:
         raise ValueError("rows must be arrays of one length without nulls")
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
@@ -63,6 +63,9 @@ def summed(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> np.ndar
 
 def fit_axes(rows: DataFrame, rank: int, oversample: int = 10, passes: int = 3, seed: int = 0) -> Axes:
     """The leading axes of training rows(x array<double>), centred by their own mean; an axis's largest loading is positive."""
+    low, high = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
+    if low != high:
+        raise ValueError(f"rows of {low} to {high} features")
     first = summed(rows, lambda x: np.concatenate([x.sum(0), [len(x)]])[None, :])[0]
     n, mean = first[-1], first[:-1] / first[-1]
     p = len(mean)

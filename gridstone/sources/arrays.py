@@ -1,8 +1,8 @@
 """Chunked arrays as tables: Zarr (versions 2 and 3), NPY and NPZ, one task a chunk.
 
-Planning reads metadata only. Filters on the indices i0, i1, ... choose chunks, so that a
-chunk without a wanted index is never opened, and then cells, before anything leaves the
-task. Each cell is a row of its indices and its value as a double.
+Planning reads metadata only. The indices that are wanted of an axis choose chunks, so that
+a chunk without any is never opened, and then cells, before anything leaves the task. Each
+cell is a row of its indices i0, i1, ... and its value as a double.
 
 Decoders: none, zlib, gzip, bz2, lzma and zstd. Others (blosc) are an error at planning.
 Defined cases: an absent chunk holds the fill value (null where that is null); edge chunks
@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .rowgroups import opened
 
@@ -123,35 +123,19 @@ class Chunk(InputPartition):
     at: tuple
 
 
-TESTS = {
-    EqualTo: lambda f: lambda i: i == f.value,
-    In: lambda f: lambda i: np.isin(i, [v for v in f.value if v is not None]),
-    GreaterThan: lambda f: lambda i: i > f.value,
-    GreaterThanOrEqual: lambda f: lambda i: i >= f.value,
-    LessThan: lambda f: lambda i: i < f.value,
-    LessThanOrEqual: lambda f: lambda i: i <= f.value,
-}
-
-
 class ArrayReader(DataSourceReader):
-    def __init__(self, path: str, found: Layout):
-        self.path, self.layout, self.tests = path, found, []
-
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else ""
-            if type(f) in TESTS and name[:1] == "i" and name[1:].isdigit() and getattr(f, "value", None) is not None:
-                self.tests.append((int(name[1:]), TESTS[type(f)](f)))  # done in full: indices are exact
-            else:
-                yield f
+    def __init__(self, path: str, found: Layout, select: dict[int, list | dict]):
+        """select: axis -> the wanted indices, or {"range": [first, past]}."""
+        self.path, self.layout, self.select = path, found, select
 
     def wanted(self, axis: int, chunk: int) -> np.ndarray:
         """The indices of an axis that a chunk has and the filters keep."""
         step = self.layout.chunks[axis]
         i = np.arange(chunk * step, min((chunk + 1) * step, self.layout.shape[axis]), dtype=np.int64)
-        for own, test in self.tests:
-            i = i[test(i)] if own == axis else i
-        return i
+        want = self.select.get(axis)
+        if want is None:
+            return i
+        return i[(i >= want["range"][0]) & (i < want["range"][1])] if isinstance(want, dict) else i[np.isin(i, want)]
 
     def partitions(self):
         m = self.layout
@@ -205,14 +189,17 @@ class Arrays(DataSource):
         return T.StructType([T.StructField(f"i{a}", T.LongType()) for a in range(n)] + [T.StructField("value", T.DoubleType())])
 
     def reader(self, schema):
-        return ArrayReader(self.options["path"], layout(self.options["path"], self.options.get("member")))
+        chosen = {int(k): v for k, v in json.loads(self.options.get("select", "{}")).items()}
+        return ArrayReader(self.options["path"], layout(self.options["path"], self.options.get("member")), chosen)
 
 
-def chunked_array(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """i0, i1, ..., value of a Zarr array's folder, an NPY file or a member of an NPZ. Filters on indices choose chunks at planning."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def chunked_array(spark: SparkSession, path: str, member: str | None = None, select: dict[int, list[int] | range] | None = None) -> DataFrame:
+    """i0, i1, ..., value of a Zarr array's folder, an NPY file or a member of an NPZ; of an axis in select only the listed indices, or those of a range of step 1."""
     spark.dataSource.register(Arrays)
-    reader = spark.read.format("chunked_array")
+    chosen = {k: {"range": [v.start, v.stop]} if isinstance(v, range) else sorted(set(v)) for k, v in (select or {}).items()}
+    if any(isinstance(v, range) and v.step != 1 for v in (select or {}).values()):
+        raise ValueError("ranges are of step 1")
+    reader = spark.read.format("chunked_array").option("select", json.dumps(chosen))
     return (reader.option("member", member) if member else reader).load(path)
 
 

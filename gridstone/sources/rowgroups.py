@@ -1,13 +1,16 @@
 """Reads of chosen Parquet row groups: a Python data source with a partition a row group.
 
-Filters on columns are pushed to planning, where footers' smallest and largest values decide
-which row groups are opened at all; gates on the number of conditions and on bytes stop a
-plan before anything is read. What the statistics can't decide Spark filters afterwards.
+Conditions on columns are part of the source's options. At planning footers' smallest and
+largest values decide which row groups are opened at all; gates on the number of conditions
+and on bytes stop a plan before anything is read. What the statistics can't decide Spark
+filters afterwards. (Filters that Spark itself pushes into a Python source are kept in an
+object that all uses of a DataFrame share, so that a second use would get the first one's
+rows; that is why they aren't used here.)
 Footers are read by threads of the driver, or taken from an index that footer_index() made
 as a Spark job. Paths must be readable by pyarrow from driver and executors.
 
-Defined cases: a row group without statistics of a column is read; null never equals a
-filter; no row group left is an empty result, not an error, unless a count is expected;
+Defined cases: a row group without statistics of a column is read; null meets no
+condition; no row group left is an empty result, not an error, unless a count is expected;
 files are read in the order of their names.
 """
 
@@ -21,7 +24,8 @@ import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
 THREADS, BATCH = 16, 1 << 15
@@ -76,25 +80,30 @@ def may_hold(group: Group, name: str, test) -> bool:
     return name not in group.low or test(group.low[name], group.high[name])
 
 
-TESTS = {
-    EqualTo: lambda f: lambda lo, hi: lo <= f.value <= hi,
-    In: lambda f: lambda lo, hi: any(lo <= v <= hi for v in f.value if v is not None),
-    GreaterThan: lambda f: lambda lo, hi: hi > f.value,
-    GreaterThanOrEqual: lambda f: lambda lo, hi: hi >= f.value,
-    LessThan: lambda f: lambda lo, hi: lo < f.value,
-    LessThanOrEqual: lambda f: lambda lo, hi: lo <= f.value,
+#: What a condition can say, of a row group's limits and of a column.
+LIMITS = {
+    "=": lambda v: lambda lo, hi: lo <= v <= hi,
+    "in": lambda v: lambda lo, hi: any(lo <= x <= hi for x in v),
+    ">": lambda v: lambda lo, hi: hi > v,
+    ">=": lambda v: lambda lo, hi: hi >= v,
+    "<": lambda v: lambda lo, hi: lo < v,
+    "<=": lambda v: lambda lo, hi: lo <= v,
+}
+COLUMNS = {
+    "=": lambda c, v: c == v,
+    "in": lambda c, v: c.isin(v),
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
 }
 
 
 class RowGroupReader(DataSourceReader):
-    def __init__(self, options: dict, schema: pa.Schema):
-        self.options, self.names, self.tests = options, schema.names, []
-
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if type(f) in TESTS and len(f.attribute) == 1 and getattr(f, "value", None) is not None:
-                self.tests.append((f.attribute[0], TESTS[type(f)](f)))
-            yield f  # statistics choose row groups, not rows
+    def __init__(self, options: dict, schema: pa.Schema, full: pa.Schema):
+        self.options, self.names = options, schema.names
+        typed = lambda name, v: [typed(name, x) for x in v] if isinstance(v, list) else pa.scalar(v).cast(full.field(name).type).as_py()
+        self.tests = [(name, LIMITS[op](typed(name, value))) for name, op, value in json.loads(options.get("where", "[]"))]
 
     def partitions(self):
         fs, _ = opened(self.options["path"])
@@ -130,30 +139,34 @@ class RowGroups(DataSource):
     def name(cls):
         return "row_groups"
 
-    def _arrow(self) -> pa.Schema:
+    def _arrow(self) -> tuple[pa.Schema, pa.Schema]:
+        """What is read, and all that the files hold."""
         fs, _ = opened(self.options["path"])
         with fs.open_input_file(parquet_files(self.options["path"])[0]) as f:
             found = pq.read_schema(f).remove_metadata()
         names = self.options["columns"].split(",") if "columns" in self.options else found.names
-        return pa.schema([found.field(n) for n in names])
+        return pa.schema([found.field(n) for n in names]), found
 
     def schema(self):
-        return from_arrow_schema(self._arrow())
+        return from_arrow_schema(self._arrow()[0])
 
     def reader(self, schema):
-        return RowGroupReader(dict(self.options), self._arrow())
+        return RowGroupReader(dict(self.options), *self._arrow())
 
 
-def row_groups(spark: SparkSession, path: str, columns: list[str] | None = None, keys: list[str] | None = None, expected: int | None = None, most_bytes: int | None = None, index: str | None = None) -> DataFrame:
-    """The rows of Parquet files, a task a row group. Filters put on the result choose row groups at planning.
+def row_groups(spark: SparkSession, path: str, columns: list[str] | None = None, where: list[tuple] | None = None, keys: list[str] | None = None, expected: int | None = None, most_bytes: int | None = None, index: str | None = None) -> DataFrame:
+    """The rows of Parquet files that meet all conditions where(column, operator, value), a task a row group that may hold any.
 
-    expected: the number of distinct values of keys, each constant in its row groups, that must be left; most_bytes: of the
-    columns read; index: the path of a footer_index(). Either gate is an error at planning.
+    Operators: = in > >= < <=; values are numbers or texts (an ISO text for a date or time). Conditions may name columns that
+    aren't read; these choose row groups only. expected: the number of distinct values of keys, each constant in its row groups,
+    that must be left; most_bytes: of the columns read; index: the path of a footer_index(). Either gate is an error at planning.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RowGroups)
-    given = {"columns": ",".join(columns) if columns else None, "keys": ",".join(keys) if keys else None, "expected": expected, "most_bytes": most_bytes, "index": index}
-    return spark.read.format("row_groups").options(**{k: str(v) for k, v in given.items() if v is not None}).load(path)
+    given = {"columns": ",".join(columns) if columns else None, "where": json.dumps(where) if where else None, "keys": ",".join(keys) if keys else None, "expected": expected, "most_bytes": most_bytes, "index": index}
+    df = spark.read.format("row_groups").options(**{k: str(v) for k, v in given.items() if v is not None}).load(path)
+    for name, op, value in where or []:
+        df = df.filter(COLUMNS[op](F.col(name), value)) if name in df.columns else df
+    return df
 
 
 def footer_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
