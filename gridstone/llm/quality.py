@@ -1,16 +1,16 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches (native).
 
-Three densities of a text - symbols, exclamation marks and repeated lines - are put
-into logarithmic buckets and counted by language and source. The counts are a
-quantile sketch of fixed relative error: bounded in size, merged by addition, equal
-whatever the order of the rows. Its quartiles give each group its own upper fence
-(the Tukey rule); the fences join the documents, and a text above one is rejected.
-Most texts have none of a thing, so quartiles of n / d would be 0 everywhere. A text
-with n of a thing in d therefore enters the sketch as (n + 1) / (d + 1), the most that
-it lets one expect: with none, the longer it is, the less. It is judged by
-(n - 1) / (d + 1), so that a single occurrence rejects no text. GUARD, far below what
-is common, only keeps apart groups of equally long texts, whose quartiles coincide.
-Only texts of MIN_WORDS words make the sketches, as the others fail anyway.
+Three densities of a text - symbols and exclamation marks a word, repeated lines a line -
+are put into logarithmic buckets, those of 0 into one of their own, and counted by language
+and source. The counts are a quantile sketch of fixed relative error: bounded in size,
+merged by addition, equal whatever the order of the rows. From it each group has its own
+fence, the larger of two: the Tukey rule on the densities of all its texts, which decides
+where many texts have the thing, and the upper quartile of those that have it times their
+share, which decides where few do. The fences join the documents, and a text above one is
+rejected. A text is judged by one occurrence less than it has, so that a single one rejects
+no text; where no text has any, the fence is 0 and nothing is rejected. Lengths of texts
+play no part but through densities. Only texts of MIN_WORDS words make the sketches, as the
+others fail anyway.
 
 The text is read twice, once for the sketches and once for the verdict, so that no
 text is ever shuffled. Defined cases: a null text has no words and fails the base
@@ -32,11 +32,11 @@ from .common import SPACE, fixed, let, word_count, written
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Relative error of the sketch; fences at q75 + REACH * (q75 - q25), at least GUARD: one word in 100, one line in 20.
+#: Relative error of the sketch; the reach of the Tukey rule.
 ERROR, REACH = 0.01, 3.0
 #: A group with fewer texts is judged by the merged sketch of its language, or of all.
 LEAST = 30
-GUARD = {"symbols": 0.01, "marks": 0.01, "dup_lines": 0.05}
+KINDS = ("symbols", "marks", "dup_lines")
 POSITION_BITS = 31  # of any array
 
 
@@ -49,16 +49,16 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def densities(more: int) -> dict[str, Column]:
-    """Densities of with_lines(), with so many occurrences more (less, but not below none)."""
-    per = lambda n, d: F.greatest(n + more, F.lit(0)) / (d + 1)
-    return {"symbols": per(F.col("__n_symbols"), F.col("__n_words")), "marks": per(F.col("__n_marks"), F.col("__n_words")), "dup_lines": per(F.col("__n_dup_lines"), F.col("__n_lines"))}
+def densities(less: int = 0) -> dict[str, Column]:
+    """Densities of with_lines(), with so many occurrences less, but not below none."""
+    per = lambda n, d: F.greatest(n - less, F.lit(0)) / F.greatest(d, F.lit(1))
+    return dict(zip(KINDS, (per(F.col("__n_symbols"), F.col("__n_words")), per(F.col("__n_marks"), F.col("__n_words")), per(F.col("__n_dup_lines"), F.col("__n_lines")))))
 
 
 def bucket(x: Column) -> Column:
-    """The logarithmic bucket of a density above 0."""
+    """The logarithmic bucket of a density; null for 0."""
     gamma = (1 + ERROR) / (1 - ERROR)
-    return F.ceil(F.log(x) / math.log(gamma)).cast("int")
+    return F.when(x > 0, F.ceil(F.log(x) / math.log(gamma)).cast("int"))
 
 
 def value(b: Column) -> Column:
@@ -79,7 +79,7 @@ def with_lines(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame) -> DataFrame:
     """Counts by lang, source, density and bucket. Two sketches merge by adding counts."""
     df = with_lines(docs.select("text", "lang", "source")).filter(F.col("__n_words") >= MIN_WORDS)
-    df = df.select("lang", "source", F.array(*(bucket(x) for x in densities(1).values())).alias("bs"))
+    df = df.select("lang", "source", F.array(*(bucket(x) for x in densities().values())).alias("bs"))
     # one row a document, counted before the shuffle; then each density's own counts
     df = df.groupBy("lang", "source", "bs").agg(F.count(F.lit(1)).alias("n")).select("lang", "source", "n", F.posexplode("bs").alias("density", "bucket"))
     return df.groupBy("lang", "source", "density", "bucket").agg(F.sum("n").alias("n"))
@@ -93,16 +93,19 @@ def levels() -> Column:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source -> the upper fence of each density, from the first sketch of the group, its language and all that holds LEAST texts (else of all)."""
+    """lang, source -> the fence of each density, from the first sketch of the group, its language and all that holds LEAST texts (else of all)."""
     whole = sketch.select(levels().alias("k"), "density", "bucket", "n").groupBy("k", "density", "bucket").agg(F.sum("n").alias("n"))  # merged by addition
     group = Window.partitionBy("k", "density")  # rows: buckets, about 1,100 at most
-    df = whole.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    at = lambda q: value(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket"))))
-    df = df.groupBy("k", "density").agg(F.max("all").alias("texts"), at(0.25).alias("q25"), at(0.75).alias("q75"))
-    df = df.withColumn("fence", F.col("q75") + REACH * (F.col("q75") - F.col("q25")))
-    one = lambda k, name: F.greatest(F.lit(GUARD[name]), F.max(F.when(F.col("density") == k, F.col("fence")))).alias(f"__fence_{name}")
-    names = [f"__fence_{name}" for name in GUARD]
-    df = df.groupBy("k").agg(F.max("texts").alias("texts"), *(one(k, name) for k, name in enumerate(GUARD))).filter((F.col("texts") >= LEAST) | (F.col("k.level") == 2))
+    df = whole.withColumn("upto", F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()))).withColumn("all", F.sum("n").over(group))
+    df = df.withColumn("none", F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))).over(group), F.lit(0)))
+    at = lambda place: F.min(F.struct(F.when(F.col("upto") < place, 1).otherwise(0).alias("past"), F.col("bucket")))["bucket"]  # noqa: E731  of those that reach the place, the first; none sorts first
+    level = lambda b: F.coalesce(value(b), F.lit(0.0))
+    some = F.col("all") - F.col("none")
+    df = df.groupBy("k", "density").agg(F.max("all").alias("texts"), (F.max(some) / F.max("all")).alias("share"), level(at(0.25 * F.col("all"))).alias("q25"), level(at(0.75 * F.col("all"))).alias("q75"), level(at(F.col("none") + 0.75 * some)).alias("upper"))
+    df = df.withColumn("fence", F.greatest(F.col("q75") + REACH * (F.col("q75") - F.col("q25")), F.col("share") * F.col("upper")))
+    one = lambda k, name: F.max(F.when(F.col("density") == k, F.col("fence"))).alias(f"__fence_{name}")
+    names = [f"__fence_{name}" for name in KINDS]
+    df = df.groupBy("k").agg(F.max("texts").alias("texts"), *(one(k, name) for k, name in enumerate(KINDS))).filter((F.col("texts") >= LEAST) | (F.col("k.level") == 2))
     own = sketch.select("lang", "source").distinct().select("lang", "source", levels().alias("own"))
     best = own.join(df, F.col("own").eqNullSafe(F.col("k"))).groupBy("lang", "source").agg(F.min_by(F.struct(*names), "k.level").alias("f"))
     return best.select("lang", "source", *(F.col(f"f.{n}") for n in names))
@@ -140,7 +143,7 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     df = df.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     fits = F.lit(True)
-    for name, x in densities(-1).items():
+    for name, x in densities(1).items():
         fits = fits & (x <= F.col(f"__fence_{name}"))
     return df.withColumn("__kept", ~F.col("__base_failed") & fits)
 

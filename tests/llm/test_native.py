@@ -163,7 +163,7 @@ def test_quality_fences_follow_their_group(spark):
     df = spark.createDataFrame(plain + maths + far, "doc_id bigint, text string, lang string, source string")
     limits = {r.source: r for r in quality.fences(quality.sketches(df)).collect()}
     assert limits["plain"]["__fence_symbols"] < 0.1 < 0.4 < limits["maths"]["__fence_symbols"]
-    assert all(0 < r[f"__fence_{x}"] < 0.3 for r in limits.values() for x in ("marks", "dup_lines"))
+    assert all(r["__fence_marks"] == 0 and 0 < r["__fence_dup_lines"] < 0.3 for r in limits.values())
     kept = {r.doc_id: r.kept for r in quality.quality_report(df).collect()}
     assert all(kept[i] for i, *_ in plain + maths)
     assert [kept[1000 + k] for k in range(6)] == [False, True, False, True, True, False]
@@ -171,43 +171,58 @@ def test_quality_fences_follow_their_group(spark):
     assert {r.doc_id: r.kept for r in quality.quality_report(alone).collect()} == {1: True, 2: False}
 
 
-def brute_densities(text, more):
+def brute_densities(text, less):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    per = lambda n, d: max(n + more, 0) / (d + 1)
+    per = lambda n, d: max(n - less, 0) / max(d, 1)
     return [per(len(re.findall(r"[#*$%&|<>]", text or "")), len(words)), per((text or "").count("!"), len(words)), per(len(lines) - len(set(lines)), len(lines))], len(words)
 
 
 def test_quality_fences_and_verdicts_against_numpy(spark):
-    """Quartiles of the very densities are within the sketch's error of its own; verdicts away from a fence agree."""
+    """Fences of the very densities are within the sketch's error of its own; verdicts away from a fence agree."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     df = spark.createDataFrame([(r.doc_id, r.text, r.lang, r.source if r.doc_id % 50 else "rare") for r in rows], "doc_id bigint, text string, lang string, source string")
     held = {}
     for r in df.collect():
-        x, n = brute_densities(r.text, 1)
+        x, n = brute_densities(r.text, 0)
         if n >= quality.MIN_WORDS:
             for key in ((r.lang, r.source), (r.lang,), ()):
                 held.setdefault(key, []).append(x)
     gamma = (1 + quality.ERROR) / (1 - quality.ERROR)
-    limits, merged, above = {}, 0, 0
+    limits, merged = {}, 0
     for r in quality.fences(quality.sketches(df)).collect():
         key = next(k for k in ((r.lang, r.source), (r.lang,), ()) if len(held[k]) >= quality.LEAST or not k)
         merged += len(key) < 2
         x = np.array(held[key])
-        q25, q75 = (np.sort(x, 0)[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.75))
-        want = np.maximum(list(quality.GUARD.values()), q75 + quality.REACH * (q75 - q25))
-        got = np.array([r[f"__fence_{n}"] for n in quality.GUARD])
-        assert (np.abs(got - want) <= (gamma - 1) * (1 + 2 * quality.REACH) * q75 + 1e-12).all(), (key, got, want)
-        above += int((got > np.array(list(quality.GUARD.values())) + 1e-12).sum())
+        got = np.array([r[f"__fence_{n}"] for n in quality.KINDS])
+        for k, own in enumerate(x.T):
+            at = lambda v, q: np.sort(v)[max(int(np.ceil(q * len(v))) - 1, 0)] if len(v) else 0.0
+            q25, q75, some = at(own, 0.25), at(own, 0.75), own[own > 0]
+            want = max(q75 + quality.REACH * (q75 - q25), len(some) / len(own) * at(some, 0.75))
+            assert abs(got[k] - want) <= (gamma - 1) * ((1 + 2 * quality.REACH) * q75 + want) + 1e-12, (key, got, want)
         limits[(r.lang, r.source)] = got
-    assert merged > 0 and above > len(limits)
+    assert merged > 0 and len({tuple(v) for v in limits.values()}) > 3
     kept = {r.doc_id: r for r in quality.quality_report(df).collect()}
     for r in df.collect():
-        x, n = brute_densities(r.text, -1)
+        x, n = brute_densities(r.text, 1)
         if (r.lang, r.source) in limits and not kept[r.doc_id].base_failed:
-            near = np.array(x) / limits[(r.lang, r.source)]
-            if (np.abs(near - 1) > 1e-9).all():
-                assert kept[r.doc_id].kept == bool((near < 1).all())
+            limit = limits[(r.lang, r.source)]
+            if all(abs(v - f) > 1e-9 or v == f == 0 for v, f in zip(x, limit)):
+                assert kept[r.doc_id].kept == all(v <= f for v, f in zip(x, limit))
+
+
+def test_quality_fences_follow_noise_not_lengths(spark):
+    """Groups of equal lengths and other noise have other fences, groups of equal noise and other lengths equal ones; without any noise there is no fence to fail."""
+    def text(words, every):
+        return " ".join(f"w{k}" + "#" * (every > 0 and k % every == 0) for k in range(words))
+
+    rows = [(1000 * g + i, text(n * (1 + i % 5), every), "en", name) for g, (name, n, every) in enumerate((("calm", 200, 100), ("loud", 200, 4), ("long", 800, 4), ("none", 200, 0), ("none long", 900, 0))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    f = {r.source: [r[f"__fence_{k}"] for k in quality.KINDS] for r in quality.fences(quality.sketches(df)).collect()}
+    assert f["loud"] == f["long"] and f["calm"][0] < 0.2 * f["loud"][0] and f["none"] == f["none long"] == [0, 0, 0]
+    quiet = df.withColumn("text", F.replace("text", F.lit("#"), F.lit("")))
+    assert all(r[f"__fence_{k}"] == 0 for r in quality.fences(quality.sketches(quiet)).collect() for k in quality.KINDS)
+    assert all(r.kept for r in quality.quality_report(quiet).collect())
 
 
 def test_sketches_merge_by_addition(spark, small):
