@@ -83,3 +83,43 @@ def null_statistics(grams: DataFrame, plan: DataFrame, permuted: DataFrame, size
     term = shown.join(grams, ["donor_l", "state_l", "item_l", "donor_r", "state_r", "item_r"]).groupBy("draw", "donor_l", "state_l", "donor_r", "state_r").agg(F.sum("dot").alias("dot"))
     both = term.join(plan, ["donor_l", "state_l", "donor_r", "state_r"])
     return both.groupBy("draw", "partition", "state_a", "state_b").agg((F.sum(F.col("coefficient") * F.col("dot")) / size).alias("statistic"))
+
+
+def sides(units: DataFrame) -> DataFrame:
+    """kind, part, side, donor: the halves of donors (kind 'halves'), and each donor against all others (kind 'rest', part its place)."""
+    from .ranks import numbered
+
+    axis = numbered(units.select("donor").distinct(), F.col("donor").asc()).withColumn("part", (F.col("place") - 1).cast("int")).drop("place")
+    one = axis.select(F.lit("rest").alias("kind"), "part", F.lit(0).alias("side"), "donor")
+    others = axis.alias("a").join(axis.alias("b"), F.col("a.donor") != F.col("b.donor")).select(F.lit("rest").alias("kind"), F.col("a.part").alias("part"), F.lit(1).alias("side"), F.col("b.donor").alias("donor"))
+    return halves(units).select(F.lit("halves").alias("kind"), F.col("partition").alias("part"), "side", "donor").unionByName(one).unionByName(others)
+
+
+def truth_ceiling(df: DataFrame, dealt: DataFrame, block: dict[str, str]) -> DataFrame:
+    """kind, part, block, cosine: agreement of both sides' interactions of state and item, over all features (block 'all') and by block.
+
+    df(donor, state, item, feature, value); dealt: see sides(); block: feature -> its block. A side is the mean over its donors;
+    state and item means are taken out of it feature by feature. States, items and donors are axes of the design.
+    """
+    mean = df.join(dealt, "donor").groupBy("kind", "part", "side", "state", "item", "feature").agg(F.avg("value").alias("v"))
+    own = ["kind", "part", "side", "feature"]
+    m = lambda name, *keys: mean.groupBy(*own, *keys).agg(F.avg("v").alias(name))
+    g = mean.join(m("__s", "state"), [*own, "state"]).join(m("__i", "item"), [*own, "item"]).join(m("__a"), own)
+    g = g.withColumn("g", F.col("v") - F.col("__s") - F.col("__i") + F.col("__a"))
+    named = F.create_map(*(F.lit(x) for kv in block.items() for x in kv))
+    g = g.select("kind", "part", "side", "state", "item", "feature", "g", F.explode(F.array(F.lit("all"), F.element_at(named, F.col("feature")))).alias("block"))
+    side = lambda k: g.filter(F.col("side") == k).select("kind", "part", "block", "state", "item", "feature", F.col("g").alias(f"g{k}"))
+    both = side(0).join(side(1), ["kind", "part", "block", "state", "item", "feature"])
+    from ..functions.expr import safe_ratio
+
+    a, b = F.col("g0"), F.col("g1")
+    return both.groupBy("kind", "part", "block").agg(safe_ratio(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("cosine"))
+
+
+def matching_summaries(df: DataFrame, feature: str, unit: list[str]) -> DataFrame:
+    """feature -> variance (the mean over contexts of the sum of both replicates' products) and reliability (their correlation over all units). df(replicate, unit, feature, value), unit with a context."""
+    from .shrinkage import correlation
+
+    side = lambda k: df.filter(F.col("replicate") == k).select(*unit, feature, F.col("value").alias(f"v{k}"))
+    both = side(0).join(side(1), [*unit, feature])
+    return both.groupBy(feature).agg((F.sum(F.col("v0") * F.col("v1")) / F.count_distinct("context")).alias("variance"), correlation("v0", "v1").alias("reliability"))

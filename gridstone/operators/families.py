@@ -110,3 +110,46 @@ def oracle_residual(gram: DataFrame, rcond: float = 1e-10) -> DataFrame:
         return pd.DataFrame({"context": [key[0]], "references": [len(o)], "energy": [float(c[t, t])], "residual": [left], "share": [left / c[t, t] if c[t, t] > 0 else None]})
 
     return pairs.groupBy("context").applyInPandas(run, "context string, references int, energy double, residual double, share double")
+
+
+def subset_fidelity(signal: DataFrame, full: DataFrame) -> DataFrame:
+    """mask, axes, s, e, f, g, u of every non-empty set of axes of signal(axis, s, e), by full(s): orthonormal axes' energies add up.
+
+    f = s / full, g = 1 - e / s, u = (s - e) / full. Axes are few (20 at most): sets are 2 ** axes rows.
+    """
+    from .design import subsets
+    from .interaction import fgu
+
+    n = signal.count()
+    if n > 20:
+        raise ValueError(f"{n} axes have too many sets")
+    held = signal.agg(F.sort_array(F.collect_list(F.struct("axis", "s", "e"))).alias("x"))
+    add = lambda name: F.aggregate("items", F.lit(0.0), lambda a, i: a + F.get(F.col("x"), i)[name])
+    sets = subsets(signal.sparkSession, n).join(F.broadcast(held)).join(F.broadcast(full.select(F.col("s").alias("full"))))  # one row each
+    out = sets.select("mask", F.transform("items", lambda i: F.get(F.col("x"), i)["axis"]).alias("axes"), add("s").alias("s"), add("e").alias("e"), "full")
+    return out.select("mask", "axes", "s", "e", *(c.alias(k) for k, c in fgu(F.col("s"), F.col("e"), F.col("full")).items()))
+
+
+def shuffled_bases(basis: DataFrame, draws: int, seed: str) -> DataFrame:
+    """draw, axis, feature, weight: bases of the same sparsity and weights, features dealt anew among them in each draw; draw -1 is the basis itself."""
+    from .nulls import permutation
+
+    moved = permutation(basis.select("feature").distinct(), "feature", draws, seed).join(basis, "feature").select("draw", "axis", F.col("other").alias("feature"), "weight")
+    return moved.unionByName(basis.select(F.lit(-1).alias("draw"), "axis", "feature", "weight"))
+
+
+def shares_along(df: DataFrame, unit: list[str], bases: DataFrame) -> DataFrame:
+    """draw, share: how much of the energy of df(unit, feature, value) lies along each draw's orthonormal basis(draw, axis, feature, weight)."""
+    score = df.join(bases, "feature").groupBy("draw", *unit, "axis").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    along = score.groupBy("draw").agg(F.sum(F.col("s") * F.col("s")).alias("along"))
+    total = df.agg(F.sum(F.col("value") * F.col("value")).alias("total"))
+    return along.join(F.broadcast(total)).select("draw", safe_ratio(F.col("along"), F.col("total")).alias("share"))  # one row
+
+
+def control_summary(shares: DataFrame) -> DataFrame:
+    """observed (draw -1), mean, sd, low, high of the controls, and p, the share of draws at least as large with one added."""
+    from ..functions.expr import at_least
+
+    seen = shares.filter("draw = -1").select(F.col("share").alias("observed"))
+    both = shares.filter("draw >= 0").join(F.broadcast(seen))  # one row
+    return both.groupBy("observed").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"), F.min("share").alias("low"), F.max("share").alias("high"), ((1 + F.count_if(at_least(F.col("share"), F.col("observed")))) / (1 + F.count(F.lit(1)))).alias("p"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import at_least, hash_uniform, safe_ratio
+from ..sources.facts import stored
+from .ranks import weighted_ranks
 
 
 def in_draws(df: DataFrame, draws: int) -> DataFrame:
@@ -134,20 +136,47 @@ def subset_medians(draws: DataFrame, energies: DataFrame, unit: str, subsets: Da
     return g.groupBy("draw", "k").agg(F.median("g").alias("g"))
 
 
+def weighted_correlation(df: DataFrame, keys: list[str], weight: str, x: str, y: str) -> DataFrame:
+    """keys, n, r: Pearson's correlation with each row as often as its weight; null where a side is constant."""
+    w, a, b = F.col(weight), F.col(x), F.col(y)
+    m = df.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+    c = F.col
+    cov = lambda p, q, pq: c(pq) - c(p) * c(q) / c("n")
+    return m.select(*keys, "n", safe_ratio(cov("sa", "sb", "ab"), F.sqrt(F.greatest(cov("sa", "sa", "aa") * cov("sb", "sb", "bb"), F.lit(0.0)))).alias("r"))
+
+
 def spearman_draws(draws: DataFrame, rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """draw -> rank correlation of rows repeated as often as drawn; ties share their average rank."""
-    df = draws.join(rows, keys).select("draw", "times", x, y)
+    """draw -> rank correlation of rows repeated as often as drawn; ties share their average rank. Ranks come from counts of distinct values dealt into ranges of (draw, value), so that no task holds a draw."""
+    df = stored(draws.join(rows, keys).select("draw", "times", x, y), "drawn-rows")
+    df = weighted_ranks(weighted_ranks(df, ["draw"], x, "times", "__x"), ["draw"], y, "times", "__y")
+    return weighted_correlation(df, ["draw"], "times", "__x", "__y").select("draw", F.col("r").alias("spearman"))
 
-    def rank(c: str) -> Column:
-        upto = F.sum("times").over(Window.partitionBy("draw").orderBy(c))  # with all ties of c
-        return upto - (F.sum("times").over(Window.partitionBy("draw", c)) - 1) / 2
 
-    df = df.withColumn("__x", rank(x)).withColumn("__y", rank(y))
-    w, a, b = F.col("times"), F.col("__x"), F.col("__y")
-    m = df.groupBy("draw").agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
-    c = F.col
-    cov = lambda p, q, pq: c(pq) - c(p) * c(q) / c("n")
-    return m.select("draw", safe_ratio(cov("sa", "sb", "ab"), F.sqrt(cov("sa", "sa", "aa") * cov("sb", "sb", "bb"))).alias("spearman"))
+def pair_geometry_draws(draws: DataFrame, pairs: DataFrame, unit: str, x: str, y: str) -> DataFrame:
+    """draw -> mean over folds of the rank correlation of true and predicted distances of pairs(fold, a, b, x, y) of different units of one fold, each pair as often as both of its units are drawn together. Folds without spread in a draw count for nothing."""
+    side = lambda k: draws.select("draw", F.col(unit).alias(k), F.col("times").alias(f"__{k}"))
+    both = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), ["draw", "b"]).select("draw", "fold", x, y, (F.col("__a") * F.col("__b")).alias("times"))
+    df = stored(both, "drawn-pairs")
+    df = weighted_ranks(weighted_ranks(df, ["draw", "fold"], x, "times", "__x"), ["draw", "fold"], y, "times", "__y")
+    return weighted_correlation(df, ["draw", "fold"], "times", "__x", "__y").groupBy("draw").agg(F.avg("r").alias("geometry"))
+
+
+def derangements(units: DataFrame, unit: str, draws: int, seed: str) -> DataFrame:
+    """shift, unit, other: re-pairings of the units that leave none in place. All of them for five units or fewer, in the order of their pairings; else as many as draws, each a hash order in which every unit takes the place of the next."""
+    axis = units.select(unit).distinct()
+    n = axis.count()
+    if n > 5:
+        w = Window.partitionBy("shift")
+        df = axis.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__i", F.row_number().over(w.orderBy(_order(seed, "shift", unit), unit)))
+        nxt = df.select("shift", ((F.col("__i") + n - 2) % n + 1).alias("__i"), F.col(unit).alias("other"))
+        return df.join(nxt, ["shift", "__i"]).select("shift", unit, "other")
+    names = F.broadcast(axis.withColumnRenamed(unit, "__u"))  # five rows at most
+    order = axis.agg(F.sort_array(F.collect_list(unit)).alias("__all"))
+    paths = order.withColumn("__p", F.slice("__all", 1, 0))
+    for k in range(n):
+        paths = paths.join(names, ~F.array_contains("__p", F.col("__u")) & (F.col("__u") != F.get("__all", F.lit(k)))).withColumn("__p", F.array_append("__p", F.col("__u"))).drop("__u")
+    paths = paths.withColumn("shift", F.row_number().over(Window.orderBy("__p")) - 1)  # 44 rows at most
+    return paths.select("shift", F.explode(F.arrays_zip("__all", "__p")).alias("z")).select("shift", F.col("z.__all").alias(unit), F.col("z.__p").alias("other"))
 
 
 def pair_draws(draws: DataFrame, pairs: DataFrame, unit: str, value: str) -> DataFrame:

@@ -64,3 +64,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -
     pick = lambda place: F.max(F.when((low <= place) & (high >= place), F.col(value)))
     out = near.groupBy(*keys, "point").agg(pick(F.floor(at)).alias("__a"), pick(F.ceil(at)).alias("__b"), F.first(at).alias("__at"))
     return out.select(*keys, "point", (F.col("__a") + (F.col("__at") - F.floor("__at")) * (F.col("__b") - F.col("__a"))).alias("q"))
+
+
+def weighted_ranks(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """df with name: the average rank of a value among the rows of its keys, each row as often as its weight says."""
+    by = df.groupBy(*keys, F.col(value).alias("__value")).agg(F.sum(weight).alias("__n"))
+    run = running(by, [*(F.col(k).asc() for k in keys), F.col("__value").asc()], {"__before": F.col("__n")})
+    first = run.groupBy(*keys).agg(F.min("__before").alias("__first"))
+    at = run.join(first, keys).select(*keys, "__value", (F.col("__before") - F.col("__first") + (F.col("__n") + 1) / 2).alias(name))
+    return df.join(at.withColumnRenamed("__value", value), [*keys, value])

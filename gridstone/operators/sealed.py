@@ -104,7 +104,7 @@ def precision_gate(df: DataFrame, limit: float) -> DataFrame:
     """Largest difference of cells' squared norms in single and double precision, relative to the norm, and whether it is within the limit."""
     x = F.col("value")
     g = df.groupBy("replicate", "context").agg(F.sum(x * x).alias("d"), F.sum((x.cast("float") * x.cast("float")).cast("double")).alias("f"))
-    return g.agg(F.max(safe_ratio(F.abs(F.col("d") - F.col("f")), F.abs("d"))).alias("worst")).select((F.col("worst") <= limit).alias("passed"))
+    return g.agg(F.max(safe_ratio(F.abs(F.col("d") - F.col("f")), F.abs("d"))).alias("worst")).select("worst", (F.col("worst") <= limit).alias("passed"))
 
 
 def span_basis(loadings: DataFrame) -> DataFrame:
@@ -136,30 +136,45 @@ def kernel_weights(gram: DataFrame, alpha: float) -> DataFrame:
     return pairs.groupBy("context").applyInPandas(solve, "context string, source string, weight double")
 
 
-def nested_penalty(fold_grams: DataFrame, ridges: list[float]) -> DataFrame:
-    """context, ridge, error, picked: the penalty of each context's affine weights by inner folds.
+def free_weights(gram: np.ndarray, cross: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights without a constraint: least w'Gw - 2 w'c + ridge * trace(G)/n * |w|^2."""
+    n = len(cross)
+    return np.linalg.solve(gram + ridge * max(np.trace(gram) / n, 1e-12) * np.eye(n), cross)
+
+
+def _fold_grams(pdf: pd.DataFrame, context: str) -> tuple[list[str], dict]:
+    """Sources, and each (fold, part)'s Gram with the context first; an error where a pair comes twice."""
+    names = sorted(set(pdf.ctx_a) - {context})
+    full = [context, *names]
+    grams = {}
+    for key, g in pdf.groupby(["hidden", "part"]):
+        m = g.pivot(index="ctx_a", columns="ctx_b", values="dot").reindex(index=full, columns=full)
+        grams[key] = m.fillna(m.T).to_numpy(float)
+    return names, grams
+
+
+def nested_penalty(fold_grams: DataFrame, ridges: list[float], form: str = "affine") -> DataFrame:
+    """context, ridge, error, picked: the penalty of each context's weights by inner folds; form is affine (weights sum to one) or free.
 
     fold_grams(hidden, part, ctx_a, ctx_b, dot): for each inner fold the Gram of the other folds (part 'fit') and its own
     ('test'). Weights see the first only and are scored on the second; ties go to the larger penalty. A task holds one context.
     """
     from .models import affine_weights
 
+    solve = {"affine": affine_weights, "free": free_weights}[form]
     held = fold_grams.select(F.col("ctx_a").alias("context")).distinct()
     both = held.join(fold_grams, (F.col("ctx_a") == F.col("context")) | (F.col("ctx_b") != F.col("context")))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, rows = key[0], []
-        names = sorted(set(pdf.ctx_a) - {c})
-        full = [c, *names]
-        grams = {k: g.pivot_table(index="ctx_a", columns="ctx_b", values="dot").reindex(index=full, columns=full) for k, g in pdf.groupby(["hidden", "part"])}
+        _, grams = _fold_grams(pdf, key[0])
+        rows = []
         for ridge in ridges:
             error = 0.0
             for fold in sorted({k[0] for k in grams}):
                 fit, test = grams[fold, "fit"], grams[fold, "test"]
-                fit, test = (g.fillna(g.T).to_numpy(float) for g in (fit, test))
-                w = np.append(-1.0, affine_weights(fit[1:, 1:], fit[1:, 0], ridge))
+                w = np.append(-1.0, solve(fit[1:, 1:], fit[1:, 0], ridge))
                 error += float(w @ test @ w)
-            rows.append((c, ridge, error))
+            rows.append((key[0], ridge, error))
         out = pd.DataFrame(rows, columns=["context", "ridge", "error"])
         best = max(out.itertuples(), key=lambda r: (-round(r.error, 9), r.ridge)).ridge
         return out.assign(picked=out.ridge == best)
@@ -167,6 +182,38 @@ def nested_penalty(fold_grams: DataFrame, ridges: list[float]) -> DataFrame:
     return both.groupBy("context").applyInPandas(run, "context string, ridge double, error double, picked boolean")
 
 
+def episode_choices(fold_grams: DataFrame, ridges: list[float], ranks: list[int], pulls: list[float]) -> DataFrame:
+    """context, ridge, rank, pull, error, picked: the choice of a context's weights over three axes by inner folds.
+
+    Affine weights at a ridge, their deviation from equal weights kept in the rank leading axes of the centred Gram, then pulled
+    towards equal weights: (1 - pull) w + pull / n. One factorisation a fold serves all ranks. Ties go to the smaller rank, the
+    larger ridge, the larger pull. A task holds one context.
+    """
+    from .models import affine_weights
+
+    held = fold_grams.select(F.col("ctx_a").alias("context")).distinct()
+    both = held.join(fold_grams, (F.col("ctx_a") == F.col("context")) | (F.col("ctx_b") != F.col("context")))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, grams = _fold_grams(pdf, key[0])
+        n, error = len(names), {}
+        h = np.eye(n) - 1 / n
+        for fold in sorted({k[0] for k in grams}):
+            fit, test = grams[fold, "fit"], grams[fold, "test"]
+            axes = np.linalg.eigh(h @ fit[1:, 1:] @ h)[1][:, ::-1]
+            for ridge in ridges:
+                along = axes.T @ (affine_weights(fit[1:, 1:], fit[1:, 0], ridge) - 1 / n)
+                for rank in ranks:
+                    bent = h @ (axes[:, :rank] @ along[:rank])  # still sums to nothing
+                    for pull in pulls:
+                        w = np.append(-1.0, 1 / n + (1 - pull) * bent)
+                        error[ridge, rank, pull] = error.get((ridge, rank, pull), 0.0) + float(w @ test @ w)
+        best = min(error, key=lambda c: (round(error[c], 9), c[1], -c[0], -c[2]))
+        return pd.DataFrame([(key[0], *c, e, c == best) for c, e in error.items()], columns=["context", "ridge", "rank", "pull", "error", "picked"])
+
+    return both.groupBy("context").applyInPandas(run, "context string, ridge double, rank int, pull double, error double, picked boolean")
+
+
 def by_fold(df: DataFrame, folds: DataFrame) -> DataFrame:
     """hidden, part, ctx_a, ctx_b, dot: context Grams of each fold's interventions ('test') and of all others ('fit')."""
     from .interaction import gram

@@ -394,12 +394,6 @@ def _(spark, d):
     return design.hash_sample(table(spark, d, "orders"), "o_orderkey", "9", 100).select("o_orderkey", "o_totalprice")
 
 
-@query("powerset", "SELECT mask, len(list_filter(range(8), lambda i: (mask >> i) & 1 = 1))::INT AS members, list_sum(list_filter(range(8), lambda i: (mask >> i) & 1 = 1))::INT AS total FROM range(1, 256) t(mask)")
-def _(spark, d):
-    s = design.subsets(spark, 8)
-    return s.select("mask", F.size("items").alias("members"), F.aggregate("items", F.lit(0), lambda a, x: a + x).alias("total"))
-
-
 @query("split_leaks", "SELECT user_id, count(*) AS parts FROM (SELECT DISTINCT user_id, event_id % 3 AS p FROM events) GROUP BY 1 HAVING count(*) > 1")
 def _(spark, d):
     e = table(spark, d, "events")
@@ -649,11 +643,6 @@ def _(spark, d):
     return models.landmark_ridge(e, e.select("id", X.hash_fold(F.col("id").cast("string"), 5).cast("int").alias("fold")), 0.1, 64)
 
 
-@query("nested_bootstrap")
-def _(spark, d):
-    return inference.nested_draws(facts(spark, d), "context", "intervention", 20, "13")
-
-
 @query("fisher_overlap")
 def _(spark, d):
     c = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("a"))
@@ -798,11 +787,6 @@ def _(spark, d):
     return decompose.linkage(g.select(F.lit("all").alias("group"), F.col("ctx_a").alias("a"), F.col("ctx_b").alias("b"), F.col("distance").alias("d")), "group", 3.0)
 
 
-@query("random_bases")
-def _(spark, d):
-    return decompose.random_bases(spark, sorted(measures()), 2, 10)
-
-
 @query("ridge_leave_one_out")
 def _(spark, d):
     f = facts(spark, d).withColumn("name", F.concat_ws("|", "intervention", "feature"))
@@ -993,7 +977,7 @@ def _(spark, d):
     return models.ridge_by_intervention(y, h, 1.0)
 
 
-from . import deep, more  # noqa: E402, F401  register their queries here
+from . import controls, deep, more  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
