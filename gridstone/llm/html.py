@@ -8,8 +8,11 @@ their number and are indented by depth, tables become rows of cells padded to th
 width of their columns, preformatted text keeps its white space.
 
 All visible text of the whole page comes out, in order: formulas, options and the text
-of drawings as well, and what is hidden from screen readers only. `display: none` hides
-a subtree, `visibility` is inherited and can be undone further down.
+of drawings as well, what is hidden from screen readers only, and what an object shows
+where it can't be loaded. `display: none` hides a subtree, `visibility` is inherited and
+can be undone further down; of several declarations of a property the last important one
+counts, else the last. A dialog that isn't open is hidden, of details that aren't open the
+summary shows. Styles are read from style attributes; rules of style sheets play no part.
 
 Time and memory are linear in the page, whatever it holds: tokens are found without
 going back, the tree builder looks open elements up by name, and tree walks keep a stack
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head title meta link template noscript iframe object embed datalist audio video canvas noembed noframes".split())
+HIDDEN = frozenset("script style head title meta link template noscript iframe embed datalist audio video canvas noembed noframes rp".split())
 #: What a head can hold; text and all other tags begin the body.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: Never shown within svg and math.
@@ -70,8 +73,6 @@ NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: What follows a tag's name: a quote counts after an equals sign only. The second form takes no account of quotes.
 QUOTED = re.compile(r"((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=(?!\s*[\"']))*+)>")
 BLIND = re.compile(r"([^>]*)>")
-SHOWN = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
-STYLE = re.compile(r"display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 GAP = re.compile(r"[ \t\n\r\f]+")
 NEST, COLUMN, PADDED, SPANNED = 32, 80, 16, 2_000_000
@@ -198,17 +199,27 @@ def build(page: str) -> Node:
     return root
 
 
+def declared(node: Node, prop: str) -> str | None:
+    """The value of a property in the node's style attribute, in lower case; None where it isn't declared."""
+    if not node.attrs or prop not in node.attrs.lower():
+        return None
+    found, strong = None, False
+    for part in (node.get("style") or "").split(";"):
+        name, _, value = part.partition(":")
+        if name.strip().lower() == prop and value.strip():
+            value, mark, rest = value.strip().lower().partition("!")
+            important = bool(mark) and rest.strip() == "important"
+            if important or not strong:
+                found, strong = value.strip(), important
+    return found
+
+
 def hidden(node: Node) -> bool:
     if node.name in HIDDEN or node.role == "hidden":
         return True
-    if not node.attrs:
-        return False
-    low = node.attrs.lower()
-    if "hidden" in low and node.get("hidden") is not None:
-        return True
-    if "style" in low and STYLE.search(node.get("style") or ""):
+    if node.name == "input" or node.name == "dialog" and node.get("open") is None:
         return True
-    return node.name == "input"
+    return bool(node.attrs) and (node.get("hidden") is not None or declared(node, "display") == "none")
 
 
 def _wide(text: str) -> int:
@@ -264,11 +275,8 @@ def _walk(steps) -> None:
 
 def _visible(node: Node, before: bool) -> bool:
     """Whether text in the node is shown: the last word of its own style, else what is inherited."""
-    if node.attrs and "visibility" in node.attrs.lower():
-        said = SHOWN.findall(node.get("style") or "")
-        if said:
-            return said[-1].lower() == "visible"
-    return before
+    said = declared(node, "visibility")
+    return said == "visible" if said in ("visible", "hidden", "collapse") else before
 
 
 def _number(text: str | None, least: int, most: int) -> int:
@@ -276,13 +284,22 @@ def _number(text: str | None, least: int, most: int) -> int:
     return min(max(int(text), least), most) if text and re.fullmatch(r"[0-9]{1,9}", text) else 1
 
 
+def _integer(text: str | None, other: int) -> int:
+    """A whole number of an attribute, or another where it is missing or odd."""
+    return int(text) if text and re.fullmatch(r"[+-]?[0-9]{1,9}", text.strip()) else other
+
+
 def render(node: Node, out: Layout, keep: bool = False, depth: int = 0, seen: bool = True):
     """Steps (see _walk) that lay the children of node out. depth: how many layouts are nested here."""
-    number = None
+    number, step = None, 1
     if node.name == "ol":
-        start = node.get("start") or "1"
-        number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-    for child in node.children:
+        items = [c for c in node.children if isinstance(c, Node) and c.name == "li" and not hidden(c)]
+        step = -1 if node.get("reversed") is not None else 1
+        number = _integer(node.get("start"), 1 if step > 0 else len(items))
+    children = node.children
+    if node.name == "details" and node.get("open") is None:  # only the first summary shows
+        children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
+    for child in children:
         if isinstance(child, str):
             if seen:
                 out.inline(child, keep)
@@ -310,9 +327,11 @@ def render(node: Node, out: Layout, keep: bool = False, depth: int = 0, seen: bo
             inner = Layout()
             yield render(child, inner, keep, depth + 1, shown)
             inner.end()
+            if number is not None:
+                number = _integer(child.get("value"), number)
             mark = "- " if number is None else f"{number}. "
             if number is not None:
-                number += 1
+                number += step
             if inner.lines:
                 out.put([(mark if k == 0 else " " * len(mark) if line else "") + line for k, line in enumerate(inner.lines)])
             out.end()

@@ -418,3 +418,15 @@ def test_pieces_of_a_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pieces.pieces_report(df)
     assert got.filter("not lossless").count() == 0 and got.filter("n_pieces is not null").count() == df.filter("text is not null").count()
+
+
+def test_html_declarations_lists_and_folds():
+    t = html.to_text
+    assert t('<p style="display:none;display:block">a</p>') == t('<p style="--display:none">a</p>') == t('<p style="x-display:none">a') == "a"
+    assert t('<p style="display:block; DISPLAY : None ">a</p>') == "" and t('<p style="display:none !important;display:block">a</p>b') == "b"
+    assert t('<p style="visibility:hidden">a<b style="visibility:visible">b</b></p>') == "b" and t('<p style="--visibility:hidden">a') == "a"
+    assert t("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "漢kan"
+    assert t("<ol reversed><li>a<li>b<li hidden>x<li>c</ol>") == "3. a\n2. b\n1. c" and t("<ol reversed start=7><li>a<li value=x>b</ol>") == "7. a\n6. b"
+    assert t("<ol><li>a<li value=9>b<li>c</ol>") == "1. a\n9. b\n10. c"
+    assert t("a<dialog>no</dialog><dialog open>yes</dialog>") == "a\nyes" and t("<object data=x>fall <b>back</b></object>") == "fall back"
+    assert t("<details>t<summary>s</summary>body<summary>u</summary></details>z") == "s\nz" and t("<details open><summary>s</summary>body</details>") == "s\nbody"
