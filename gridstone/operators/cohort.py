@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_ratio
+from .ranks import quantiles
 
 
 def coverage(df: DataFrame, keys: list[str], unit: str, measure: str, flag: Column) -> DataFrame:
@@ -76,9 +77,9 @@ def unit_rows(df: DataFrame, row: str) -> DataFrame:
 
 
 def overlap_band(df: DataFrame, group: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """The range that all groups' middle quantiles share: greatest low and least high quantile."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
-    return q.agg(F.max(F.col("q")[0]).alias("low"), F.min(F.col("q")[1]).alias("high"))
+    """The range that all groups' middle quantiles share: greatest low and least high quantile, exact for groups of any size."""
+    q = quantiles(df.select(group, value), [group], value, [low, high])
+    return q.agg(F.max(F.when(F.col("point") == low, F.col("q"))).alias("low"), F.min(F.when(F.col("point") == high, F.col("q"))).alias("high"))
 
 
 def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ranks import numbered
 
+
 def hash_order(name: str, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(name).cast("string")), 256)
 

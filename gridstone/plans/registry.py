@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import cohort, decompose, design, inference, interaction, metrics, models, ranks, signal
-from ..sources.facts import fact_sql, facts, measures, sales, table
+from ..sources.facts import fact_sql, facts, measures, once, sales, table
 from ..streaming.events import windowed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,8 @@ en AS (SELECT a.context, a.intervention, sum(a.gamma * b.gamma) AS s, sum(a.e *
 
 
 def gamma(spark, d, context="n_name"):
-    return interaction.two_way(facts(spark, d, context))
+    """The centred fact, written once as the cells are: plans with many branches start from it."""
+    return once(spark, d, f"gamma-{context}", lambda: interaction.two_way(facts(spark, d, context)))
 
 
 def energy(spark, d):
@@ -248,8 +249,10 @@ def _(spark, d):
 
 @query("group_quantiles", SALES_SQL + " SELECT p_brand, round(q[1], 4) AS p10, round(q[2], 4) AS q25, round(q[3], 4) AS med, round(q[4], 4) AS q75, round(q[5], 4) AS p90, round(q[4] - q[2], 4) AS iqr FROM (SELECT p_brand, quantile_cont(l_extendedprice, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM sale GROUP BY 1)")
 def _(spark, d):
-    q = sales(spark, d).groupBy("p_brand").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q"))
-    return rounded(q.select("p_brand", *(F.col("q")[i].alias(n) for i, n in enumerate(("p10", "q25", "med", "q75", "p90"))), (F.col("q")[3] - F.col("q")[1]).alias("iqr")), digits=4)
+    points = {0.1: "p10", 0.25: "q25", 0.5: "med", 0.75: "q75", 0.9: "p90"}
+    q = ranks.quantiles(sales(spark, d).select("p_brand", "l_extendedprice"), ["p_brand"], "l_extendedprice", list(points))
+    wide = q.groupBy("p_brand").agg(*(F.max(F.when(F.col("point") == p, F.col("q"))).alias(n) for p, n in points.items()))
+    return rounded(wide.withColumn("iqr", F.col("q75") - F.col("q25")), digits=4)
 
 
 @query("with_totals", SALES_SQL + " SELECT coalesce(r_name, 'all') AS r_name, coalesce(l_returnflag, 'all') AS l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM sale GROUP BY ROLLUP (r_name, l_returnflag)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,20 +108,21 @@ def state(spark: SparkSession, paths: list[str]) -> tuple:
 TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
 
-def stored_cells(spark: SparkSession, sf_dir: str, context: str, intervention: str) -> DataFrame:
-    """The cells of the design, written once to the shared folder: as many rows as the design has, whatever the tables hold.
-
-    Every operator starts there, so that a plan with several branches reads the facts once. The store is keyed by the state of
-    the tables' files, so that tables written anew are read anew.
-    """
-    key = (spark.sparkContext.applicationId, context, intervention, state(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written once to the shared folder for the tables of a folder as they are now; tables written anew are read anew."""
+    key = (spark.sparkContext.applicationId, name, state(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
     if key not in _stored or not _fs(spark, _stored[key][0])[0].exists(_fs(spark, f"{_stored[key][0]}/_SUCCESS")[1]):
-        made = stored(cells(sales(spark, sf_dir), context, intervention), "cells")
+        made = stored(make(), name)
         _stored[key] = (_made[-1][1], made.schema)
     path, schema = _stored[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_cells(spark: SparkSession, sf_dir: str, context: str, intervention: str) -> DataFrame:
+    """The cells of the design: as many rows as the design has, whatever the tables hold. Every operator starts there, so that a plan with several branches reads the facts once."""
+    return once(spark, sf_dir, f"cells-{context}-{intervention}", lambda: cells(sales(spark, sf_dir), context, intervention))
+
+
 def clear_store() -> None:
     """Forgets what is stored, so that the next use reads the facts."""
     _stored.clear()
