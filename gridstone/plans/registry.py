@@ -505,11 +505,12 @@ def _(spark, d):
     return rounded(metrics.retrieval_summary(metrics.retrieval(similarities(spark, d), "q", "t", "s"), table(spark, d, "embeddings").select("label").distinct().count()))
 
 
-@query("spectrum", with_facts(GAMMA + ", c AS (SELECT context, covar_pop(p.gamma, q.gamma) AS pq, var_pop(p.gamma) AS pp, var_pop(q.gamma) AS qq FROM gam p JOIN gam q USING (replicate, context, intervention) WHERE p.feature = 'price' AND q.feature = 'quantity' GROUP BY 1), v AS (SELECT context, unnest([(pp + qq) / 2 + sqrt((pp - qq) ** 2 / 4 + pq * pq), (pp + qq) / 2 - sqrt((pp - qq) ** 2 / 4 + pq * pq)]) AS v FROM c), w AS (SELECT row_number() OVER (ORDER BY v DESC)::INT AS i, v / sum(v) OVER () AS p, sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM v) SELECT round(1 / sum(p * p), 5) AS participation, round(exp(-sum(p * ln(p))), 5) AS entropy_rank, min(i) FILTER (c >= 0.5 - 1e-12) AS k50, min(i) FILTER (c >= 0.9 - 1e-12) AS k90 FROM w"))
+@query("spectrum", with_facts(GAMMA + ", c AS (SELECT context, p.feature, covar_pop(p.gamma, q.gamma) AS pq, var_pop(p.gamma) AS pp, var_pop(q.gamma) AS qq FROM gam p JOIN gam q USING (replicate, context, intervention) WHERE (p.feature = 'price' AND q.feature = 'quantity') OR (p.feature = 'discount' AND q.feature = 'tax') GROUP BY ALL), v AS (SELECT context, unnest([(pp + qq) / 2 + sqrt((pp - qq) ** 2 / 4 + pq * pq), (pp + qq) / 2 - sqrt((pp - qq) ** 2 / 4 + pq * pq)]) AS v FROM c), w AS (SELECT row_number() OVER (ORDER BY v DESC)::INT AS i, v / sum(v) OVER () AS p, sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM v) SELECT round(1 / sum(p * p), 5) AS participation, round(exp(-sum(p * ln(p))), 5) AS entropy_rank, min(i) FILTER (c >= 0.5 - 1e-12) AS k50, min(i) FILTER (c >= 0.9 - 1e-12) AS k90 FROM w"))
 def _(spark, d):
-    """Eigenvalues of each context's covariance of two features, all together; the SQL has them in closed form."""
-    g = gamma(spark, d).filter("feature in ('price', 'quantity')")
-    return rounded(metrics.spectrum(decompose.eigenvalues(g, "context", "feature", ["replicate", "intervention"], "gamma"), "eigenvalue"), digits=5)
+    """Eigenvalues of each context's covariances of amounts and of rates, all together; the SQL has them in closed form."""
+    kind = F.when(F.col("feature").isin("price", "quantity"), "amounts").otherwise("rates")
+    g = gamma(spark, d).withColumn("group", F.concat_ws("|", "context", kind))
+    return rounded(metrics.spectrum(decompose.eigenvalues(g, "group", "feature", ["replicate", "intervention"], "gamma"), "eigenvalue"), digits=5)
 
 
 # --- resampling and inference -----------------------------------------------------------------
