@@ -430,3 +430,22 @@ def test_html_declarations_lists_and_folds():
     assert t("<ol><li>a<li value=9>b<li>c</ol>") == "1. a\n9. b\n10. c"
     assert t("a<dialog>no</dialog><dialog open>yes</dialog>") == "a\nyes" and t("<object data=x>fall <b>back</b></object>") == "fall back"
     assert t("<details>t<summary>s</summary>body<summary>u</summary></details>z") == "s\nz" and t("<details open><summary>s</summary>body</details>") == "s\nbody"
+
+
+def test_topk_bounds_exclude_other_clusters(spark):
+    """On clustered vectors most rows are never compared with a query, and results stay exact."""
+    rnd = np.random.default_rng(9)
+    centre = rnd.normal(size=(50, 12))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = np.repeat(centre, 40, 0) + 0.01 * rnd.normal(size=(2000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    index = topk.build(df.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding")).alias("v")))
+    got = topk.search(index, F.col("id") % 50 == 0, 5).collect()
+    share = sum(r.seen for r in got if r["rank"] == 1) / (40 * 2000)
+    assert share < 0.5, share
+    whole = np.floor(256 * x)
+    for q in range(0, 2000, 50):
+        s = whole @ whole[q]
+        want = sorted((i for i in range(2000) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    print(share)
