@@ -157,3 +157,23 @@ def ridge_leave_one_out(df: DataFrame, alphas: list[float]) -> DataFrame:
         return pd.DataFrame([(key[0], o, float(p[0, o]), best[1]) for o in range(y.shape[1])], columns=["held", "output", "prediction", "alpha"])
 
     return both.groupBy("held").applyInPandas(run, "held string, output int, prediction double, alpha double")
+
+
+def module_ladder(df: DataFrame, unit: list[str], cuts: list[float]) -> DataFrame:
+    """cut, module, name, unit, score, explained: names joined into modules at each correlation distance, and the first principal score of each module's names over units.
+
+    df(unit, name, value). Distances 1 - r come from sums over units; a task holds the names' distances, or one module's rows: names and units are axes of the design.
+    """
+    from .shrinkage import correlation
+
+    key = F.concat_ws("|", *(F.col(u).cast("string") for u in unit))
+    long = df.select(key.alias("unit"), "name", "value")
+    a, b = (long.select("unit", F.col("name").alias(k), F.col("value").alias(f"v{k}")) for k in "ab")
+    d = a.join(b, "unit").filter("a < b").groupBy("a", "b").agg((1 - F.coalesce(correlation("va", "vb"), F.lit(0.0))).alias("d"))
+    parts = None
+    for cut in cuts:
+        c = linkage(d.withColumn("g", F.lit("all")), "g", cut).select(F.lit(float(cut)).alias("cut"), F.col("item").alias("name"), F.concat_ws("|", F.lit(str(cut)), F.col("cluster").cast("string")).alias("module"))
+        parts = c if parts is None else parts.unionByName(c)
+    sized = parts.groupBy("cut", "module").agg(F.count(F.lit(1)).alias("names"))
+    score = pca(long.join(parts, "name"), "module", "unit", "name", "value", 1).select(F.col("group").alias("module"), F.col("row").alias("unit"), "score", "explained")
+    return sized.join(score, "module").select("cut", "module", "names", "unit", "score", "explained")

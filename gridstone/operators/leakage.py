@@ -8,6 +8,8 @@ of a sum hang on its order.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,3 +79,18 @@ def replay(stored: DataFrame, again: DataFrame, keys: list[str], value: str, tol
         F.struct(F.lit("values agree").alias("check"), F.col("worst").alias("detail"), ((F.col("worst") <= tolerance) & (F.col("odd") == 0)).alias("passed")),
     )))
     return rows.unionByName(more)
+
+
+def timing_gate(episodes: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], allowed: float, seed: str = "gate", tried: int = 4) -> DataFrame:
+    """episode, seconds, projected, passed: a few episodes in hash order are run and timed, the slowest stands for all of them, and the projected time is held against the seconds allowed. Nothing else is run."""
+    spark = episodes.sparkSession
+    axis = episodes.select(key).distinct()
+    first = axis.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(tried)
+    names, total = [r[0] for r in first.collect()], axis.count()
+    took = []
+    for name in names:
+        begun = time.monotonic()
+        run(episodes.filter(F.col(key) == F.lit(name))).write.format("noop").mode("overwrite").save()
+        took.append(time.monotonic() - begun)
+    projected = max(took, default=0.0) * total
+    return spark.createDataFrame([(str(n), t, projected, projected <= allowed) for n, t in zip(names, took)], "episode string, seconds double, projected double, passed boolean")

@@ -213,3 +213,38 @@ def ridge_by_intervention(df: DataFrame, features: DataFrame, alpha: float) -> D
         return pd.DataFrame({"context": pdf.context, "intervention": key[0], "value": y, "prediction": out})
 
     return df.join(features, "context").groupBy("intervention").applyInPandas(run, "context string, intervention string, value double, prediction double")
+
+
+def episode_weights(gram: DataFrame, episodes: DataFrame, ridge: float = 0.0, rcond: float = 1e-10) -> DataFrame:
+    """episode, source, weight: affine weights of many episodes, each from its own sources, by singular values of its KKT system.
+
+    gram(ctx_a, ctx_b, dot), episodes(episode, target, source). The pairs of sources that an episode needs are joined to the Gram,
+    so that a task holds the Gram of one episode's sources alone; sources that depend on each other share the least weights.
+    An episode with one source gives it all.
+    """
+    cross = episodes.join(gram, (F.col("source") == F.col("ctx_a")) & (F.col("target") == F.col("ctx_b"))).select("episode", F.col("source").alias("a"), F.lit(None).cast("string").alias("b"), "dot")
+    other = episodes.select("episode", F.col("source").alias("other"))
+    pairs = episodes.select("episode", "source").join(other, "episode")  # sources of an episode: contexts of the design
+    inner = pairs.join(gram, (F.col("source") == F.col("ctx_a")) & (F.col("other") == F.col("ctx_b"))).select("episode", F.col("source").alias("a"), F.col("other").alias("b"), "dot")
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf[pdf.b.isna()].sort_values("a")
+        names, n = list(c.a), len(c)
+        g = pdf[pdf.b.notna()].pivot(index="a", columns="b", values="dot").reindex(index=names, columns=names).to_numpy(float)
+        g = g + ridge * max(np.trace(g) / n, 1e-12) * np.eye(n)
+        kkt = np.block([[g, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        w = np.linalg.pinv(kkt, rcond=rcond) @ np.append(c["dot"].to_numpy(float), 1.0)
+        return pd.DataFrame({"episode": key[0], "source": names, "weight": w[:n]})
+
+    kind = episodes.schema["episode"].dataType.simpleString()
+    return cross.unionByName(inner).groupBy("episode").applyInPandas(solve, f"episode {kind}, source string, weight double")
+
+
+def episode_errors(gram: DataFrame, episodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """episode, target, m (its number of sources), energy, error: the target's energy and its squared error under the episode's weights, from a Gram alone."""
+    sized = episodes.groupBy("episode", "target").agg(F.count(F.lit(1)).alias("m"))
+    w = weights.select("episode", F.col("source").alias("c"), F.col("weight").alias("w")).unionByName(sized.select("episode", F.col("target").alias("c"), F.lit(-1.0).alias("w")))
+    a, b = (w.select("episode", F.col("c").alias(f"ctx_{k}"), F.col("w").alias(f"w{k}")) for k in "ab")
+    e = a.join(b, "episode").join(gram, ["ctx_a", "ctx_b"]).groupBy("episode").agg(F.sum(F.col("wa") * F.col("dot") * F.col("wb")).alias("error"))
+    own = gram.filter("ctx_a = ctx_b").select(F.col("ctx_a").alias("target"), F.col("dot").alias("energy"))
+    return sized.join(own, "target").join(e, "episode").select("episode", "target", "m", "energy", "error")

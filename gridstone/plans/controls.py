@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, crossgram, decompose, design, families, inference, interaction, nulls, programs, sealed, subspace, tuning
+from ..operators import classify, crossgram, decompose, design, families, inference, interaction, models, nulls, programs, sealed, subspace, tuning
 from ..sources import facts
 from ..sources.facts import table
 from .deep import BASIS, DONOR, brand_basis, by_brand, donors, hash_fold, tuning_units
@@ -216,3 +217,23 @@ def _(spark, d):
 @query("episode_choices")
 def _(spark, d):
     return rounded(sealed.episode_choices(fold_grams(spark, d, "ec"), [0.1, 1.0, 10.0], [1, 4, 24], [0.0, 0.5, 0.9]), "ridge", "pull", digits=4)
+
+
+@query("episode_errors")
+def _(spark, d):
+    """Every context from the first 2, 5 and 12 others of its own hash order: error against energy by size of support."""
+    g = facts.stored(interaction.context_gram(interaction.gram(gamma(spark, d), "gamma")), "context-gram")
+    names = g.select(F.col("ctx_a").alias("target")).distinct()
+    other = names.join(names.withColumnRenamed("target", "source"), F.col("target") != F.col("source"))  # contexts of the design
+    order = Window.partitionBy("target").orderBy(F.sha2(F.concat_ws("|", F.lit("ee"), "target", "source"), 256), "source")
+    ladder = other.withColumn("place", F.row_number().over(order)).withColumn("m", F.explode(F.array(F.lit(2), F.lit(5), F.lit(12)))).filter("place <= m")
+    episodes = facts.stored(ladder.select(F.concat_ws("|", "target", F.col("m").cast("string")).alias("episode"), "target", "source"), "episodes")
+    return rounded(models.episode_errors(g, episodes, models.episode_weights(g, episodes, 0.1)), digits=4)
+
+
+@query("module_ladder")
+def _(spark, d):
+    """Brands in modules at three correlation distances, and each module's first score over contexts and measures."""
+    g = gamma(spark, d).filter("replicate = 0").select("context", "feature", F.col("intervention").alias("name"), F.col("gamma").alias("value"))
+    out = decompose.module_ladder(facts.stored(g, "module-cells"), ["context", "feature"], [0.6, 0.9, 1.0])
+    return out.groupBy("cut", "module").agg(F.max("names").alias("names"), r(F.max("explained"), 4).alias("explained"), r(F.sum(F.abs("score")), 3).alias("size"))

@@ -1,12 +1,15 @@
 """Derangements, weighted ranks, episode choices, programs and classifier grids against plain NumPy."""
 
+import zipfile
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridstone.operators import classify, crossgram, families, nulls, programs, ranks, sealed
+from gridstone.operators import classify, crossgram, decompose, families, leakage, models, nulls, programs, ranks, sealed
 from gridstone.operators.models import affine_weights
+from gridstone.sources import sheets
 
 RND = np.random.default_rng(11)
 
@@ -121,3 +124,83 @@ def test_sides_of_donors(spark):
     got = crossgram.sides(spark.createDataFrame([(d,) for d in "wxyz"], "donor string")).toPandas()
     assert len(got[got.kind == "halves"]) == 12 and len(got[got.kind == "rest"]) == 16
     assert all(sorted(g.donor) == list("wxyz") for _, g in got.groupby(["kind", "part"]))
+
+
+def test_episode_weights_equal_lstsq(spark):
+    x = RND.normal(size=(6, 25))
+    x[5] = x[4]  # equal sources share their weight
+    g = spark.createDataFrame([(f"c{a}", f"c{b}", float(x[a] @ x[b])) for a in range(6) for b in range(6)], "ctx_a string, ctx_b string, dot double")
+    sets = {"one": (0, [3]), "some": (1, [0, 2, 3]), "twins": (2, [0, 4, 5])}
+    ep = spark.createDataFrame([(k, f"c{t}", f"c{s}") for k, (t, ss) in sets.items() for s in ss], "episode string, target string, source string")
+    w = models.episode_weights(g, ep)
+    got = {(r.episode, r.source): r.weight for r in w.collect()}
+    err = {r.episode: r for r in models.episode_errors(g, ep, w).collect()}
+    for k, (t, ss) in sets.items():
+        own = np.array([got[k, f"c{s}"] for s in ss])
+        base = x[ss[0]]
+        rest = (x[ss[1:]] - base).T
+        want = x[t] - base - rest @ np.linalg.lstsq(rest, x[t] - base, rcond=None)[0] if len(ss) > 1 else x[t] - base
+        assert np.isclose(own.sum(), 1) and np.isclose(err[k].error, want @ want) and np.isclose(err[k].energy, x[t] @ x[t]) and err[k].m == len(ss)
+    assert np.isclose(got["twins", "c4"], got["twins", "c5"]) and np.isclose(got["one", "c3"], 1)
+
+
+def test_timing_gate_runs_a_few_episodes(spark):
+    df = spark.range(30).withColumn("e", F.col("id") % 6)
+    ran = []
+    out = leakage.timing_gate(df, "e", lambda x: (ran.append(x.select("e").distinct().count()), x)[1], 1e6).collect()
+    assert len(out) == 4 and ran == [1] * 4 and all(r.passed and np.isclose(r.projected, 6 * max(q.seconds for q in out)) for r in out)
+    assert not any(r.passed for r in leakage.timing_gate(df, "e", lambda x: x, 0.0).collect())
+    assert leakage.timing_gate(df.filter("id < 0"), "e", lambda x: x, 1.0).count() == 0
+
+
+def test_module_ladder(spark):
+    t = RND.normal(size=(20, 2))
+    x = np.hstack([t[:, :1] + 0.05 * RND.normal(size=(20, 3)), t[:, 1:] + 0.05 * RND.normal(size=(20, 2))])
+    df = spark.createDataFrame([(f"u{i}", f"n{j}", float(x[i, j])) for i in range(20) for j in range(5)], "u string, name string, value double")
+    out = decompose.module_ladder(df, ["u"], [0.2, 3.0]).toPandas()
+    low = out[out.cut == 0.2].groupby("module").agg(names=("names", "first"), explained=("explained", "first"))
+    assert sorted(low.names) == [2, 3] and (low.explained > 0.98).all() and set(out[out.cut == 3.0].names) == {5} and len(out) == 60
+
+
+def workbook(path, rows, sheet="Data", shared=True):
+    texts, body = [], ""
+    for r, row in rows.items():
+        cell = ""
+        for ref, v in row.items():
+            if isinstance(v, bool):
+                cell += f'<c r="{ref}{r}" t="b"><v>{int(v)}</v></c>'
+            elif isinstance(v, str) and v.startswith("#"):
+                cell += f'<c r="{ref}{r}" t="e"><v>{v}</v></c>'
+            elif isinstance(v, str) and shared:
+                texts.append(v)
+                cell += f'<c r="{ref}{r}" t="s"><v>{len(texts) - 1}</v></c>'
+            elif isinstance(v, str):
+                cell += f'<c r="{ref}{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+            else:
+                cell += f'<c r="{ref}{r}"><v>{v}</v></c>'
+        body += f'<row r="{r}">{cell}</row>'
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Other" sheetId="1" r:id="a"/><sheet name="{sheet}" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r><rPh><t>no</t></rPh></si>" for t in texts) + "</sst>")
+
+
+def test_excel_sheets(spark, tmp_path):
+    rows = {1: {"A": "a title above"}, 3: {"A": "gene", "B": "lfc", "C": "", "D": "lfc", "AB": "kept"}, 4: {"A": "TP53", "B": 1.5, "D": -2, "AB": True}, 6: {"B": "#N/A"}, 7: {"A": "MYC", "C": "no name", "AB": "x & y".replace("&", "and")}}
+    for k, shared in enumerate((True, False)):
+        workbook(f"{tmp_path}/b{k}.xlsx", rows, shared=shared)
+    got = sheets.excel(spark, [f"{tmp_path}/b0.xlsx", f"{tmp_path}/b1.xlsx"], "Data", skip=2)
+    assert got.columns == ["file", "gene", "lfc", "lfc_2", "kept"]
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted([("TP53", "1.5", "-2", "true"), ("MYC", None, None, "x and y")] * 2)
+    with pytest.raises(ValueError):
+        sheets.excel(spark, [f"{tmp_path}/b0.xlsx"], "Nowhere")
+    with pytest.raises(ValueError):
+        sheets.excel(spark, [f"{tmp_path}/b0.xlsx"], "Other")
+    workbook(f"{tmp_path}/c.xlsx", {1: {"A": "other"}})
+    with pytest.raises(Exception):
+        sheets.excel(spark, [f"{tmp_path}/c.xlsx", f"{tmp_path}/b0.xlsx"], "Data").collect()
