@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,8 +111,11 @@ def entropy(df: DataFrame, by: list[str], weight: str) -> DataFrame:
 
 
 def edge_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """df with bin: how many of the interior quantile edges lie below the value (a value on an edge belongs to the bin that it ends)."""
-    edges = df.agg(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("__e"))
+    """df with bin: how many of the interior quantile edges lie below the value (a value on an edge belongs to the bin that it ends). Edges are exact, from ranges of values."""
+    from .ranks import quantiles
+
+    q = quantiles(df.select(F.lit(1).alias("__one"), value), ["__one"], value, [k / bins for k in range(1, bins)])
+    edges = q.agg(F.sort_array(F.collect_list("q")).alias("__e"))
     return df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")  # one row of bins - 1 edges
 
 
@@ -160,8 +165,9 @@ def gate_classes(df: DataFrame, unit: str, amplitude: list[Column], relation: li
 def scaling_laws(points: DataFrame, curve: str, x: str, y: str, rates: list[float]) -> DataFrame:
     """curve -> error, AICc and leave-one-out error of the constant, logarithmic, power (with floor) and exponential laws, and which is chosen.
 
-    Each law is linear in a transform of x, so that least squares and the leave-one-out errors e / (1 - h) are sums; rates
-    come from a grid. Chosen: the least leave-one-out error, then AICc.
+    Each law is linear in a transform of x, so that least squares are sums; rates come from a grid. A point that is left out has
+    the error e / (1 - h) and takes e^2 / (1 - h) out of a rate's sum of squares, so that the rate is chosen anew without it and
+    nothing is fitted twice. Points have levels x of their own. Chosen: the least leave-one-out error, then AICc.
     """
     p = points.select(F.col(curve).alias("c"), F.col(x).alias("x"), F.col(y).alias("y"))
     grid = F.explode(F.array(*map(F.lit, rates)))
@@ -175,8 +181,59 @@ def scaling_laws(points: DataFrame, curve: str, x: str, y: str, rates: list[floa
     e = F.col("y") - F.col("my") - F.col("b") * (F.col("z") - F.col("mz"))
     h = 1 / F.col("n") + F.when(F.col("szz") > 1e-12, (F.col("z") - F.col("mz")) * (F.col("z") - F.col("mz")) / F.col("szz")).otherwise(0.0)
     k = F.when(F.col("law") == "constant", 2).when(F.col("law") == "logarithm", 3).otherwise(4)
-    s = all_.join(fit, ["c", "law", "rate"]).groupBy("c", "law", "rate", "n").agg(F.greatest(F.sum(e * e), F.lit(1e-12)).alias("sse"), F.sqrt(F.avg((e / F.greatest(1 - h, F.lit(1e-9))) * (e / F.greatest(1 - h, F.lit(1e-9))))).alias("loo"))
+    rows = all_.join(fit, ["c", "law", "rate"]).withColumn("e", e).withColumn("left", F.greatest(1 - h, F.lit(1e-9)))
+    s = rows.groupBy("c", "law", "rate", "n").agg(F.greatest(F.sum(F.col("e") * F.col("e")), F.lit(1e-12)).alias("sse"))
+    without = rows.join(s.select("c", "law", "rate", "sse"), ["c", "law", "rate"]).withColumn("rest", F.round(F.col("sse") - F.col("e") * F.col("e") / F.col("left"), 9))
+    out = without.groupBy("c", "law", "x").agg(F.min_by(F.col("e") / F.col("left"), F.struct("rest", "rate")).alias("o"))
+    s = s.join(out.groupBy("c", "law").agg(F.sqrt(F.avg(F.col("o") * F.col("o"))).alias("loo")), ["c", "law"])
     s = s.withColumn("aicc", F.col("n") * F.log(F.col("sse") / F.col("n")) + 2 * k + 2 * k * (k + 1) / F.greatest(F.col("n") - k - 1, F.lit(1)))
     best = s.withColumn("__k", F.row_number().over(Window.partitionBy("c", "law").orderBy(F.round("sse", 9), "rate"))).filter("__k = 1")  # the rates of a grid
     pick = F.row_number().over(Window.partitionBy("c").orderBy(F.round("loo", 9), F.round("aicc", 9), "law")) == 1
     return best.select(F.col("c").alias(curve), "law", "rate", "sse", "loo", "aicc", pick.alias("chosen"))
+
+
+def semi_synthetic(rows: DataFrame, rank: int, share: float, reliability: float, seed: int = 0) -> DataFrame:
+    """id, a, b: two replicates of responses made from rows(id bigint, x array<double>).
+
+    Standardised rows on rank random orthonormal axes, each score standardised, make sqrt(share) of the components, Gaussian numbers
+    of the row's own seed the rest; random orthonormal response axes turn them into a signal of as many features. Each replicate
+    adds Gaussian noise whose variance gives the replicates' correlation the target reliability. Means, deviations and the signal's
+    variance are sums over all rows; no row leaves its task.
+    """
+    from .subspace import stacked, summed
+
+    def moments(make) -> tuple[np.ndarray, np.ndarray]:
+        m = summed(rows, lambda x: np.vstack([make(x).sum(0), (make(x) ** 2).sum(0), np.full(make(x).shape[1], len(x))]))
+        mean = m[0] / m[2]
+        return mean, np.maximum(np.sqrt(np.maximum(m[1] / m[2] - mean**2, 0)), 1e-12)
+
+    mean, scale = moments(lambda x: x)
+    p = len(mean)
+    axes, back = (np.linalg.qr(np.random.default_rng([seed, k]).normal(size=(p, rank)))[0] for k in (1, 2))
+    raw = lambda x: ((x - mean) / scale) @ axes
+    at, spread = moments(raw)
+
+    def components(ids, x):
+        own = np.stack([np.random.default_rng([seed, 3, int(i) % 2**63]).normal(size=rank) for i in ids]) if len(x) else np.zeros((0, rank))
+        return np.sqrt(share) * (raw(x) - at) / spread + np.sqrt(1 - share) * own
+
+    keyed = rows.select("id", "x")
+
+    def signal(batches):
+        for batch in batches:
+            s = components(batch.column(0).to_pylist(), stacked(batch.column(1))) @ back.T if batch.num_rows else np.zeros((0, p))
+            yield pa.RecordBatch.from_arrays([pa.array([float(s.sum())]), pa.array([float((s**2).sum())]), pa.array([s.size])], ["s", "q", "n"])
+
+    t = keyed.mapInArrow(signal, "s double, q double, n bigint").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).first()
+    sigma = float(np.sqrt(max(t.q / t.n - (t.s / t.n) ** 2, 0) * (1 - reliability) / reliability))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            x = stacked(batch.column(1)) if ids else np.zeros((0, p))
+            s = components(ids, x) @ back.T
+            out = [s + sigma * np.stack([np.random.default_rng([seed, k, int(i) % 2**63]).normal(size=p) for i in ids]) if ids else s for k in (4, 5)]
+            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(o.ravel())) for o in out)], ["id", "a", "b"])
+
+    return keyed.mapInArrow(run, "id bigint, a array<double>, b array<double>")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, crossgram, decompose, design, families, inference, interaction, models, nulls, programs, sealed, subspace, tuning
+from ..operators import classify, crossgram, decompose, design, families, freeze, inference, interaction, models, nulls, programs, sealed, subspace, tuning
 from ..sources import facts
 from ..sources.facts import table
-from .deep import BASIS, DONOR, brand_basis, by_brand, donors, hash_fold, tuning_units
+from .deep import BASIS, DONOR, brand_basis, by_brand, donors, hash_fold, tuning_units, vectors
 from .more import DRAWS, PAIRD, cross_scores, pair_distances
 from .registry import ENERGY, GAMMA, gamma, query, r, rounded, with_facts
 
@@ -237,3 +237,15 @@ def _(spark, d):
     g = gamma(spark, d).filter("replicate = 0").select("context", "feature", F.col("intervention").alias("name"), F.col("gamma").alias("value"))
     out = decompose.module_ladder(facts.stored(g, "module-cells"), ["context", "feature"], [0.6, 0.9, 1.0])
     return out.groupBy("cut", "module").agg(F.max("names").alias("names"), r(F.max("explained"), 4).alias("explained"), r(F.sum(F.abs("score")), 3).alias("size"))
+
+
+@query("synthetic_reliability")
+def _(spark, d):
+    """Realised correlation of two generated replicates of all vectors, at three target reliabilities."""
+    rows = facts.stored(vectors(spark, d).select(F.col("vec_id").alias("id"), "x"), "synthetic-rows")
+    parts = None
+    for target in (0.3, 0.6, 0.9):
+        z = freeze.semi_synthetic(rows, 5, 0.5, target, 3).select(F.explode(F.arrays_zip("a", "b")).alias("z"))
+        one = z.agg(F.lit(target).alias("target"), F.round(F.corr("z.a", "z.b"), 3).alias("reliability"), F.count(F.lit(1)).alias("cells"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts

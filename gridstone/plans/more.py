@@ -449,8 +449,10 @@ def _(spark, d):
 
 @query("scaling_laws", """WITH p AS (SELECT c_mktsegment AS curve, k::DOUBLE AS x, round(avg(c_acctbal) FILTER (c_custkey % 10 < k), 4) AS y FROM customer, range(2, 10) t(k) GROUP BY ALL), rt AS (SELECT (i * 0.05)::DOUBLE AS rate FROM range(1, 41) t(i)),
 a AS (SELECT curve, x, y, 'constant' AS law, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS z FROM p UNION ALL SELECT curve, x, y, 'logarithm', 0.0, ln(x) FROM p UNION ALL SELECT curve, x, y, 'power', rate, x ** -rate FROM p, rt UNION ALL SELECT curve, x, y, 'exponential', rate, exp(-rate * x) FROM p, rt),
-f AS (SELECT curve, law, rate, count(*) AS n, avg(z) AS mz, avg(y) AS my, var_pop(z) * count(*) AS szz, covar_pop(z, y) * count(*) AS szy FROM a GROUP BY ALL), e AS (SELECT a.curve, a.law, a.rate, n, y - my - CASE WHEN szz > 1e-12 THEN szy / szz ELSE 0 END * (z - mz) AS e, 1.0 / n + CASE WHEN szz > 1e-12 THEN (z - mz) ** 2 / szz ELSE 0 END AS h FROM a JOIN f USING (curve, law, rate)),
-s AS (SELECT curve, law, rate, n, greatest(sum(e * e), 1e-12) AS sse, sqrt(avg((e / greatest(1 - h, 1e-9)) ** 2)) AS loo, CASE law WHEN 'constant' THEN 2 WHEN 'logarithm' THEN 3 ELSE 4 END AS k FROM e GROUP BY ALL), b AS (SELECT *, n * ln(sse / n) + 2 * k + 2.0 * k * (k + 1) / greatest(n - k - 1, 1) AS aicc FROM s QUALIFY row_number() OVER (PARTITION BY curve, law ORDER BY round(sse, 9), rate) = 1)
+f AS (SELECT curve, law, rate, count(*) AS n, avg(z) AS mz, avg(y) AS my, var_pop(z) * count(*) AS szz, covar_pop(z, y) * count(*) AS szy FROM a GROUP BY ALL), e AS (SELECT a.curve, a.law, a.rate, a.x, n, y - my - CASE WHEN szz > 1e-12 THEN szy / szz ELSE 0 END * (z - mz) AS e, greatest(1 - (1.0 / n + CASE WHEN szz > 1e-12 THEN (z - mz) ** 2 / szz ELSE 0 END), 1e-9) AS h FROM a JOIN f USING (curve, law, rate)),
+ss AS (SELECT curve, law, rate, n, greatest(sum(e * e), 1e-12) AS sse, CASE law WHEN 'constant' THEN 2 WHEN 'logarithm' THEN 3 ELSE 4 END AS k FROM e GROUP BY ALL),
+o AS (SELECT curve, law, x, e / h AS o FROM e JOIN ss USING (curve, law, rate) QUALIFY row_number() OVER (PARTITION BY curve, law, x ORDER BY round(sse - e * e / h, 9), rate) = 1), lo AS (SELECT curve, law, sqrt(avg(o * o)) AS loo FROM o GROUP BY ALL),
+s AS (SELECT * FROM ss JOIN lo USING (curve, law)), b AS (SELECT *, n * ln(sse / n) + 2 * k + 2.0 * k * (k + 1) / greatest(n - k - 1, 1) AS aicc FROM s QUALIFY row_number() OVER (PARTITION BY curve, law ORDER BY round(sse, 9), rate) = 1)
 SELECT curve, law, round(rate, 2) AS rate, round(sse, 2) AS sse, round(loo, 3) AS loo, round(aicc, 3) AS aicc, row_number() OVER (PARTITION BY curve ORDER BY round(loo, 9), round(aicc, 9), law) = 1 AS chosen FROM b""")
 def _(spark, d):
     from .registry import curves

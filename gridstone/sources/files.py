@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import json
 import os
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def gene_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """row, col, value of a coordinate matrix; the size line is the only one with three integers right after the comments."""
+    """row, col, value of one coordinate matrix file; the size line is the first after the comments. Lines are told apart by their place, which the numbering keeps within one file."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).filter(~F.col("value").startswith("%"))
     size = lines.agg(F.min("at").alias("size_at"))
     p = F.split(F.trim("value"), r"\s+")
@@ -44,10 +47,40 @@ def wide_matrix(spark: SparkSession, path: str, key: str, sep: str = "\t") -> Da
     return df.unpivot([key], [c for c in df.columns if c != key], "column", "value").withColumn("value", F.col("value").cast("double"))
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """path, name, bytes, sha256 of files(path): read in stretches, so that a file may be of any size. Paths must be readable by pyarrow from the executors."""
+
+    def run(batches):
+        from .rowgroups import opened
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                fs, at = opened(path)
+                h, size = hashlib.sha256(), 0
+                with fs.open_input_stream(at) as f:
+                    while part := f.read(1 << 22):
+                        h.update(part)
+                        size += len(part)
+                rows.append({"path": path, "name": os.path.basename(path), "bytes": size, "sha256": h.hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+
+    return files.select("path").mapInArrow(run, "path string, name string, bytes bigint, sha256 string")
+
+
+def _listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path of every file below a folder whose name fits, empty ones too, some to a task."""
+    from .rowgroups import opened
+
+    fs, at = opened(path)
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
+    prefix = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+    return spark.createDataFrame([(prefix + f,) for f in found], "path string").repartition(max(1, min(len(found), 200)))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and SHA-256 of every file below a path."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return digests(_listed(spark, path)).select("name", "bytes", "sha256")
 
 
 def save_response(df: DataFrame, path: str) -> None:
@@ -56,6 +89,7 @@ def save_response(df: DataFrame, path: str) -> None:
 
 
 def save_table(df: DataFrame, path: str) -> None:
+    """A result table as CSV files with a header each."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -159,6 +193,5 @@ def save_draws(df: DataFrame, path: str) -> None:
 
 def output_manifest(spark: SparkSession, folder: str, pattern: str, path: str) -> None:
     """Name, size and SHA-256 of the files of a folder, written as JSON."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    rows = df.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()  # a row a file of results
-    write_json(path, {"files": [{"name": os.path.basename(r.path), "bytes": r.length, "sha256": r.sha256} for r in rows]})
+    rows = digests(_listed(spark, folder, pattern)).orderBy("path").collect()  # a row a file of results
+    write_json(path, {"files": [{"name": r.name, "bytes": r.bytes, "sha256": r.sha256} for r in rows]})

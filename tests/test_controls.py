@@ -1,5 +1,6 @@
 """Derangements, weighted ranks, episode choices, programs and classifier grids against plain NumPy."""
 
+import hashlib
 import zipfile
 
 import numpy as np
@@ -7,9 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridstone.operators import classify, crossgram, decompose, families, leakage, models, nulls, programs, ranks, sealed
+from gridstone.operators import classify, crossgram, decompose, families, freeze, leakage, models, nulls, programs, ranks, sealed
 from gridstone.operators.models import affine_weights
-from gridstone.sources import sheets
+from gridstone.sources import files, sheets
 
 RND = np.random.default_rng(11)
 
@@ -204,3 +205,31 @@ def test_excel_sheets(spark, tmp_path):
     workbook(f"{tmp_path}/c.xlsx", {1: {"A": "other"}})
     with pytest.raises(Exception):
         sheets.excel(spark, [f"{tmp_path}/c.xlsx", f"{tmp_path}/b0.xlsx"], "Data").collect()
+
+
+def test_semi_synthetic_replicates(spark):
+    x = RND.normal(size=(1500, 8)) * np.arange(1, 9) + 5
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "id bigint, x array<double>").repartition(5)
+    take = lambda **k: {r.id: (np.array(r.a), np.array(r.b)) for r in freeze.semi_synthetic(df, 3, **k).collect()}
+    out = take(share=0.5, reliability=0.7, seed=2)
+    a, b = (np.concatenate([out[i][k] for i in range(1500)]) for k in (0, 1))
+    assert abs(np.corrcoef(a, b)[0, 1] - 0.7) < 0.03
+    again = take(share=0.5, reliability=0.7, seed=2)
+    assert all(np.allclose(out[i][0], again[i][0]) for i in range(0, 1500, 100))
+    pure = take(share=1.0, reliability=1.0, seed=2)
+    s = np.stack([pure[i][0] for i in range(1500)])
+    z = (x - x.mean(0)) / x.std(0)
+    left = s - z @ np.linalg.lstsq(z, s, rcond=None)[0]  # all of it follows from the rows, on three axes
+    assert np.linalg.matrix_rank(s, tol=1e-6) == 3 and abs(left).max() < 1e-6 and np.allclose(pure[7][0], pure[7][1])
+
+
+def test_tables_and_digests_of_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, t string")
+    files.save_table(df, f"{tmp_path}/t")
+    assert sorted(map(tuple, spark.read.schema(df.schema).option("header", True).csv(f"{tmp_path}/t").collect())) == [(1, "a,b"), (2, None)]
+    big = bytes(range(256)) * 40_000  # more than one stretch
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "big.bin").write_bytes(big)
+    (tmp_path / "d" / "none.bin").write_bytes(b"")
+    got = {r.name: (r.bytes, r.sha256) for r in files.inventory(spark, f"{tmp_path}/d").collect()}
+    assert got == {"big.bin": (len(big), hashlib.sha256(big).hexdigest()), "none.bin": (0, hashlib.sha256(b"").hexdigest())}
