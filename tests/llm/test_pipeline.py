@@ -64,3 +64,25 @@ def test_run_and_odd_rows(spark, tmp_path):
         assert all(r.lossless for r in got)
         assert set(r.doc_id for r in got) <= {5, None, 6}
         assert re.match("some|none", name) and (bool(got) == bool(rows))
+
+
+def test_stages_with_long_texts_and_clashing_columns(spark):
+    """Nulls, an empty text, one of 40,000 words with copies, and columns named as the stages' own ones."""
+    long = " ".join(f"w{i % 19997}" for i in range(40_000))
+    plain = lambda k: " ".join(f"t{k}x{i}" for i in range(120))
+    rows = [(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, plain(3) + " write to jo@example.org", "en", "b"), (3, plain(3) + " write to jo@example.org", "en", "b"), (4, None, None, None), (5, "", "en", "a"), (None, plain(6), None, None), (7, plain(7), "de", "b")]
+    names = ["h", "size", "kept", "row", "words", "n", "component_id", "copies", "pieces", "lossless", "target", "spans"]
+    df = spark.createDataFrame([(*r, 1, *range(len(names))) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, "")
+        assert set(df.columns) >= {*COLUMNS, *names}
+        df = spark.createDataFrame(df.collect(), df.schema)
+        seen.append(Counter(r.doc_id for r in df.collect()))
+        assert all([r[n] for n in names] == list(range(len(names))) for r in df.collect())
+    assert seen[0] == Counter([1, 2, 3, 3, None, 7]) and seen[1] == Counter([1, 3, None, 7]) and seen[2] == seen[1]
+    assert not any("jo@example.org" in r.text for r in df.collect())
+    last = corpus_pipeline.STAGES[-1][1](spark, df, "").collect()
+    assert all(r.lossless for r in last) and len(last) == df.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), "").count() == 0
