@@ -311,3 +311,8 @@ def test_chat_against_python(spark, small):
         shown = [re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[m.start : m.end]) for m in r.loss]
         assert "".join(shown) == r.loss_text and shown == [t.text for t in r.turns if t.role == "assistant"]
     assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_pii_of_an_empty_table(spark, small):
+    none = spark.read.parquet(f"{small}/documents.parquet").limit(0)
+    assert pii.pii_report(none).count() == 0 and pii.redact(none).count() == 0 and pii.redact(none).columns == none.columns
