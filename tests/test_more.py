@@ -202,7 +202,8 @@ def test_cells_are_written_once_and_again_where_lost(spark):
     from gridstone.sources import facts
 
     first = facts.stored_cells(spark, SF, "r_name", "p_brand").count()
-    path = facts._stored[(spark.sparkContext.applicationId, SF, "r_name", "p_brand")][0]
-    assert facts.facts(spark, SF, "r_name").count() == 4 * first and facts._stored[(spark.sparkContext.applicationId, SF, "r_name", "p_brand")][0] == path
+    key = (spark.sparkContext.applicationId, "cells-r_name-p_brand", facts.state(spark, [f"{SF}/{t}.parquet" for t in facts.TABLES]))
+    path = facts._stored[key][0]
+    assert facts.facts(spark, SF, "r_name").count() == 4 * first and facts._stored[key][0] == path
     shutil.rmtree(path.removeprefix("file://"))
     assert facts.stored_cells(spark, SF, "r_name", "p_brand").count() == first
