@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_ratio
+from ..sources.facts import stored
 
 
 def correlation(a: str, b: str) -> Column:
@@ -19,17 +20,35 @@ def correlation(a: str, b: str) -> Column:
     return F.when(~flat, safe_ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
 
 
-def centred(df: DataFrame) -> DataFrame:
-    mean = df.groupBy("group", "name").agg(F.avg("value").alias("__m"))
-    return df.join(mean, ["group", "name"]).select("group", "row", "name", (F.col("value") - F.col("__m")).alias("value"))
+def packed(df: DataFrame) -> DataFrame:
+    """group, row, q, xs: a row's centred values by name, and the sum of their squares, written once for all that follows.
+
+    Means are by group and name, axes of the design, and are broadcast, so that df is dealt once, by row, after what a task has of
+    a row is added up in a column a name: sums of fixed width, which need no sorting. Values that a row has several of under one
+    name are added up, as they meet all others of the row alike; their squares are kept apart.
+    """
+    mean = stored(df.groupBy("group", "name").agg(F.avg("value").alias("__m")), "means")
+    names = sorted(r.name for r in mean.select("name").distinct().filter("name is not null").collect())
+    kind = mean.schema["name"].dataType
+    v = F.col("value") - F.col("__m")
+    own = {n: F.col("name") == F.lit(n) for n in names}
+    sums = [c for k, n in enumerate(names) for c in (F.sum(F.when(own[n], v)).alias(f"__s{k}"), F.max(F.when(own[n], F.lit(True))).alias(f"__h{k}"))]
+    wide = df.join(F.broadcast(mean), ["group", "name"]).groupBy("group", "row").agg(F.sum(v * v).alias("q"), *sums)
+    xs = F.filter(F.array(*(F.struct(F.lit(n).cast(kind).alias("name"), F.col(f"__s{k}").alias("value"), F.col(f"__h{k}").alias("held")) for k, n in enumerate(names))), lambda x: x["held"].isNotNull())
+    if not names:
+        xs = F.array().cast(f"array<struct<name:{kind.simpleString()},value:double,held:boolean>>")
+    return stored(wide, "packed-rows").select("group", "row", "q", xs.alias("xs"))
 
 
 def covariance(df: DataFrame) -> DataFrame:
     """group, a, b, cov: population covariances of names over rows. A row's names are packed before they are paired, so that rows meet no join."""
-    packed = centred(df).groupBy("group", "row").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("xs"))
-    one = packed.select("group", "xs", F.explode("xs").alias("p")).select("group", F.col("p.name").alias("a"), F.col("p.value").alias("va"), F.explode("xs").alias("q"))
+    return _covariance(packed(df))
+
+
+def _covariance(rows: DataFrame) -> DataFrame:
+    one = rows.select("group", "xs", F.explode("xs").alias("p")).select("group", F.col("p.name").alias("a"), F.col("p.value").alias("va"), F.explode("xs").alias("q"))
     sums = one.groupBy("group", "a", F.col("q.name").alias("b")).agg(F.sum(F.col("va") * F.col("q.value")).alias("s"))
-    n = df.groupBy("group").agg(F.count_distinct("row").alias("n"))
+    n = rows.groupBy("group").agg(F.count("row").alias("n"))
     return sums.join(n, "group").select("group", "a", "b", (F.col("s") / F.col("n")).alias("cov"))
 
 
@@ -38,8 +57,11 @@ def intensity(df: DataFrame, cov: DataFrame) -> DataFrame:
 
     With S the covariance of p names, d2 = |S - mu I|^2 and b2 = (sum of |x|^4 / n - |S|^2) / n, it is min(b2, d2) / d2; 0 where S is mu I.
     """
-    norm = centred(df).groupBy("group", "row").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
-    fourth = norm.groupBy("group").agg((F.sum(F.col("q") * F.col("q"))).alias("fourth"), F.count(F.lit(1)).alias("n"))
+    return _intensity(packed(df), cov)
+
+
+def _intensity(rows: DataFrame, cov: DataFrame) -> DataFrame:
+    fourth = rows.groupBy("group").agg((F.sum(F.col("q") * F.col("q"))).alias("fourth"), F.count(F.lit(1)).alias("n"))
     same = F.col("a") == F.col("b")
     s = cov.groupBy("group").agg(F.sum(F.col("cov") * F.col("cov")).alias("ss"), F.sum(F.when(same, F.col("cov"))).alias("trace"), F.count_if(same).alias("p"))
     both = s.join(fourth, "group").withColumn("mu", F.col("trace") / F.col("p"))
@@ -50,9 +72,10 @@ def intensity(df: DataFrame, cov: DataFrame) -> DataFrame:
 
 def shrunk(df: DataFrame) -> DataFrame:
     """group, a, b, cov, shrinkage: (1 - shrinkage) S + shrinkage mu I."""
-    s = covariance(df)
+    rows = packed(df)
+    s = stored(_covariance(rows), "covariances")
     w, same = F.col("shrinkage"), F.col("a") == F.col("b")
-    both = s.join(intensity(df, s), "group")
+    both = s.join(_intensity(rows, s), "group")
     return both.select("group", "a", "b", ((1 - w) * F.col("cov") + F.when(same, w * F.col("mu")).otherwise(0.0)).alias("cov"), w.alias("shrinkage"))
 
 
