@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.expr import at_least, hash_uniform, safe_ratio
+from ..sources.facts import stored
+from .ranks import numbered
 
 
 def unit_draws(units: DataFrame, name: str, draws: int, seed: str) -> DataFrame:
@@ -20,13 +22,18 @@ def unit_draws(units: DataFrame, name: str, draws: int, seed: str) -> DataFrame:
 
 
 def nested_draws(df: DataFrame, outer: str, inner: str, draws: int, seed: str) -> DataFrame:
-    """draw, outer, inner, times: outer units with replacement, then inner units within each of them."""
+    """draw, outer, inner, times: outer units with replacement, then inner units within each of them.
+
+    Outer units are an axis of the design, inner ones as many as there are: these are numbered by ranges of (outer, inner), and
+    what is drawn is dealt out before it is counted, so that no task holds an outer unit or counts of its own.
+    """
     top = unit_draws(df, outer, draws, seed)
-    axis = df.select(outer, inner).distinct()
-    axis = axis.withColumn("__i", (F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1).cast("int")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(outer)))
-    slots = top.join(axis.select(outer, "__i", "__n"), outer).withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    axis = stored(numbered(df.select(outer, inner).distinct().filter(F.col(outer).isNotNull()), F.col(outer).asc(), F.col(inner).asc(), name="__place"), "places")
+    first = axis.groupBy(outer).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    axis = axis.join(F.broadcast(first), outer).select(outer, inner, (F.col("__place") - F.col("__first")).cast("int").alias("__i"), "__n")
+    slots = axis.select(outer, "__i", "__n").join(F.broadcast(top), outer).withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     pick = slots.select("draw", outer, F.floor(hash_uniform(F.lit(seed), F.col("draw"), F.col(outer), F.col("rep"), F.col("__i")) * F.col("__n")).cast("int").alias("__i"))
-    return pick.groupBy("draw", outer, "__i").agg(F.count(F.lit(1)).alias("times")).join(axis.drop("__n"), [outer, "__i"]).select("draw", outer, inner, "times")
+    return pick.repartition("draw", outer, "__i").groupBy("draw", outer, "__i").agg(F.count(F.lit(1)).alias("times")).join(axis.drop("__n"), [outer, "__i"]).select("draw", outer, inner, "times")
 
 
 def ratio_draws(draws: DataFrame, energies: DataFrame, keys: list[str]) -> DataFrame:

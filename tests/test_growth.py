@@ -1,5 +1,6 @@
 """What grows with the tables: bytes shuffled, runs of what is ranked, and windows over outer units."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -58,3 +59,12 @@ def test_shrunk_covariance_of_repeated_and_missing_values(spark):
                 want[a, b] = want.get((a, b), 0.0) + (x - mean[a]) * (y - mean[b]) / 3
     got = {(r.a, r.b): r["cov"] for r in shrinkage.covariance(spark.createDataFrame(rows, "`group` string, row string, name string, value double")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_nested_draws_hold_no_outer_unit_in_a_task(spark):
+    from gridstone.operators import inference
+
+    df = spark.range(2000).select((F.col("id") % 2).cast("string").alias("o"), F.col("id").alias("i"))
+    out = inference.nested_draws(df, "o", "i", 3, "s")
+    assert not re.search(r"windowspecdefinition\(o#\d+, ", out._jdf.queryExecution().toString())  # partitioned by o
+    assert {r["n"] for r in out.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {2000}
