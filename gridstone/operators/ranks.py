@@ -39,9 +39,10 @@ def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, *values: str) -> DataFrame:
-    """df with r_<value> for each value: its rank from 1, ties sharing their average; null for null."""
+    """df with r_<value> for each value: its rank from 1, ties sharing their average; null for null. df is written first, so that what makes it runs once, whatever the number of values."""
+    df = base = stored(df, "unranked")
     for v in values:
-        by = df.filter(F.col(v).isNotNull()).groupBy(F.col(v).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+        by = base.filter(F.col(v).isNotNull()).groupBy(F.col(v).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
         by = running(by, [F.col("__value").asc()], {"__below": F.col("__n")}).select("__value", (F.col("__below") + (F.col("__n") + 1) / 2).alias(f"r_{v}"))
         df = df.join(by, F.col(v) == F.col("__value"), "left").drop("__value")
     return df

@@ -68,3 +68,18 @@ def test_nested_draws_hold_no_outer_unit_in_a_task(spark):
     out = inference.nested_draws(df, "o", "i", 3, "s")
     assert not re.search(r"windowspecdefinition\(o#\d+, ", out._jdf.queryExecution().toString())  # partitioned by o
     assert {r["n"] for r in out.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {2000}
+
+
+def test_ranks_run_once_what_they_rank(spark):
+    from gridstone.operators import ranks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).selectExpr("id % 7 AS x", "id % 5 AS y", "id AS z").mapInArrow(count, "x bigint, y bigint, z bigint")
+    got = ranks.average_ranks(df, "x", "y", "z").collect()
+    assert len(got) == 100 and sum(r.r_z for r in got) == sum(r.r_x for r in got) == 5050 and seen.value == 100
