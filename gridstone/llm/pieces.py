@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 32
-SLICE = 1_200_000
+SLICE = 400_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = (1 << 64) - 1
 
